@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: Tags by their part in a page.
 FURNITURE = frozenset("nav footer aside form script style noscript template iframe object embed svg canvas button select textarea input label dialog menu head".split())
 RAW = frozenset("script style textarea title xmp noscript iframe".split())
@@ -236,7 +238,7 @@ def extract(pages: DataFrame, source: str = "html") -> DataFrame:
     Each page is read whole and by itself, so memory is bounded by the longest page.
     """
     rest = [c for c in pages.columns if c not in (source, "text", "n_chars")]
-    schema = pages.select(*rest).schema.add("text", "string").add("n_chars", "long")
+    schema = shared.widened(pages.select(*rest), "text string, n_chars long")
 
     def run(batches):
         for batch in batches:

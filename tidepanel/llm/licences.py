@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import shared
 
@@ -136,13 +137,9 @@ def scan(docs: DataFrame, text: str = "text", base: tuple = BASE, notices: tuple
     A null or empty text has no words, null places, empty labels and score 0. score is 1 where a base phrase or an
     unchanged notice stands, else 1 - edits / length of the closest notice found. Texts are read whole, one at a time.
     """
-    from pyspark.sql.types import _parse_datatype_string
-
-    extra = _parse_datatype_string(SCHEMA)
-    rest = [c for c in docs.columns if c != text and c not in extra.names]
-    schema = docs.select(*rest).schema
-    for f in extra:
-        schema = schema.add(f)
+    extra = StructType.fromDDL(SCHEMA).names
+    rest = [c for c in docs.columns if c != text and c not in extra]
+    schema = shared.widened(docs.select(*rest), SCHEMA)
     names = sorted({p.encode() for t, _, e in notices for _, p in pieces(t, e)})
     match = pa.struct([("label", pa.string()), ("notice", pa.string()), ("edits", pa.int32()), ("first_word", pa.int64()), ("last_word", pa.int64())])
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(match)]
@@ -151,7 +148,7 @@ def scan(docs: DataFrame, text: str = "text", base: tuple = BASE, notices: tuple
         for batch in batches:
             rows = [_scan(t, base, notices, names) for t in batch.column("scanned").to_pylist()]
             columns = [pa.array(r, kind) for r, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *columns], names=[*rest, *extra.names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *columns], names=[*rest, *extra])
 
     return docs.select(*rest, F.col(text).alias("scanned")).mapInArrow(run, schema)
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # ------------------------------------------------------------------ storage
 
@@ -272,3 +273,28 @@ def shingles(words: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarr
         whole[i] = True
     keep = np.flatnonzero(whole)
     return mixed(rolled[keep]), owner[keep]
+
+
+def class_spans(data: np.ndarray, at: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_spans, for runs of bytes of one kind; kind 0 separates."""
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    kind = kinds[data]
+    new = np.ones(len(data) + 1, bool)
+    new[1:-1] = kind[1:] != kind[:-1]
+    new[at] = True
+    edges = np.flatnonzero(new)
+    starts, ends = edges[:-1], edges[1:]
+    keep = kind[starts] > 0
+    return starts[keep], ends[keep], np.searchsorted(at, starts[keep], "right") - 1
+
+
+def bounded_sample(rows: DataFrame, id_col: str, most: int, seed: int = 11) -> DataFrame:
+    """At most `most` rows, those with the smallest hash of their id: the same ones on every run."""
+    return rows.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(most)
+
+
+def widened(df: DataFrame, ddl: str) -> StructType:
+    """The schema of df with further columns."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 INFINITE = float("inf")
@@ -215,7 +217,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
     kept = docs.drop("ids", "n_tokens", "round_trip")
     fst = _compiled(docs, model)
     names = kept.columns
-    schema = kept.schema.add("ids", "array<int>").add("n_tokens", "int").add("round_trip", "boolean")
+    schema = shared.widened(kept, "ids array<int>, n_tokens int, round_trip boolean")
 
     def run(batches):
         path = Path(fst.value)
@@ -244,7 +246,7 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFram
             texts = [path.decode(i or ()) for i in batch.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
-    return kept.mapInArrow(run, kept.schema.add("decoded", "string"))
+    return kept.mapInArrow(run, shared.widened(kept, "decoded string"))
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
