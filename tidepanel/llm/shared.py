@@ -298,3 +298,12 @@ def bounded_sample(rows: DataFrame, id_col: str, most: int, seed: int = 11) -> D
 def widened(df: DataFrame, ddl: str) -> StructType:
     """The schema of df with further columns."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals of ASCII and Latin-1 in lower case."""
+    low = LOWER[data]
+    if len(low) > 1:
+        capital = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)
+        low[1:][capital] += 0x20
+    return low
