@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,6 +31,9 @@ def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # what the finished step shuffled isn't needed any more; Spark's cleaner drops it once the driver forgets the plan
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
