@@ -1,0 +1,44 @@
+"""Online exposure control and position sizing by risk."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def controlled(r: DataFrame, grid: DataFrame, beta: float = 0.85, warmup: int = 60) -> DataFrame:
+    """(stream_id, alpha, gamma, di, exposure, realized): the online tail-loss controller for each stream and grid row.
+
+    A fold over a stream's losses in order. The threshold c follows the tail by AdaGrad steps, the exposure falls while the
+    penalised loss stays over alpha. The scale comes from the first `warmup` losses. A stream is one array of doubles.
+    """
+    order = F.array_sort(F.collect_list(F.struct("di", (-F.col("r")).alias("loss"))))
+    s = r.groupBy("stream_id").agg(order.alias("path"))
+    s = s.join(r.withColumn("rn", F.row_number().over(Window.partitionBy("stream_id").orderBy("di"))).where(F.col("rn") <= warmup).groupBy("stream_id").agg(F.percentile(-F.col("r"), F.array(F.lit(0.01), F.lit(0.99))).alias("q")), "stream_id")
+    s = s.crossJoin(F.broadcast(grid)).withColumn("low", F.col("q")[0]).withColumn("high", F.col("q")[1])
+    s = s.withColumn("scale", F.greatest(F.col("high") - F.col("low"), F.lit(1e-6)))
+    clip = lambda x, a, b: F.greatest(a, F.least(b, x))
+    zero = F.lit(0.0)
+    row = "array<struct<di:int,exposure:double,realized:double>>"
+    start = F.struct(zero.alias("c"), zero.alias("q"), F.lit(1.0).alias("x"), F.array().cast(row).alias("out"))
+
+    def step(acc, e):
+        realized = acc["x"] * e["loss"]
+        over = realized - acc["c"]
+        penalised = acc["c"] + F.greatest(over, zero) / (1 - beta)
+        g = 1 - (over > 0).cast("double") / (1 - beta)
+        q = acc["q"] + g * g
+        c = clip(acc["c"] - F.col("scale") * g / (2 * F.sqrt(q)), F.col("low"), F.col("high"))
+        x = clip(acc["x"] - F.col("gamma") * (penalised - F.col("alpha")) / F.col("scale"), zero, F.lit(1.0))
+        now = F.struct(e["di"].cast("int").alias("di"), acc["x"].alias("exposure"), realized.alias("realized"))
+        return F.struct(c.alias("c"), q.alias("q"), x.alias("x"), F.concat(acc["out"], F.array(now)).cast(row).alias("out"))
+
+    done = s.withColumn("done", F.aggregate("path", start, step, lambda acc: acc["out"]))
+    return done.select("stream_id", "alpha", "gamma", F.explode("done").alias("d")).select("stream_id", "alpha", "gamma", "d.di", "d.exposure", "d.realized")
+
+
+def kelly(r: DataFrame, share: float = 0.5, n: int = 126) -> DataFrame:
+    """r plus exposure: share * mean / variance of the n returns before, between 0 and 1; 1 while there are fewer."""
+    w = Window.partitionBy("stream_id").orderBy("di").rowsBetween(-n, -1)
+    raw = F.lit(share) * F.avg("r").over(w) / F.nullif(F.var_samp("r").over(w), F.lit(0.0))
+    return r.withColumn("exposure", F.when(F.count("r").over(w) >= n, F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), F.lit(1.0))).otherwise(1.0))
