@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import panel_queries
+
+QUERIES: dict = dict(panel_queries.QUERIES)
+ORACLE: dict = dict(panel_queries.ORACLE)
