@@ -90,7 +90,7 @@ def weights(docs: DataFrame, model: Model, s: Settings, text: str = "text", only
     kept = docs.drop("weight", "key", "keep")
     ratio = docs.sparkSession.sparkContext.broadcast(model.ratio)  # 2**bits doubles
     names, cut = kept.columns, model.cut
-    noised = kept.withColumn("noise", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(s.seed)), F.lit(1 << 52)))
+    noised = kept.withColumn("noise__", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(s.seed)), F.lit(1 << 52)))
     schema = kept.schema if only_kept else shared.widened(kept, "weight double, key double, keep boolean")
 
     def run(batches):

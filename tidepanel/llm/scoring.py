@@ -280,8 +280,8 @@ def score(docs: DataFrame, learn: str, s: Settings | None = None, text: str = "t
     inside = np.zeros(s.classes)
     inside[1 + s.own_class :] = np.log10(head.sums[1 + s.own_class :] + head.kinds[1 + s.own_class :] + 1)
     rest = [c for c in kept.columns if c != text]
-    numbered = kept.select(*rest, F.col(text).alias("scored_text"), F.monotonically_increasing_id().alias("row"))
-    schema = shared.widened(numbered.drop("scored_text"), "n_tokens long, known long, logs double, plain double, tail array<long>, often array<int>")
+    numbered = kept.select(*rest, F.col(text).alias("scored_text__"), F.monotonically_increasing_id().alias("row__"))
+    schema = shared.widened(numbered.drop("scored_text__"), "n_tokens long, known__ long, logs__ double, plain__ double, tail__ array<long>, often__ array<int>")
 
     def run(batches):
         table = None
@@ -291,7 +291,7 @@ def score(docs: DataFrame, learn: str, s: Settings | None = None, text: str = "t
             n = batch.num_rows
             tokens, known, logs, plain = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
             tails, often, sizes = [], [], np.zeros(n, np.int64)
-            for lo, hi, data, at in shared.text_slices(batch.column("scored_text")):
+            for lo, hi, data, at in shared.text_slices(batch.column("scored_text__")):
                 words, owner, suffix = _tokens(data, at, s)
                 count, classes = shipped.value.look_up(words, suffix, s)
                 log = np.log10(count + 1.0)
@@ -314,21 +314,21 @@ def score(docs: DataFrame, learn: str, s: Settings | None = None, text: str = "t
                 sizes[lo:hi] = np.bincount(whose[first], minlength=m)
             at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (tails, often)] if n else [pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*rest, "row"]), pa.array(tokens), pa.array(known), pa.array(logs), pa.array(plain), *lists], names=[*rest, "row", "n_tokens", "known", "logs", "plain", "tail", "often"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*rest, "row__"]), pa.array(tokens), pa.array(known), pa.array(logs), pa.array(plain), *lists], names=[*rest, "row__", "n_tokens", "known__", "logs__", "plain__", "tail__", "often__"])
 
     held = shared.stored(numbered.mapInArrow(run, schema))
-    tail = held.select("row", F.explode(F.arrays_zip("tail", "often")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.often").alias("often"))
-    far = tail.join(counts.select("token", F.log10(F.col("n") + 1.0).alias("log")), "token").groupBy("row").agg(F.sum("often").alias("more"), F.sum(F.col("often") * F.col("log")).alias("far"))
+    tail = held.select("row__", F.explode(F.arrays_zip("tail__", "often__")).alias("t")).select("row__", F.col("t.tail__").alias("token"), F.col("t.often__").alias("often__"))
+    far = tail.join(counts.select("token", F.log10(F.col("n") + 1.0).alias("log")), "token").groupBy("row__").agg(F.sum("often__").alias("more__"), F.sum(F.col("often__") * F.col("log")).alias("far__"))
     base = float(np.log10(head.total + head.distinct + 1))
-    out = held.drop("tail", "often").join(far, "row", "left")
-    more, log = F.coalesce("more", F.lit(0)), F.coalesce("far", F.lit(0.0))
+    out = held.drop("tail__", "often__").join(far, "row__", "left")
+    more, log = F.coalesce("more__", F.lit(0)), F.coalesce("far__", F.lit(0.0))
     return out.select(
         *rest,
         "n_tokens",
-        (F.col("known") + more).alias("n_known"),
+        (F.col("known__") + more).alias("n_known"),
         F.lit(head.total).cast("long").alias("train_tokens"),
-        (F.col("logs") + log - F.col("n_tokens") * F.lit(base)).alias("base_score"),
-        (F.col("plain") + log).alias("score"),
+        (F.col("logs__") + log - F.col("n_tokens") * F.lit(base)).alias("base_score"),
+        (F.col("plain__") + log).alias("score"),
     )
 
 
