@@ -110,15 +110,17 @@ def signatures(docs: DataFrame, s: Settings, text: str = "text") -> DataFrame:
 
 def _agreeing(classes: DataFrame, s: Settings) -> DataFrame:
     """Star edges (a, b) between vertices that meet in a node of some tree and agree often enough."""
-    met = classes.select("vertex", "tags", F.posexplode(F.arrays_zip("nodes", "deeper")).alias("tree", "at")).select("vertex", "tags", "tree", "at.nodes", "at.deeper")
+    met = classes.select("vertex", F.posexplode(F.arrays_zip("nodes", "deeper")).alias("tree", "at")).select("vertex", "tree", "at.nodes", "at.deeper")
     deep = met.groupBy("tree", "nodes", "deeper").agg(F.count("*").alias("n"))
     whole = deep.groupBy("tree", "nodes").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
     sparse = whole.where(F.col("all") <= s.sparse).withColumnRenamed("all", "size")
     # a dense node is taken apart by one more value; its parts of one vertex have no pair
     dense = deep.where(F.col("n") > 1).join(whole.where(F.col("all") > s.sparse), ["tree", "nodes"]).select("tree", "nodes", "deeper", F.col("n").alias("size"))
-    by_node = met.join(sparse, ["tree", "nodes"]).select("vertex", "tags", F.col("nodes").alias("node"), "size")
-    by_part = met.join(dense, ["tree", "nodes", "deeper"]).select("vertex", "tags", F.col("deeper").alias("node"), "size")
-    dealt = shared.dealt_blocks(by_node.unionByName(by_part), ["node"], "vertex", "size", s.node_rows)
+    by_node = met.join(sparse, ["tree", "nodes"]).select("vertex", F.col("nodes").alias("node"), "size")
+    by_part = met.join(dense, ["tree", "nodes", "deeper"]).select("vertex", F.col("deeper").alias("node"), "size")
+    # the signatures join once it's known which vertices share a node
+    shared_nodes = by_node.unionByName(by_part).join(classes.select("vertex", "tags"), "vertex")
+    dealt = shared.dealt_blocks(shared_nodes, ["node"], "vertex", "size", s.node_rows)
     least = s.least_agreeing
 
     def run(batches):
@@ -156,7 +158,8 @@ def _verified(docs: DataFrame, members: DataFrame, s: Settings, text: str) -> Da
     """(vertex, links, texts, root) of each vertex with a link in a block: documents and texts linked, smallest linked."""
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
     wanted = members.join(sizes, "component").select("rep", "vertex", "component", "copies", "size")
-    found = docs.select(F.col("doc_id").alias("rep"), text).join(wanted, "rep").select("vertex", "component", "copies", "size", text)
+    # wanted grows with the input: a merge join at every size
+    found = docs.select(F.col("doc_id").alias("rep"), text).join(wanted.hint("merge"), "rep").select("vertex", "component", "copies", "size", text)
 
     def shingled(batches):
         for batch in batches:
