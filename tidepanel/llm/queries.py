@@ -21,10 +21,10 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_embedding_dedup": """
         WITH RECURSIVE usable AS (
-            SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
         ), unit AS (
-            SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, x -> x * x))) AS norm FROM usable
+            SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS norm FROM usable
         ), link AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
             WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.98
