@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import panel_queries
+from . import panel_queries, table_queries
 
-QUERIES: dict = dict(panel_queries.QUERIES)
-ORACLE: dict = dict(panel_queries.ORACLE)
+QUERIES: dict = panel_queries.QUERIES | table_queries.QUERIES
+ORACLE: dict = panel_queries.ORACLE | table_queries.ORACLE
