@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ class Settings:
     cell: float = 2.0
     lines: int = 24
     block_rows: int = 1024
+    block_pairs: int = 1 << 15
     seed: int = 17
 
 
@@ -70,19 +72,24 @@ class Plan:
         return Plan(per_table, tables, least)
 
 
+@lru_cache(maxsize=64)
+def _directions(width: int, plan: Plan, s: Settings):
+    """The counted lines, each table's sorted line, the lines of its cells, and the shifts of their grids."""
+    rng = np.random.default_rng((s.seed, width))
+    counted = rng.standard_normal((width, s.lines))
+    lines = rng.standard_normal((width, plan.tables))
+    axes = rng.standard_normal((width, plan.tables * plan.per_table))
+    return counted, lines, axes, rng.random(plan.tables * plan.per_table)
+
+
 def _projected(x: np.ndarray, plan: Plan, s: Settings):
     """Positions on the counted lines and on each table's sorted line, and the cell of each table."""
-    rng = np.random.default_rng((s.seed, x.shape[1]))
-    counted = x @ rng.standard_normal((x.shape[1], s.lines))
-    lines = x @ rng.standard_normal((x.shape[1], plan.tables))
-    cells = np.empty((len(x), plan.tables), np.uint64)
-    for g in range(plan.tables):
-        place = np.floor((x @ rng.standard_normal((x.shape[1], plan.per_table)) + rng.random(plan.per_table) * s.cell) / s.cell).astype(np.int64).view(np.uint64)
-        h = np.full(len(x), np.uint64(g + 1))
-        for k in range(plan.per_table):
-            h = shared.mixed(h ^ place[:, k])
-        cells[:, g] = h
-    return counted, lines, cells
+    counted, lines, axes, shift = _directions(x.shape[1], plan, s)
+    place = np.floor(x @ axes / s.cell + shift).astype(np.int64).view(np.uint64).reshape(len(x), plan.tables, plan.per_table)
+    cells = np.broadcast_to(np.arange(1, plan.tables + 1, dtype=np.uint64), (len(x), plan.tables))
+    for k in range(plan.per_table):
+        cells = shared.mixed(cells ^ place[:, :, k])
+    return x @ counted, x @ lines, cells
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -131,18 +138,27 @@ def near_duplicates(vectors: DataFrame, s: Settings | None = None) -> DataFrame:
             ids, copies, home, b1, b2, table, width = (batch.column(c).to_numpy() for c in ("vertex", "copies", "home", "b1", "b2", "table", "width"))
             column = batch.column("vector")
             out = [[], [], []]
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if hi - lo < 2:
-                    continue
-                x = _unit(shared.fixed(column.slice(lo, hi - lo), kind).reshape(hi - lo, int(width[lo])))
-                linked = _linked(x, int(table[lo]), plan, s)
-                if b1[lo] != b2[lo]:
-                    linked &= home[lo:hi][:, None] != home[lo:hi][None, :]
-                has = np.flatnonzero(linked.any(1))
-                if len(has):
+            # rows of one width are projected together, for all their groups
+            runs = cuts[np.flatnonzero(np.concatenate([[True], width[cuts[1:-1]] != width[cuts[1:-1] - 1]]))]
+            for first, end in zip(runs.tolist(), [*runs[1:].tolist(), len(ids)], strict=True):
+                x = _unit(shared.fixed(column.slice(first, end - first), kind).reshape(end - first, int(width[first])))
+                seen = _projected(x, plan, s)
+                inner = cuts[(cuts >= first) & (cuts <= end)]
+                for lo, hi in zip(inner[:-1].tolist(), inner[1:].tolist(), strict=True):
+                    if hi - lo < 2:
+                        continue
+                    own = slice(lo - first, hi - first)
+                    i, j = _linked(x[own], *(v[own] for v in seen), int(table[lo]), plan, s)
+                    if b1[lo] != b2[lo]:
+                        apart = home[lo + i] != home[lo + j]
+                        i, j = i[apart], j[apart]
+                    if not len(i):
+                        continue
+                    links = np.bincount(i, copies[lo + j], hi - lo) + np.bincount(j, copies[lo + i], hi - lo)
+                    has = np.flatnonzero(links)
                     out[0].append(ids[lo + has])
-                    out[1].append((linked[has] @ copies[lo:hi].astype(float)).astype(np.int64))
-                    out[2].append(ids[lo + shared.roots(linked)[has]])
+                    out[1].append(links[has].astype(np.int64))
+                    out[2].append(ids[lo + shared.pair_roots(i, j, hi - lo)[has]])
             none = np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *v])) for v in out], names=["vertex", "links", "root"])
 
@@ -159,31 +175,37 @@ def near_duplicates(vectors: DataFrame, s: Settings | None = None) -> DataFrame:
     return good.unionByName(bad).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _linked(x: np.ndarray, table: int, plan: Plan, s: Settings) -> np.ndarray:
-    """Which pairs of a cell's vectors collide often enough and are close, and didn't meet in an earlier table."""
-    counted, lines, cells = _projected(x, plan, s)
+def _linked(x: np.ndarray, counted: np.ndarray, lines: np.ndarray, cells: np.ndarray, table: int, plan: Plan, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a cell's vectors that collide often enough, are close, and didn't meet in an earlier table."""
     n = len(x)
     order = np.argsort(lines[:, table])
     position = lines[order, table]
-    # windows on the sorted line: for each vector, where those within half_window begin and end
-    a = np.searchsorted(position, position - s.half_window)
-    b = np.searchsorted(position, position + s.half_window, "right")
-    span = np.arange(n)
-    inside = np.empty((n, n), bool)
-    inside[np.ix_(order, order)] = (span[None, :] >= a[:, None]) & (span[None, :] < b[:, None])
-    np.fill_diagonal(inside, False)
-    if not inside.any():
-        return inside
-    inside &= inside.T
-    count = np.zeros((n, n), np.int8)
-    for k in range(s.lines):
-        count += np.abs(counted[:, k][:, None] - counted[:, k][None, :]) <= s.half_window
-    inside &= count >= plan.least
-    for g in range(table):
-        if not inside.any():
-            return inside
-        inside &= ~((cells[:, g][:, None] == cells[:, g][None, :]) & (np.abs(lines[:, g][:, None] - lines[:, g][None, :]) <= s.half_window))
-    return inside & (x @ x.T >= s.threshold)
+    # windows on the sorted line: how many of those after each vector lie within half_window
+    ahead = np.searchsorted(position, position + s.half_window + 1e-9, "right") - np.arange(1, n + 1)
+    ends = np.cumsum(ahead)
+    found = [[], []]
+    lo = 0
+    while lo < n:
+        # some vectors' windows at a time, so that memory is bounded however dense the cell is
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - ahead[lo] + s.block_pairs, "right")))
+        i = np.repeat(np.arange(lo, hi), ahead[lo:hi])
+        j = i + 1 + np.arange(len(i)) - np.repeat(ends[lo:hi] - ahead[lo:hi] - (ends[lo] - ahead[lo]), ahead[lo:hi])
+        i, j = order[i], order[j]
+        lo = hi
+        near = np.abs(lines[i, table] - lines[j, table]) <= s.half_window
+        i, j = i[near], j[near]
+        for test in (
+            lambda i, j: (np.abs(counted[i] - counted[j]) <= s.half_window).sum(1) >= plan.least,
+            lambda i, j: np.einsum("ij,ij->i", x[i], x[j]) >= s.threshold,
+            lambda i, j: ~((cells[i, :table] == cells[j, :table]) & (np.abs(lines[i, :table] - lines[j, :table]) <= s.half_window)).any(1),
+        ):
+            if not len(i):
+                break
+            good = test(i, j)
+            i, j = i[good], j[good]
+        found[0].append(i)
+        found[1].append(j)
+    return np.concatenate(found[0]), np.concatenate(found[1])
 
 
 def op2_embedding_dedup(spark, sf_dir: str) -> DataFrame:

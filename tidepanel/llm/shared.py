@@ -156,6 +156,19 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def pair_roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows, the smallest row reachable by the pairs (i, j)."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 # -------------------------------------------------------------- word arrays
 
 #: Byte classes. Words of letters, digits and all bytes over 127; words cut at white space alone.
