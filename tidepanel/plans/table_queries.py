@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.operators.release import correct_release_dates, enrich_insider
 from tidepanel.sources import fixtures as S
 
 from .panel_queries import P, momentum
@@ -257,3 +258,43 @@ def qc_05(spark, d):
 def qc_06(spark, d):
     both = S.table(spark, d, "lineitem").join(S.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return both.groupBy(F.year("o_orderdate").cast("long").alias("y")).agg(count(), F.count_if(F.col("l_shipdate") < F.col("o_orderdate")).alias("early"))
+
+
+# ------------------------------------------------------ scans and point in time
+
+
+@query("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity >= 45")
+def src_01(spark, d):
+    return S.table(spark, d, "lineitem").where("l_quantity >= 45").select("l_orderkey", "l_quantity")
+
+
+@query(S.with_sql("panel recs", "SELECT DISTINCT ticker FROM panel WHERE ticker NOT IN (SELECT ticker FROM recs)"))
+def qc_04(spark, d):
+    return S.panel(spark, d).select("ticker").distinct().join(S.recommendations(spark, d), "ticker", "left_anti")
+
+
+_SERIES = "CASE o_orderstatus WHEN 'F' THEN 'FEDFUNDS' WHEN 'O' THEN 'UNRATE' ELSE 'CPIAUCSL' END"
+_ROLL = "CASE isodow({0}) WHEN 6 THEN {0} + 2 WHEN 7 THEN {0} + 1 ELSE {0} END"
+
+
+@query(f"""WITH m AS (SELECT DISTINCT {_SERIES} AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS date FROM orders UNION ALL SELECT DISTINCT 'DAILY', CAST(o_orderdate AS DATE) FROM orders),
+    due AS (SELECT series, date, CASE series WHEN 'DAILY' THEN date + 1 ELSE CAST(date + INTERVAL 1 MONTH AS DATE) + CASE series WHEN 'FEDFUNDS' THEN 2 WHEN 'UNRATE' THEN 7 ELSE 14 END END AS day FROM m)
+    SELECT series, date, {_ROLL.format("day")} AS release_date FROM due""")
+def pit_01(spark, d):
+    o = S.table(spark, d, "orders")
+    monthly = o.select(F.expr(_SERIES).alias("series"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("date")).distinct()
+    return correct_release_dates(monthly.unionByName(o.select(F.lit("DAILY").alias("series"), F.to_date("o_orderdate").alias("date")).distinct()))
+
+
+_TEXT = "CASE event_type WHEN 'click' THEN ' Sale at price' WHEN 'view' THEN 'Stock Award(Grant)' WHEN 'signup' THEN 'Stock Gift' WHEN 'error' THEN 'Conversion of options' ELSE 'Purchase at price' END"
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'SALE' WHEN 'view' THEN 'GRANT' WHEN 'signup' THEN 'GIFT' WHEN 'error' THEN 'EXERCISE' ELSE 'PURCHASE' END AS txn_type,
+    CASE event_type WHEN 'click' THEN 'SELL' WHEN 'purchase' THEN 'BUY' ELSE 'NEUTRAL' END AS direction FROM events""")
+def pit_03(spark, d):
+    return enrich_insider(S.table(spark, d, "events").select("event_id", F.expr(_TEXT).alias("text"))).drop("text")
+
+
+@query(S.with_sql("grades", "SELECT date, company, action, max(o_orderkey) AS o_orderkey FROM grades GROUP BY 1, 2, 3"))
+def pit_05(spark, d):
+    return S.grades(spark, d).groupBy("date", "company", "action").agg(F.max("o_orderkey").alias("o_orderkey"))
