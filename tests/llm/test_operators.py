@@ -152,6 +152,56 @@ def test_lines(spark, none):
     assert lines.dedup(none.select("doc_id", "text")).count() == 0
 
 
+def shingle_set(x):
+    return {x[k : k + 8] for k in range(max(1, len(x) - 7))}
+
+
+def near(x, y):
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def components_of(n, links):
+    """The smallest member of each one's component."""
+    root = list(range(n))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(k) for k in range(n)]
+
+
+def line_chains(rng, chains, steps, size=100):
+    """Lines in chains: each is like the one before, those two apart mostly aren't."""
+    out, letters = [], list("abcdefghijklmnopqrstuvwxyz ")
+    for _ in range(chains):
+        x = ["q", *rng.choice(letters, size - 2), "q"]
+        for k in range(steps):
+            out.append("".join(x))
+            x[10 + 12 * k % 80] = "Z"
+            x = x[:]
+    return out
+
+
+def test_lines_of_a_hot_key_by_brute_force(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    # one key for all lines, so that candidates are all pairs
+    monkeypatch.setattr(lines, "bands", lambda line, s: F.array(F.lit(1).cast("long")))
+    texts = line_chains(np.random.default_rng(5), 12, 6)
+    sets = [shingle_set(x) for x in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if near(sets[a], sets[b])]
+    assert len(links) == 60  # the chains A-B-C-D-E-F and nothing else
+    expected = components_of(len(texts), links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lines.dedup(docs, lines.Settings(block=7)).collect()
+    assert sorted(r.doc_id for r in got if not r.n_dropped) == sorted(set(expected))
+
+
 def test_pages(spark):
     page = "<html><body><nav><a href=x>Menu</a></nav><div class='cookie-notice'>Cookies, ok?</div><article><h1>A &amp; B</h1><p>One,  <b>two</b>\n three.<p>Four<br>five.<div class=comments><p>Nice, really!</p></div></article><footer>c</footer><script>x<y</script></body></html>"
     df = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", ""), (4, None, "<p>"), (5, "u", "plain words")], "page_id long, url string, html string")

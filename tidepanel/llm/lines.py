@@ -2,10 +2,10 @@
 
 A line is the set of its character shingles. The signature is taken from those that begin a word; one sort of their
 hashes gives MinHashes by one permutation: the hash range is cut into bands, and a band's smallest hashes are its key.
-Lines that share a key are candidates. A key's lines are tied to its smallest line, which is one pair per line and
-key whatever the group's size; pairs are verified by the exact Jaccard similarity of the two shingle sets, and what a
-star leaves loose in a key is tied anew to its own smallest line until nothing is loose. Verified pairs go through a
-distributed union-find, and each component keeps its first line.
+Lines that share a key are candidates. A key's lines are first compared with its smallest line, which is one pair per
+line and key whatever the group's size, and tied by a distributed union-find. Then every pair of a key's lines that lie
+in different components is compared too, in blocks of bounded size; a pair within a component can't change it. Pairs are
+verified by the exact Jaccard similarity of the two shingle sets, and each final component keeps its first line.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ class Settings:
     #: Bands are the values of a hash's top bits; a band's key is its per_band smallest hashes.
     band_bits: int = 3
     per_band: int = 4
-    #: A key whose star leaves lines loose is tied anew up to so many times.
-    rounds: int = 2
+    #: Lines of one block when a key's lines are compared with each other.
+    block: int = 1000
     #: Lines of so many characters are compared in full only if their signed shingles have this similarity.
     long: int = 120
     promising: float = 0.4
@@ -100,6 +100,24 @@ def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return lines.select("row", "pos", F.btrim("line").alias("line")).where("line <> ''")
 
 
+def across_classes(members: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): every pair of members (key, lid, root) of one key that lie in different classes, pairs with the root left out.
+
+    A key of more than s.block lines is cut into blocks by a hash of the line; each pair of blocks is a join key of its
+    own, so no task holds more than two blocks of one key.
+    """
+    marked = members.join(classes, members.lid == classes.vertex, "left").select("key", "lid", "root", F.coalesce("component", "lid").alias("class"))
+    split = marked.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
+    rest = marked.join(split.select("key", F.ceil(F.col("n") / F.lit(s.block)).cast("int").alias("blocks")), "key").where("lid <> root")
+    home = F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int")
+    dealt = rest.select("key", "lid", "class", home.alias("home"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = dealt.select("key", "lid", "class", "home", F.least("home", "other").alias("b1"), F.greatest("home", "other").alias("b2"))
+    x, y = (dealt.select("key", "b1", "b2", *(F.col(c).alias(c + side) for c in ("lid", "class", "home"))) for side in ("_x", "_y"))
+    own = (F.col("b1") == F.col("b2")) | (F.col("home_x") != F.col("home_y"))
+    found = x.join(y, ["key", "b1", "b2"]).where((F.col("lid_x") < F.col("lid_y")) & (F.col("class_x") != F.col("class_y")) & own)
+    return found.select(F.col("lid_x").alias("a"), F.col("lid_y").alias("b")).distinct()
+
+
 def repeated(docs: DataFrame, s: Settings | None = None, text: str = "text") -> DataFrame:
     """(row, held_lines, gone) for docs with a column row that orders them: lines, and positions of those to drop, of each row with any line."""
     s = s or Settings()
@@ -107,25 +125,19 @@ def repeated(docs: DataFrame, s: Settings | None = None, text: str = "text") ->
     signed = shared.stored(lines.select("row", "pos", F.xxhash64("line").alias("lid"), bands(F.col("line"), s).alias("keys")))
     keyed = signed.select("lid", F.explode("keys").alias("key"))
     several = keyed.groupBy("key").agg(F.min("lid").alias("root"), F.max("lid").alias("other")).where("root <> other").select("key", "root")
-    loose = keyed.join(several, "key").where("lid <> root").select("key", "lid", "root").distinct()
-    tied = None
-    texts = None
-    for turn in range(s.rounds):
-        loose = shared.stored(loose)
-        pairs = loose.select("lid", "root").distinct()
-        if turn == 0:
-            needed = pairs.select("lid").union(pairs.select("root")).distinct()
-            texts = lines.select(F.xxhash64("line").alias("lid"), "line").join(needed, "lid").groupBy("lid").agg(F.min("line").alias("line"))
-            texts = shared.stored(texts)
-        both = pairs.join(texts, "lid").join(texts.select(F.col("lid").alias("root"), F.col("line").alias("other")), "root")
-        passed = both.where(alike(F.col("line"), F.col("other"), s)).select("lid", "root")
-        passed = shared.stored(passed)
-        tied = passed if tied is None else tied.unionByName(passed)
-        if turn + 1 < s.rounds:
-            rest = loose.join(passed, ["lid", "root"], "left_anti").select("key", "lid")
-            again = rest.groupBy("key").agg(F.min("lid").alias("root"))
-            loose = rest.join(again, "key").where("lid <> root").select("key", "lid", "root")
-    classes = shared.components(tied.select(F.col("lid").alias("a"), F.col("root").alias("b")))
+    members = shared.stored(keyed.join(several, "key").select("key", "lid", "root").distinct())
+    needed = members.select("lid").distinct()
+    texts = lines.select(F.xxhash64("line").alias("lid"), "line").join(needed, "lid").groupBy("lid").agg(F.min("line").alias("line"))
+    texts = shared.stored(texts)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.withColumnRenamed("lid", "a"), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("other")), "b")
+        return shared.stored(both.where(alike(F.col("line"), F.col("other"), s)).select("a", "b"))
+
+    stars = verified(members.where("lid <> root").select(F.col("root").alias("a"), F.col("lid").alias("b")).distinct())
+    classes = shared.components(stars)
+    across = verified(across_classes(members, classes, s))
+    classes = shared.components(classes.where("vertex <> component").select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(across))
     place = F.struct("row", "pos")
     first = signed.groupBy("lid").agg(F.min(place).alias("at"), F.count("*").alias("n"))
     merged = first.join(classes, first.lid == classes.vertex, "left").select("lid", "at", "n", F.coalesce("component", "lid").alias("class"))
