@@ -202,6 +202,25 @@ def test_lines_of_a_hot_key_by_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in got if not r.n_dropped) == sorted(set(expected))
 
 
+@pytest.mark.parametrize("n", [6, 40, 150])
+def test_near_lines_meet_in_a_band(spark, n):
+    from pyspark.sql import functions as F
+
+    rng, pairs = np.random.default_rng(n), []
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(2000)]
+    while len(pairs) < 400:
+        a = " ".join(rng.choice(vocabulary, n))
+        b, x, y = list(a), shingle_set(a), shingle_set(a)
+        while len(x & y) >= 0.86 * len(x | y):
+            b[rng.integers(0, len(b))] = "#"
+            y = shingle_set("".join(b))
+        if near(x, y):
+            pairs.append((a, "".join(b)))
+    s = lines.Settings()
+    met = spark.createDataFrame(pairs, "a string, b string").where(F.arrays_overlap(lines.bands(F.col("a"), s), lines.bands(F.col("b"), s)))
+    assert met.count() >= 0.975 * 400
+
+
 def test_pages(spark):
     page = "<html><body><nav><a href=x>Menu</a></nav><div class='cookie-notice'>Cookies, ok?</div><article><h1>A &amp; B</h1><p>One,  <b>two</b>\n three.<p>Four<br>five.<div class=comments><p>Nice, really!</p></div></article><footer>c</footer><script>x<y</script></body></html>"
     df = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", ""), (4, None, "<p>"), (5, "u", "plain words")], "page_id long, url string, html string")

@@ -1,7 +1,7 @@
 """Line dedup, with DataFrame functions only: fuzzy lines by MinHash, keeping one line per component.
 
-A line is the set of its character shingles. The signature is taken from those that begin a word; one sort of their
-hashes gives MinHashes by one permutation: the hash range is cut into bands, and a band's smallest hashes are its key.
+A line is the set of its character shingles. One sort of their hashes gives MinHashes by one permutation: the hash
+range is cut into bands, and a band's smallest hashes are its key.
 Lines that share a key are candidates. A key's lines are first compared with its smallest line, which is one pair per
 line and key whatever the group's size, and tied by a distributed union-find. Then every pair of a key's lines that lie
 in different components is compared too, in blocks of bounded size; a pair within a component can't change it. Pairs are
@@ -22,16 +22,11 @@ from . import shared
 class Settings:
     threshold: float = 0.8
     shingle: int = 8
-    #: Characters of the shingles that begin a word, which the signature takes.
-    anchored: int = 16
     #: Bands are the values of a hash's top bits; a band's key is its per_band smallest hashes.
     band_bits: int = 3
     per_band: int = 4
     #: Lines of one block when a key's lines are compared with each other.
     block: int = 1000
-    #: Lines of so many characters are compared in full only if their signed shingles have this similarity.
-    long: int = 120
-    promising: float = 0.4
 
 
 def shingles(line: Column, s: Settings) -> Column:
@@ -43,35 +38,13 @@ def shingles(line: Column, s: Settings) -> Column:
 
 
 def alike(a: Column, b: Column, s: Settings) -> Column:
-    """Whether the exact Jaccard similarity of two lines' shingle sets reaches the threshold.
-
-    Long lines are compared by their signed shingles first; those that share hardly half of what the threshold asks for go.
-    """
+    """Whether the exact Jaccard similarity of two lines' shingle sets reaches the threshold."""
 
     def reached(sets: Column) -> Column:
         both = F.size(F.array_intersect(sets[0], sets[1]))
         return both >= F.lit(s.threshold) * (F.size(sets[0]) + F.size(sets[1]) - both) - 1e-9
 
-    def promising(some: Column) -> Column:
-        return F.size(F.array_intersect(some[0], some[1])) >= F.lit(s.promising) * F.size(F.array_union(some[0], some[1]))
-
-    exact = F.transform(F.array(F.array(*(F.array_distinct(shingles(x, s)) for x in (a, b)))), reached)[0]
-    first = F.transform(F.array(F.array(anchored(a, s), anchored(b, s))), promising)[0]
-    long = F.least(F.length(a), F.length(b)) >= s.long
-    return F.when(long & ~first, False).otherwise(exact)
-
-
-def anchored(line: Column, s: Settings) -> Column:
-    """Sorted hashes of the character shingles that begin a word: about one in six, chosen by content alone.
-
-    A line with few words for its length is signed by all its shingles.
-    """
-    starts = F.regexp_extract_all(line, F.lit(rf"(?:^|\s)(?=(\S.{{0,{s.anchored - 1}}}))"), F.lit(1))
-
-    def hashed(a: Column) -> Column:
-        return F.when(F.size(a) * 32 >= F.length(line), F.sort_array(F.transform(a, lambda x: F.xxhash64(x)))).otherwise(shingles(line, s))
-
-    return F.transform(F.array(starts), hashed)[0]
+    return F.transform(F.array(F.array(*(F.array_distinct(shingles(x, s)) for x in (a, b)))), reached)[0]
 
 
 def bands(line: Column, s: Settings) -> Column:
@@ -91,7 +64,7 @@ def bands(line: Column, s: Settings) -> Column:
 
         return F.transform(F.array(least), lambda m: F.when(F.size(m) == n_bands * each, full(m)).otherwise(some(m)))[0]
 
-    return F.transform(F.array(anchored(line, s)), keys)[0]
+    return F.transform(F.array(F.array_distinct(shingles(line, s))), keys)[0]
 
 
 def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
