@@ -44,6 +44,22 @@ def test_asof_sees_no_future(spark):
     assert a == b
 
 
+def test_latest_covers_every_key(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    where = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{where}/{t}.parquet'")
+    for name in ("jn_09", "jn_09_all"):
+        frame = entry.queries()[name](spark, where)
+        got = sorted((int(r.ticker), str(r.period)[:10], int(r.company), str(r.date)[:10]) for r in frame.collect())
+        expected = sorted((int(t), str(p)[:10], int(c), str(x)[:10]) for t, p, c, x in con.execute(entry.oracle_sql()[name]).fetchall())
+        assert got == expected and got
+
+
 def test_ewm_is_pandas(spark):
     x = [1.0, None, 3.0, 2.5, None, 7.0, 1.0]
     got = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)], "ticker string, di int, v double").select("di", W.ewm("v", span=3).alias("e")).orderBy("di").collect()

@@ -31,8 +31,15 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_t
 
 def latest(keys: DataFrame, items: DataFrame, by: list[str], as_of: str, ts: str, per: list[str], order: list[str]) -> DataFrame:
     """The newest item at or before as_of for each key row and each value of `per`."""
-    w = Window.partitionBy(*by, as_of, *per).orderBy(F.desc(ts), *(F.desc(c) for c in order))
-    return keys.join(items, by).where(F.col(ts) <= F.col(as_of)).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    held = [c for c in items.columns if c not in (*by, *per)]
+    dated = items.where(F.col(ts).isNotNull())
+    rows = keys.where(F.col(as_of).isNotNull()).join(dated.select(*by, *per).distinct(), by)
+    # items sort before the keys that may see them, the newest last
+    events = dated.select(*by, *per, F.col(ts).alias("at__"), F.struct(*order).alias("tie__"), F.struct(*held).alias("item__"))
+    asked = rows.select(*by, *per, F.col(as_of).alias("at__"), F.struct(*(c for c in keys.columns if c not in by)).alias("key__"))
+    w = Window.partitionBy(*by, *per).orderBy("at__", F.col("key__").isNotNull(), "tie__").rowsBetween(Window.unboundedPreceding, 0)
+    found = events.unionByName(asked, allowMissingColumns=True).withColumn("item__", F.last("item__", ignorenulls=True).over(w))
+    return found.where("key__ is not null and item__ is not null").select(*by, "key__.*", *per, "item__.*")
 
 
 def window_items(keys: DataFrame, items: DataFrame, by: list[str], as_of: str, ts: str, days: int) -> DataFrame:

@@ -211,6 +211,12 @@ def jn_09(spark, d):
     return A.latest(keys, S.grades(spark, d), ["ticker"], "period", "date", ["company"], ["o_orderkey"]).select("ticker", "period", "company", "date")
 
 
+@query("SELECT ticker, period, company, date FROM (SELECT r.ticker, r.period, g.company, g.date, row_number() OVER (PARTITION BY r.ticker, r.period, g.company ORDER BY g.date DESC, g.o_orderkey DESC) AS rn FROM recs r JOIN grades g ON g.ticker = r.ticker AND g.date <= r.period) WHERE rn = 1", "recs grades")
+def jn_09_all(spark, d):
+    keys = S.recommendations(spark, d).select("ticker", "period")
+    return A.latest(keys, S.grades(spark, d), ["ticker"], "period", "date", ["company"], ["o_orderkey"]).select("ticker", "period", "company", "date")
+
+
 @query("WITH x AS (SELECT DISTINCT year(date) AS y, ticker, company FROM grades), s AS (SELECT y, company, count(*) AS n FROM x GROUP BY 1, 2) SELECT a.y, a.ticker AS src, b.ticker AS dst, round(sum(1.0 / n), 6) AS w FROM x a JOIN x b ON a.y = b.y AND a.company = b.company AND a.ticker <> b.ticker JOIN s ON s.y = a.y AND s.company = a.company GROUP BY 1, 2, 3".replace("WITH x AS (", "SELECT * FROM (WITH x AS (") + ")", "grades")
 def sig_08(spark, d):
     return cocoverage(S.grades(spark, d)).select("y", "src", "dst", *r6("w"))
