@@ -106,6 +106,19 @@ def test_contamination_with_edits(spark):
     assert [(r.doc_id, r.first_word, r.last_word) for r in got] == [(1, 9, 68)] and got[0].similarity == pytest.approx(51 / 56)
 
 
+def test_contamination_of_rewritten_long_items(spark):
+    rng, docs, items = np.random.default_rng(3), [], []
+    for k in range(400):
+        w = [f"i{k}x{j}" for j in range(150)]
+        at = int(rng.integers(30, 90))
+        # 150 words hold 146 shingles; 25 rewritten words take 29 of them
+        docs.append((k, " ".join([*w[:at], *(f"r{k}y{j}" for j in range(25)), *w[at + 25 :]])))
+        items.append((k, " ".join(w)))
+    got = contamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(400)]
+    assert all(r.similarity == pytest.approx(117 / 146) for r in got)
+
+
 def test_several_benchmark_slices_agree(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet").select(c, "text") for t, c in (("documents", "doc_id"), ("benchmark", "item_id")))
     whole = set(map(tuple, contamination.contaminated(docs, items).select("doc_id", "item_id").collect()))

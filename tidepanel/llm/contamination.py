@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted shingles.
 
 A window of as many words as an item has gets a 64-bit SimHash of its weighted words. The items' fingerprints are cut
-into 8 blocks of 8 bits; two fingerprints within 15 bits agree in some block to within 1 bit, so looking up a block's
-value and its 8 neighbours finds every item within the radius. Candidates within it are verified by the exact
+into 8 blocks of 8 bits; two fingerprints within 22 bits agree in some block to within 2 bits, so looking up a block's
+value and its 36 neighbours finds every item within the radius. Candidates within it are verified by the exact
 similarity: the weight of the item's five-word shingles that stand in the window, over the weight of all of them.
 Weights fall with the number of items a word or shingle occurs in.
 
@@ -27,7 +27,7 @@ BLOCKS = 8
 @dataclass(frozen=True)
 class Settings:
     similarity: float = 0.8
-    radius: int = 15
+    radius: int = 22
     #: Most items of one broadcast; larger benchmarks are searched in slices of this many, one pass over the texts each.
     most_items: int = 20_000
 
@@ -109,7 +109,8 @@ def _index(rows: list, word_df: dict[int, int], shingle_df: dict[int, int], s: S
     sieve = np.zeros(1 << bits, bool)
     sieve[shingles >> np.uint64(64 - bits)] = True
     prints = np.array(prints, np.uint8).reshape(len(rows), 8)
-    near = [[v, *(v ^ (1 << b) for b in range(8))] for v in range(256)]
+    most = s.radius // BLOCKS  # some block differs by at most so many bits
+    near = [[u for u in range(256) if _ONES[u ^ v] <= most] for v in range(256)]
     blocks = [[np.flatnonzero(np.isin(prints[:, b], near[v])) for v in range(256)] for b in range(BLOCKS)]
     return Index(np.array([r[0] for r in rows]), np.array(sizes), prints, sets, set_weights, words, weights, shingles, owners, sieve, 64 - bits, blocks)
 
