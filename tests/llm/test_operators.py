@@ -41,6 +41,11 @@ def test_licences(spark, odd, none):
     assert got[3].base_labels == "cc-by,gpl"
 
 
+def test_adjacent_notices():
+    got = licences.find("all rights reservd all rights reserved")
+    assert [(e, a, b) for _, e, a, b in got] == [(1, 0, 18), (0, 19, 38)]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 16))

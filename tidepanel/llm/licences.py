@@ -82,9 +82,14 @@ def find(text: str, notices: tuple = NOTICES) -> list[tuple[int, int, int, int]]
         done = -1
         for lo, hi in sorted(spans):
             lo = max(lo, done)
-            while lo < hi and (m := match[n].search(text, lo, min(hi, len(text)))):
-                out.append((n, sum(m.fuzzy_counts), m.start(), m.end()))
-                lo = done = max(m.end(), lo + 1)
+            least = len(notices[n][0]) - notices[n][2]
+            parts = [(lo, min(hi, len(text)))]
+            while parts:
+                a, b = parts.pop()
+                if b - a >= least and (m := match[n].search(text, a, b)):
+                    out.append((n, sum(m.fuzzy_counts), m.start(), m.end()))
+                    done = max(done, m.end())
+                    parts += [(a, m.start()), (max(m.end(), a + 1), b)]
     return sorted(out, key=lambda x: (x[2], x[0]))
 
 
