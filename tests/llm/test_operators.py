@@ -248,6 +248,14 @@ def test_pages(spark):
     assert extraction.extract(df.limit(0)).count() == 0
 
 
+def test_pages_judge_blocks_by_all_their_text():
+    items = "".join(f"<li><a href=x>Name {k}</a> a long description of the thing, number {k}.</li>" for k in range(4))
+    menu = "".join(f"<li><a href=x>Link {k}</a></li>" for k in range(4))
+    page = f"<body><div class='no-sidebar'><article><p><span class=notice>Note</span> the whole paragraph is here, to be kept.</p><ul>{items}</ul><ul>{menu}</ul></article></div><div class=sidebar><p>Aside, short.</p></div></body>"
+    got = extraction.main_text(page).split("\n")
+    assert got == ["Note the whole paragraph is here, to be kept.", *(f"Name {k} a long description of the thing, number {k}." for k in range(4))]
+
+
 def test_quality(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     s = quality.Settings()

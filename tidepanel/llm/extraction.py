@@ -46,11 +46,11 @@ class _Page:
 
     def __init__(self):
         self.number: dict[tuple, int] = {}
-        self.parent, self.tag, self.bad = [-1], [""], [False]
+        self.parent, self.tag, self.bad, self.worded = [-1], [""], [False], [False]
         self.plain, self.linked, self.marks, self.words, self.visits = [0], [0], [0], [0], [0]
         self.order: list[int] = []
 
-    def path(self, parent: int, tag: str, mark: str, bad: bool) -> int:
+    def path(self, parent: int, tag: str, mark: str, bad: bool, worded: bool) -> int:
         key = (parent, tag, mark)
         n = self.number.get(key)
         if n is None:
@@ -58,36 +58,37 @@ class _Page:
             self.parent.append(parent)
             self.tag.append(tag)
             self.bad.append(bad or self.bad[parent])
+            self.worded.append(worded)
             for x in (self.plain, self.linked, self.marks, self.words, self.visits):
                 x.append(0)
         return n
 
 
-def _furniture(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
-    """Whether a tag is furniture, and its classes as part of the path."""
-    bad, mark = tag in FURNITURE or tag == "header" and not inside, ""
+def _furniture(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether a tag is furniture, whether its class, id or role says so, and its classes as part of the path."""
+    worded, bad, mark = False, tag in FURNITURE or tag == "header" and not inside, ""
     if attributes and "=" in attributes or "hidden" in attributes:
         for m in MARK.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id", "role"):
                 mark += f".{value}" if name == "class" else ""
-                bad = bad or tag not in ("html", "body", "article", "main") and not WORDS.isdisjoint(SPLIT.split(value))
+                worded = worded or tag not in ("html", "body", "article", "main") and not WORDS.isdisjoint(SPLIT.split(value))
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 bad = True
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 bad = True
-    return bad, mark
+    return bad, worded, mark
 
 
-def _blocks(source: str) -> tuple[_Page, list[tuple[int, str]]]:
-    """The page's paths, and its blocks of text in page order, each with the path of its first text."""
+def _blocks(source: str) -> tuple[_Page, list[tuple[list, str]]]:
+    """The page's paths, and its blocks of text in page order, each with (path, size, in a link) of its texts."""
     page, blocks = _Page(), []
     stack: list[tuple[str, int, bool]] = []  # tag, path, inside an article
     parts: list[str] = []
-    block_path, links, at, n = 0, 0, 0, len(source)
+    held: list[tuple[int, int, bool]] = []
+    links, at, n = 0, 0, len(source)
 
     def text(raw: str) -> None:
-        nonlocal block_path
         said = html.unescape(raw) if "&" in raw else raw
         here = stack[-1][1] if stack else 0
         if size := len(said.strip()):
@@ -100,15 +101,15 @@ def _blocks(source: str) -> tuple[_Page, list[tuple[int, str]]]:
             if not page.visits[here]:
                 page.order.append(here)
             page.visits[here] += 1
-            if not any(p.strip() for p in parts):
-                block_path = here
+            held.append((here, size, links > 0))
         parts.append(said)
 
     def flush() -> None:
         said = " ".join("".join(parts).split())
         parts.clear()
         if said:
-            blocks.append((block_path, said))
+            blocks.append((list(held), said))
+        held.clear()
 
     def close(k: int) -> None:
         nonlocal links
@@ -145,8 +146,8 @@ def _blocks(source: str) -> tuple[_Page, list[tuple[int, str]]]:
                 elif stack[k][0] in SCOPE:
                     break
         inside = bool(stack) and stack[-1][2]
-        bad, mark = _furniture(tag, attributes, inside)
-        here = page.path(stack[-1][1] if stack else 0, tag, mark, bad)
+        bad, worded, mark = _furniture(tag, attributes, inside)
+        here = page.path(stack[-1][1] if stack else 0, tag, mark, bad, worded)
         if tag in VOID or attributes.endswith("/") and tag not in INLINE and tag not in ENDS_P:
             continue
         if tag in RAW:
@@ -176,23 +177,38 @@ def _scores(page: _Page) -> dict[int, float]:
     return fused
 
 
-def main_text(source: str | None) -> str:
-    """The blocks of the page's main text, joined by a newline."""
-    if not source:
-        return ""
-    page, blocks = _blocks(source)
+def _seed_text(page: _Page) -> dict[int, int]:
+    """How much of the seeds' text each path holds."""
     fused = _scores(page)
     if not fused:
-        return ""
+        return {}
     values = list(fused.values())
-    mean = sum(values) / len(values)
-    bar = min(mean, max(values) / 2)
-    seeds = {k: page.plain[k] for k, v in fused.items() if v >= bar}
+    bar = min(sum(values) / len(values), max(values) / 2)
     held: dict[int, int] = {}
-    for k, size in seeds.items():
+    for k in (k for k, v in fused.items() if v >= bar):
+        size = page.plain[k]
         while k >= 0:
             held[k] = held.get(k, 0) + size
             k = page.parent[k]
+    return held
+
+
+def _condemn(page: _Page) -> None:
+    """Mark what a word in a class, id or role calls furniture, but for elements that hold most of the seed text."""
+    held = _seed_text(page)
+    for k in range(1, len(page.parent)):  # parents come first
+        page.bad[k] = page.bad[k] or page.bad[page.parent[k]] or page.worded[k] and 2 * held.get(k, 0) <= held.get(0, 0)
+
+
+def main_text(source: str | None) -> str:
+    """The blocks of the page's main text, joined by a newline."""
+    if not source:
+        return ""
+    page, blocks = _blocks(source)
+    _condemn(page)
+    held = _seed_text(page)
+    if not held:
+        return ""
     total = held.get(0, 0)
     semantic = {k: s for k, s in held.items() if page.tag[k] in ("article", "main")}
     if semantic and max(semantic.values()) >= 0.3 * total:
@@ -209,11 +225,19 @@ def main_text(source: str | None) -> str:
             while j >= 0 and not under:
                 under = j in root_of
                 j = page.parent[j]
-            menu = page.linked[k] > 0 and page.plain[k] == 0 and page.visits[k] >= 3 and page.linked[k] / page.visits[k] < 40 and _listed(page, k)
-            keep[k] = under and not page.bad[k] and not menu
+            keep[k] = under and not page.bad[k]
         return keep[k]
 
-    return "\n".join(said for k, said in blocks if kept(k))
+    def menu(k: int) -> bool:
+        return page.linked[k] > 0 and page.plain[k] == 0 and page.visits[k] >= 3 and page.linked[k] / page.visits[k] < 40 and _listed(page, k)
+
+    def stays(texts: list) -> bool:
+        size, linked = sum(n for _, n, _ in texts), sum(n for _, n, link in texts if link)
+        if linked >= 0.9 * size and any(menu(k) for k, _, link in texts if link):
+            return False
+        return 2 * sum(n for k, n, _ in texts if kept(k)) > size
+
+    return "\n".join(said for texts, said in blocks if stays(texts))
 
 
 def _depth(page: _Page, k: int) -> int:
