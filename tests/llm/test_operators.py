@@ -209,7 +209,7 @@ def test_lines_of_a_hot_key_by_brute_force(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     # one key for all lines, so that candidates are all pairs
-    monkeypatch.setattr(lines, "bands", lambda line, s: F.array(F.lit(1).cast("long")))
+    monkeypatch.setattr(lines, "signatures", lambda each, s: each.select("lid", F.array(*[F.lit(1).cast("long")] * s.bands).alias("keys")))
     texts = line_chains(np.random.default_rng(5), 12, 6)
     sets = [shingle_set(x) for x in texts]
     links = [(a, b) for a in range(len(sets)) for b in range(a) if near(sets[a], sets[b])]
@@ -234,9 +234,13 @@ def test_near_lines_meet_in_a_band(spark, n):
             y = shingle_set("".join(b))
         if near(x, y):
             pairs.append((a, "".join(b)))
+    df = spark.createDataFrame([(2 * k + side, x) for k, pair in enumerate(pairs) for side, x in enumerate(pair)], "lid long, line string")
     s = lines.Settings()
-    met = spark.createDataFrame(pairs, "a string, b string").where(F.arrays_overlap(lines.bands(F.col("a"), s), lines.bands(F.col("b"), s)))
-    assert met.count() >= 0.975 * 400
+    keys = lines.signatures(df, s)
+    one, two = (keys.where(F.col("lid") % 2 == side).select((F.col("lid") - side).alias("lid"), F.col("keys").alias(f"k{side}")) for side in (0, 1))
+    meet = F.reduce(F.zip_with("k0", "k1", lambda x, y: x == y), F.lit(False), lambda x, y: x | y)
+    met = one.join(two, "lid").where(meet & lines.agree(F.col("k0"), F.col("k1"), s)).count()
+    assert met >= 0.975 * 400
 
 
 def test_pages(spark):

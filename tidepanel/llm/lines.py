@@ -1,18 +1,22 @@
 """Line dedup, with DataFrame functions only: fuzzy lines by MinHash, keeping one line per component.
 
-A line is the set of its character shingles. One sort of their hashes gives MinHashes by one permutation: the hash
-range is cut into bands, and a band's smallest hashes are its key.
-Lines that share a key are candidates. A key's lines are first compared with its smallest line, which is one pair per
-line and key whatever the group's size, and tied by a distributed union-find. Then every pair of a key's lines that lie
-in different components is compared too, in blocks of bounded size; a pair within a component can't change it. Pairs are
-verified by the exact Jaccard similarity of the two shingle sets, and each final component keeps its first line.
+A line is the set of its character shingles. Its MinHashes are the shingle hashes nearest to fixed points, nearest by
+exclusive or: for each point, two lines agree with the probability of their Jaccard similarity. The values of a few points
+make a band's key, and lines that share a key are candidates.
+
+Within a key lines are first compared with the smallest line of their block of bounded size, and the blocks' smallest
+lines with each other along a chain: about one pair per line and key, whatever the group's size. A distributed
+union-find ties what is alike. Then every pair of a key's lines that lie in different components is compared too, in
+blocks; a pair within a component can't change it. Pairs are verified by the exact Jaccard similarity of the two shingle
+sets, and each final component keeps its first line.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -22,49 +26,55 @@ from . import shared
 class Settings:
     threshold: float = 0.8
     shingle: int = 8
-    #: Bands are the values of a hash's top bits; a band's key is its per_band smallest hashes.
-    band_bits: int = 3
-    per_band: int = 4
-    #: Lines of one block when a key's lines are compared with each other.
+    #: Keys of a line, and MinHashes in a key: at the threshold a pair shares a key with probability 1 - (1 - 0.8 ** 3) ** 7 = 0.993.
+    bands: int = 7
+    per_band: int = 3
+    #: Of all the MinHashes of two lines so many must agree before their sets are compared. At the threshold 16.8 of 21 do on
+    #: average; fewer than 7 do in about 1 of 100,000 pairs.
+    agreeing: int = 7
+    #: Lines of one block of a key.
     block: int = 1000
 
 
-def shingles(line: Column, s: Settings) -> Column:
-    """Sorted hashes of a line's character shingles; a line shorter than a shingle is one shingle."""
-    data = F.encode(line, "UTF-16BE")  # two bytes a character, so a shingle is cut in constant time
-    last = F.length(data) / 2 - s.shingle
-    hashes = F.transform(F.array(data), lambda d: F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)).cast("int")), lambda i: F.xxhash64(F.substring(d, i * 2 + 1, F.lit(2 * s.shingle)))))[0]
-    return F.sort_array(hashes)
-
-
-def alike(a: Column, b: Column, s: Settings) -> Column:
-    """Whether the exact Jaccard similarity of two lines' shingle sets reaches the threshold."""
+def long(x: int) -> Column:
+    """A 64-bit pattern as a signed long."""
+    return F.lit(x - 2**64 if x >= 2**63 else x)
 
-    def reached(sets: Column) -> Column:
-        both = F.size(F.array_intersect(sets[0], sets[1]))
-        return both >= F.lit(s.threshold) * (F.size(sets[0]) + F.size(sets[1]) - both) - 1e-9
 
-    return F.transform(F.array(F.array(*(F.array_distinct(shingles(x, s)) for x in (a, b)))), reached)[0]
+def shingles(line: Column, s: Settings) -> Column:
+    """The hashes of a line's character shingles; a line shorter than a shingle is one shingle."""
+    # two bytes a character, so a shingle is cut in constant time
+    return F.transform(F.array(F.encode(line, "UTF-16BE")), lambda d: F.transform(F.sequence(F.lit(1), last_start(d, s), F.lit(2)), lambda i: F.xxhash64(F.substring(d, i, F.lit(2 * s.shingle)))))[0]
 
 
-def bands(line: Column, s: Settings) -> Column:
-    """The keys of a line's bands: the smallest few hashes under each value of a hash's top bits."""
-    drop, n_bands, each = 64 - s.band_bits, 1 << s.band_bits, s.per_band
+def last_start(data: Column, s: Settings) -> Column:
+    """Where the last shingle of a line in UTF-16 begins, from 1."""
+    return F.greatest(F.length(data) - 2 * s.shingle + 1, F.lit(1))
 
-    def keys(h: Column) -> Column:
-        # a hash is among the first `each` of its band if the one so many places before it lies in another band
-        least = F.filter(h, lambda x, i: (i < each) | (F.shiftrightunsigned(x, drop) != F.shiftrightunsigned(F.get(h, i - each), drop)))
 
-        def full(m: Column) -> Column:
-            return F.array(*(F.xxhash64(*(F.get(m, F.lit(each * b + k)) for k in range(each))) for b in range(n_bands)))
+def signatures(lines: DataFrame, s: Settings, step: int = 4) -> DataFrame:
+    """(lid, keys) of lines (lid, line), one row for each lid: a band's key packs the low bits of its MinHashes.
 
-        def some(m: Column) -> Column:
-            there = F.array_distinct(F.transform(m, lambda x: F.shiftrightunsigned(x, drop)))
-            return F.transform(there, lambda b: F.xxhash64(F.filter(m, lambda x: F.shiftrightunsigned(x, drop) == b)))
+    Every `step` characters are a row with as many hashes, so that the aggregation has few rows; lines bucketed by lid
+    are signed without a shuffle.
+    """
+    points, bits = s.bands * s.per_band, 63 // s.per_band
+    data = lines.select("lid", F.encode("line", "UTF-16BE").alias("data"))
+    at = data.select("lid", "data", last_start(F.col("data"), s).alias("last"), F.explode(F.sequence(F.lit(1), last_start(F.col("data"), s), F.lit(2 * step))).alias("at"))
+    # the last row of a line repeats its last shingle, which doesn't change a set
+    some = at.select("lid", *(F.xxhash64(F.substring("data", F.least(F.col("at") + 2 * k, F.col("last")), F.lit(2 * s.shingle))).alias(f"h{k}") for k in range(step)))
+    near = (F.least(*(F.col(f"h{k}").bitwiseXOR(long((p * 2**64 // points) ^ 2**63)) for k in range(step))) for p in range(points))
+    least = some.groupBy("lid").agg(*(F.min(x).alias(f"m{p}") for p, x in enumerate(near)))
+    lane = lambda p, k: F.shiftleft(F.col(f"m{p}").bitwiseAND(F.lit(2**bits - 1)), bits * k)
+    keys = (reduce(lambda a, b: a.bitwiseOR(b), (lane(b + k * s.bands, k) for k in range(s.per_band))) for b in range(s.bands))
+    return least.select("lid", F.array(*keys).alias("keys"))
 
-        return F.transform(F.array(least), lambda m: F.when(F.size(m) == n_bands * each, full(m)).otherwise(some(m)))[0]
 
-    return F.transform(F.array(F.array_distinct(shingles(line, s))), keys)[0]
+def agree(a: Column, b: Column, s: Settings) -> Column:
+    """Whether enough MinHashes of two lines' keys agree."""
+    bits = 63 // s.per_band
+    same = ((F.shiftrightunsigned(a[i].bitwiseXOR(b[i]), bits * k).bitwiseAND(F.lit(2**bits - 1)) == 0).cast("int") for i in range(s.bands) for k in range(s.per_band))
+    return reduce(lambda x, y: x + y, same) >= s.agreeing
 
 
 def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -73,52 +83,71 @@ def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return lines.select("row", "pos", F.btrim("line").alias("line")).where("line <> ''")
 
 
+def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) of lids whose lines' shingle sets have a Jaccard similarity at or over the threshold."""
+    sets = texts.select("lid", "line")
+    both = pairs.join(sets.withColumnsRenamed({"lid": "a", "line": "x"}), "a").join(sets.withColumnsRenamed({"lid": "b", "line": "y"}), "b")
+    both = both.select("a", "b", shingles(F.col("x"), s).alias("x"), shingles(F.col("y"), s).alias("y"))
+    alike = F.size(F.array_intersect("x", "y")) >= F.lit(s.threshold) * F.size(F.array_union("x", "y")) - 1e-9
+    return shared.stored(both.select("a", "b", alike.alias("alike"))).where("alike").select("a", "b")
+
+
+def first_pairs(members: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): each member with the smallest one of its block, and the blocks' smallest ones of a key along a chain."""
+    root = F.min(F.struct("lid", "keys")).over(Window.partitionBy("key", "home"))
+    tied = members.withColumn("root", root).where(F.col("root.lid") != F.col("lid"))
+    stars = tied.where(agree(F.col("root.keys"), F.col("keys"), s)).select(F.col("root.lid").alias("a"), F.col("lid").alias("b"))
+    heads = members.where("blocks > 1").groupBy("key", "home").agg(F.min("lid").alias("b"))
+    chain = heads.select(F.lag("b").over(Window.partitionBy("key").orderBy("b")).alias("a"), "b").where("a is not null")
+    return stars.unionByName(chain).distinct()
+
+
 def across_classes(members: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): every pair of members (key, lid, root) of one key that lie in different classes, pairs with the root left out.
+    """(a, b): every pair of members of one key that lie in different classes and agree in enough MinHashes.
 
-    A key of more than s.block lines is cut into blocks by a hash of the line; each pair of blocks is a join key of its
-    own, so no task holds more than two blocks of one key.
+    Each pair of a key's blocks is a join key of its own, so no task holds more than two blocks of one key.
     """
-    marked = members.join(classes, members.lid == classes.vertex, "left").select("key", "lid", "root", F.coalesce("component", "lid").alias("class"))
-    split = marked.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
-    rest = marked.join(split.select("key", F.ceil(F.col("n") / F.lit(s.block)).cast("int").alias("blocks")), "key").where("lid <> root")
-    home = F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int")
-    dealt = rest.select("key", "lid", "class", home.alias("home"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.select("key", "lid", "class", "home", F.least("home", "other").alias("b1"), F.greatest("home", "other").alias("b2"))
-    x, y = (dealt.select("key", "b1", "b2", *(F.col(c).alias(c + side) for c in ("lid", "class", "home"))) for side in ("_x", "_y"))
+    marked = members.join(classes, members.lid == classes.vertex, "left").select("key", "lid", "keys", "home", "blocks", F.coalesce("component", "lid").alias("class"))
+    split = marked.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    dealt = marked.join(split, "key", "left_semi").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("key", "lid", "class", "keys", "home", F.least("home", "other").alias("b1"), F.greatest("home", "other").alias("b2"))
+    x, y = (dealt.select("key", "b1", "b2", *(F.col(c).alias(c + side) for c in ("lid", "class", "keys", "home"))) for side in ("_x", "_y"))
     own = (F.col("b1") == F.col("b2")) | (F.col("home_x") != F.col("home_y"))
-    found = x.join(y, ["key", "b1", "b2"]).where((F.col("lid_x") < F.col("lid_y")) & (F.col("class_x") != F.col("class_y")) & own)
+    found = x.join(y, ["key", "b1", "b2"]).where((F.col("lid_x") < F.col("lid_y")) & (F.col("class_x") != F.col("class_y")) & own & agree(F.col("keys_x"), F.col("keys_y"), s))
     return found.select(F.col("lid_x").alias("a"), F.col("lid_y").alias("b")).distinct()
 
 
+def line_classes(lines: DataFrame, s: Settings) -> DataFrame:
+    """(vertex, component) of the lines (lid, line), one row for each lid, that are alike to another one."""
+    signed = shared.stored(signatures(lines, s), by="lid")
+    keyed = signed.select("lid", F.posexplode("keys").alias("band", "value")).select("lid", F.xxhash64("band", "value").alias("key"))
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / F.lit(s.block)).cast("int")
+    held = keyed.join(several, "key").select("key", "lid", blocks.alias("blocks"), F.pmod(F.xxhash64("lid", "key"), blocks).cast("int").alias("home"))
+    members = shared.stored(held.join(signed, "lid"))
+    texts = shared.stored(lines.select("lid", "line").join(members.select("lid").distinct(), "lid", "left_semi"), by="lid")
+    classes = shared.components(verified(first_pairs(members, s), texts, s))
+    across = verified(across_classes(members, classes, s), texts, s)
+    known = classes.where("vertex <> component").select(F.col("vertex").alias("a"), F.col("component").alias("b"))
+    return shared.components(known.unionByName(across))
+
+
 def repeated(docs: DataFrame, s: Settings | None = None, text: str = "text") -> DataFrame:
-    """(row, held_lines, gone) for docs with a column row that orders them: lines, and positions of those to drop, of each row with any line."""
+    """(row, gone) for docs with a column row that orders them: the positions of the lines to drop, of rows with any."""
     s = s or Settings()
-    lines = split_lines(docs, text)
-    signed = shared.stored(lines.select("row", "pos", F.xxhash64("line").alias("lid"), bands(F.col("line"), s).alias("keys")))
-    keyed = signed.select("lid", F.explode("keys").alias("key"))
-    several = keyed.groupBy("key").agg(F.min("lid").alias("root"), F.max("lid").alias("other")).where("root <> other").select("key", "root")
-    members = shared.stored(keyed.join(several, "key").select("key", "lid", "root").distinct())
-    needed = members.select("lid").distinct()
-    texts = lines.select(F.xxhash64("line").alias("lid"), "line").join(needed, "lid").groupBy("lid").agg(F.min("line").alias("line"))
-    texts = shared.stored(texts)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.withColumnRenamed("lid", "a"), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("other")), "b")
-        return shared.stored(both.where(alike(F.col("line"), F.col("other"), s)).select("a", "b"))
-
-    stars = verified(members.where("lid <> root").select(F.col("root").alias("a"), F.col("lid").alias("b")).distinct())
-    classes = shared.components(stars)
-    across = verified(across_classes(members, classes, s))
-    classes = shared.components(classes.where("vertex <> component").select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(across))
-    place = F.struct("row", "pos")
-    first = signed.groupBy("lid").agg(F.min(place).alias("at"), F.count("*").alias("n"))
-    merged = first.join(classes, first.lid == classes.vertex, "left").select("lid", "at", "n", F.coalesce("component", "lid").alias("class"))
-    kept = merged.groupBy("class").agg(F.min("at").alias("at"), F.sum("n").alias("n")).where("n > 1")
-    drop = merged.join(kept.select("class", F.col("at").alias("stays")), "class").select("lid", "stays")
-    held = signed.select("row", "pos", "lid").join(drop, "lid", "left")
-    gone = (F.col("stays.row") != F.col("row")) | (F.col("stays.pos") != F.col("pos"))
-    return shared.stored(held.groupBy("row").agg(F.size(F.collect_set("pos")).alias("held_lines"), F.collect_set(F.when(gone, F.col("pos"))).alias("gone")))
+    lines = split_lines(docs, text).select(F.xxhash64("line").alias("lid"), "row", "pos", "line")
+    each = lines.groupBy("lid").agg(F.min("line").alias("line"), F.min(F.struct("row", "pos")).alias("at"), F.count("*").alias("n"))
+    each = shared.stored(each, by="lid")
+    classes = line_classes(each, s)
+    placed = each.select("lid", "at", "n").join(classes, each.lid == classes.vertex, "left").drop("vertex")
+    tied = shared.stored(placed.where("component is not null"))
+    firsts = shared.stored(tied.groupBy("component").agg(F.min("at").alias("stays"), F.count("*").alias("size")))
+    in_classes = shared.spread_join(tied, firsts, "component", "size", ["lid"]).select("lid", "stays", "n")
+    alone = placed.where("component is null and n > 1").select("lid", F.col("at").alias("stays"), "n")
+    drop = shared.stored(in_classes.unionByName(alone))
+    held = shared.spread_join(lines.select("lid", "row", "pos"), drop, "lid", "n", ["row", "pos"])
+    gone = held.where((F.col("stays.row") != F.col("row")) | (F.col("stays.pos") != F.col("pos")))
+    return shared.stored(gone.groupBy("row").agg(F.collect_set("pos").alias("gone")))
 
 
 def dedup(docs: DataFrame, s: Settings | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -127,17 +156,20 @@ def dedup(docs: DataFrame, s: Settings | None = None, text: str = "text", id_col
     Lines are alike if their shingle sets have a Jaccard similarity at or over the threshold; equal lines always are. The
     first one, by id, then by position, stays in its place; blank lines stay. A null text stays null with 0 lines; an
     empty one stays empty. Rows with a null id come first; repeated rows are told apart by their text, and rows equal in
-    both keep the same lines. Other columns stay as they are.
+    both keep the same lines. Other columns stay as they are, whatever their names. Lines are named by 64-bit hashes.
     """
     s = s or Settings()
     row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"))
     kept = docs.drop("n_lines", "n_dropped")
-    found = repeated(kept.select(row.alias("row"), text), s, text).withColumnsRenamed({"row": "found_row__", "gone": "gone__", "held_lines": "held_lines__"})
-    out = kept.withColumn("row__", row).join(found, F.col("row__").eqNullSafe(F.col("found_row__")), "left")
-    few = F.transform(F.array(F.split(F.col(text), "\n", -1)), lambda ls: F.array_join(F.filter(ls, lambda x, i: ~F.array_contains("gone__", i)), "\n"))[0]
-    size = F.coalesce(F.size("gone__"), F.lit(0))
+    mine, theirs, gone = shared.free_names(kept.columns, "row", "found_row", "gone")
+    found = repeated(kept.select(row.alias("row"), text), s, text).withColumnsRenamed({"row": theirs, "gone": gone})
+    out = kept.withColumn(mine, row).join(found, F.col(mine).eqNullSafe(F.col(theirs)), "left")
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    few = F.transform(F.array(F.split(F.col(text), "\n", -1)), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(gone)), lambda i: F.get(ls, i)), "\n"))[0]
+    size = F.coalesce(F.size(gone), F.lit(0))
     shown = F.when(size == 0, F.col(text)).otherwise(few).alias(text)
-    return out.select(*(shown if c == text else c for c in kept.columns), F.coalesce("held_lines__", F.lit(0)).cast("long").alias("n_lines"), size.cast("long").alias("n_dropped"))
+    n_lines = F.size(F.filter(lines, lambda x: F.btrim(x) != ""))
+    return out.select(*(shown if c == text else F.col(f"`{c}`") for c in kept.columns), n_lines.cast("long").alias("n_lines"), size.cast("long").alias("n_dropped"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -16,25 +15,67 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share; one of our own only where it is unset and Spark is local."""
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(where)
-    elif not context.getCheckpointDir():
+    if not context.getCheckpointDir():
         context.setCheckpointDir(where)
     return where
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # what the finished step shuffled isn't needed any more; Spark's cleaner drops it once the driver forgets the plan
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: cuts lineage, survives lost executors.
+
+    With `by` the table is bucketed by that column, so joins and groups on it don't shuffle its rows again.
+    """
+    spark, name = df.sparkSession, f"table_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    out = df.write.option("compression", "zstd")
+    if by is None:
+        out.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    out.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).format("parquet").saveAsTable(name)
+    back = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay in the shared folder
+    return back
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+# -------------------------------------------------------------------- joins
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, weight: str, spread: list[str], heaviest: int = 1000, total: int | None = None) -> DataFrame:
+    """Inner join of many with one, which holds a row per key, where a key may hold any share of many's rows.
+
+    one's column `weight` is at least the number of many's rows of the key. Keys over a share of 1 / 10,000 of all weight
+    (and over `heaviest` rows) are at most 10,000; they are broadcast, and their rows are dealt over the partitions by a hash
+    of the columns `spread`. All other keys meet in an ordinary join.
+    """
+    total = (one.agg(F.sum(weight)).first()[0] or 0) if total is None else total
+    hot = F.col(weight) > max(heaviest, total // 10_000)
+    values = [c for c in one.columns if c not in (key, weight)]
+    found, lighter, salt = free_names([*many.columns, *one.columns], "found", "lighter", "salt")
+    heavy = one.where(hot).select(key, F.struct(*values).alias(found))
+    marked = many.join(F.broadcast(heavy), key, "left")
+    marked = marked.withColumn(salt, F.when(F.col(found).isNotNull(), 1 + F.pmod(F.xxhash64(*spread), F.lit(100_000))).otherwise(F.lit(0).cast("bigint")))
+    light = one.where(~hot).select(key, weight, F.struct(*values).alias(lighter), F.lit(0).cast("bigint").alias(salt))
+    out = marked.join(light, [key, salt], "left").withColumn(found, F.coalesce(found, lighter)).where(F.col(found).isNotNull())
+    carried = [c for c in many.columns if c not in values]
+    return out.select(*carried, *(F.col(f"{found}.{c}").alias(c) for c in values))
 
 
 # --------------------------------------------------------------- components
@@ -44,29 +85,33 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(vertex, component) for undirected edges (a, b) of longs; component is the smallest vertex reachable.
 
     Alternating large-star and small-star steps: every vertex hands its larger neighbours to its smallest one, until
-    the edge set stands still. Each step only groups and joins, a hub's edges are spread by the join, and what one
+    the edge set stands still. Each step only groups and joins; a hub's edges are spread over the partitions, and what one
     round leaves is stored in the shared folder. Vertices without an edge to another vertex are not returned.
     """
-    hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
-    now = stored(edges.where("a <> b").select(hi, lo).distinct())
-    mark = None
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    mark = seen = _mark(now)
     for _ in range(most_rounds):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        root = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(root, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both, least, "u", "n", ["v"], total=2 * seen[0]).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        root = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, root, "hi", "n", ["lo"], total=seen[0]).select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
         now = stored(small.select("e.hi", "e.lo").where("hi <> lo").distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        seen = _mark(now)
+        if seen == mark:
             break
-        mark = tuple(seen)
+        mark = seen
     else:
         raise RuntimeError("components did not settle")
     stars = now.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "vertex")
     return stars.unionByName(stars.select(F.col("component").alias("vertex"), "component").distinct())
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """The number of edges and a sum of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.lit(0))).first())
+
+
 # ---------------------------------------------------------- blocks of pairs
 
 
