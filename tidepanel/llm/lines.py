@@ -4,11 +4,12 @@ A line is the set of its character shingles. Its MinHashes are the shingle hashe
 exclusive or: for each point, two lines agree with the probability of their Jaccard similarity. The values of a few points
 make a band's key, and lines that share a key are candidates.
 
-Within a key lines are first compared with the smallest line of their block of bounded size, and the blocks' smallest
-lines with each other along a chain: about one pair per line and key, whatever the group's size. A distributed
-union-find ties what is alike. Then every pair of a key's lines that lie in different components is compared too, in
-blocks; a pair within a component can't change it. Pairs are verified by the exact Jaccard similarity of the two shingle
-sets, and each final component keeps its first line.
+Every line is first compared with the smallest line of each of its keys, its head: one pair for each line and key, whatever
+the group's size. A distributed union-find ties what is alike. Lines with the same head that lie in different components
+are then joined by prefix filtering, which loses no pair: shingles are ordered, those that the head lacks first, and two
+lines at or over the threshold share one among the first few of each. Copies that were edited each in their own way meet
+nowhere, as their own shingles fill these places, so a family's pairs are never listed. Pairs are verified by the exact
+Jaccard similarity of the two shingle sets, and each final component keeps its first line.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -29,10 +30,7 @@ class Settings:
     #: Keys of a line, and MinHashes in a key: at the threshold a pair shares a key with probability 1 - (1 - 0.8 ** 3) ** 7 = 0.993.
     bands: int = 7
     per_band: int = 3
-    #: Of all the MinHashes of two lines so many must agree before their sets are compared. At the threshold 16.8 of 21 do on
-    #: average; fewer than 7 do in about 1 of 100,000 pairs.
-    agreeing: int = 7
-    #: Lines of one block of a key.
+    #: Lines that meet one copy of their head; the head of a larger group is copied.
     block: int = 1000
 
 
@@ -70,64 +68,103 @@ def signatures(lines: DataFrame, s: Settings, step: int = 4) -> DataFrame:
     return least.select("lid", F.array(*keys).alias("keys"))
 
 
-def agree(a: Column, b: Column, s: Settings) -> Column:
-    """Whether enough MinHashes of two lines' keys agree."""
-    bits = 63 // s.per_band
-    same = ((F.shiftrightunsigned(a[i].bitwiseXOR(b[i]), bits * k).bitwiseAND(F.lit(2**bits - 1)) == 0).cast("int") for i in range(s.bands) for k in range(s.per_band))
-    return reduce(lambda x, y: x + y, same) >= s.agreeing
-
-
 def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(row, pos, line) of every line that isn't blank, white space at its ends cut off."""
     lines = docs.select("row", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
     return lines.select("row", "pos", F.btrim("line").alias("line")).where("line <> ''")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) of lids whose lines' shingle sets have a Jaccard similarity at or over the threshold."""
-    sets = texts.select("lid", "line")
-    both = pairs.join(sets.withColumnsRenamed({"lid": "a", "line": "x"}), "a").join(sets.withColumnsRenamed({"lid": "b", "line": "y"}), "b")
-    both = both.select("a", "b", shingles(F.col("x"), s).alias("x"), shingles(F.col("y"), s).alias("y"))
-    alike = F.size(F.array_intersect("x", "y")) >= F.lit(s.threshold) * F.size(F.array_union("x", "y")) - 1e-9
-    return shared.stored(both.select("a", "b", alike.alias("alike"))).where("alike").select("a", "b")
+def with_heads(signed: DataFrame, s: Settings) -> DataFrame:
+    """(head, lid): each line with the head of each of its keys, other than itself.
 
+    A key's head is the line whose keys hold the most lines in all, as the text that a family was copied from does.
+    """
+    keyed = signed.select("lid", F.posexplode("keys").alias("band", "value")).select("lid", F.xxhash64("band", "value").alias("key"))
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = shared.stored(keyed.join(several, "key").select("key", "lid", "n"))
+    known = members.groupBy("lid").agg(F.sum("n").alias("known"))
+    ranked = shared.stored(members.join(known, "lid").select("key", "lid", "n", F.struct("known", (-F.col("lid")).alias("least")).alias("rank")))
+    heads = shared.stored(ranked.groupBy("key").agg((-F.max("rank")["least"]).alias("head"), F.count("*").alias("n")))
+    return shared.spread_join(ranked.select("key", "lid"), heads, "key", "n", ["lid"]).where("head <> lid").select("head", "lid").distinct()
+
+
+def head_sets(pairs: DataFrame, heads: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """(head, lid, x, r) of pairs (head, lid): the shingles of the line, and those of its head with heads' `usual` ones.
+
+    heads (head, members, usual) is copied for every s.block members, so a head of many lines is many tasks.
+    """
+    parts = F.ceil(F.col("members") / F.lit(s.block)).cast("int")
+    mine = shared.spread_join(pairs, heads.select("head", "members", parts.alias("parts")), "head", "members", ["lid"])
+    mine = mine.join(texts, "lid").select("head", "lid", "line", F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int").alias("part"))
+    other = heads.join(texts.withColumnsRenamed({"lid": "head", "line": "head_line"}), "head")
+    other = other.select("head", F.concat(shingles(F.col("head_line"), s), "usual").alias("r"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return mine.join(other, ["head", "part"]).select("head", "lid", shingles(F.col("line"), s).alias("x"), "r")
 
-def first_pairs(members: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): each member with the smallest one of its block, and the blocks' smallest ones of a key along a chain."""
-    root = F.min(F.struct("lid", "keys")).over(Window.partitionBy("key", "home"))
-    tied = members.withColumn("root", root).where(F.col("root.lid") != F.col("lid"))
-    stars = tied.where(agree(F.col("root.keys"), F.col("keys"), s)).select(F.col("root.lid").alias("a"), F.col("lid").alias("b"))
-    heads = members.where("blocks > 1").groupBy("key", "home").agg(F.min("lid").alias("b"))
-    chain = heads.select(F.lag("b").over(Window.partitionBy("key").orderBy("b")).alias("a"), "b").where("a is not null")
-    return stars.unionByName(chain).distinct()
 
+def sized(pairs: DataFrame) -> DataFrame:
+    """(head, members, usual): the number of lines of each head; nothing is usual yet."""
+    return shared.stored(pairs.groupBy("head").agg(F.count("*").alias("members")).withColumn("usual", F.array().cast("array<bigint>")))
 
-def across_classes(members: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): every pair of members of one key that lie in different classes and agree in enough MinHashes.
 
-    Each pair of a key's blocks is a join key of its own, so no task holds more than two blocks of one key.
+def against_heads(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """pairs (head, lid) plus alike: whether the line and its head are."""
+    alike = F.size(F.array_intersect("x", "r")) >= F.lit(s.threshold) * F.size(F.array_union("x", "r")) - 1e-9
+    return shared.stored(head_sets(pairs, sized(pairs), texts, s).select("head", "lid", alike.alias("alike")))
+
+
+def prefixes(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """pairs (head, lid) plus n (shingles of the line) and prefix: its first shingles, its own ones before the usual ones.
+
+    Usual shingles are the head's and those that a quarter of its lines hold; any order would do, this one lets few meet.
+    """
+    heads = sized(pairs)
+    extra = head_sets(pairs, heads, texts, s).select("head", F.explode(F.array_except("x", "r")).alias("shingle"))
+    extra = extra.groupBy("head", "shingle").agg(F.count("*").alias("holders")).where("holders > 1").join(heads.select("head", "members"), "head")
+    usual = extra.where("4 * holders > members").groupBy("head").agg(F.collect_list("shingle").alias("more"))
+    heads = shared.stored(heads.join(usual, "head", "left").select("head", "members", F.coalesce("more", "usual").alias("usual")))
+    own, common = F.sort_array(F.array_except("x", "r")).alias("own"), F.sort_array(F.array_intersect("x", "r")).alias("common")
+    cut = head_sets(pairs, heads, texts, s).select("head", "lid", own, common)
+    n = F.size("own") + F.size("common")
+    first = n - F.ceil(F.lit(s.threshold) * n - 1e-9).cast("int") + 1
+    return shared.stored(cut.select("head", "lid", n.alias("n"), F.slice(F.concat("own", "common"), F.lit(1), first).alias("prefix")))
+
+
+def across_classes(compared: DataFrame, classes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): pairs of lines with one head, of different classes, that may be alike by size, by prefix and by its places.
+
+    Of two lines the longer one, x, holds a shared shingle among its first n - t n + 1 and the other among its first
+    n - 2 t n / (1 + t) + 1; what is left behind the first one shared bounds the overlap.
     """
-    marked = members.join(classes, members.lid == classes.vertex, "left").select("key", "lid", "keys", "home", "blocks", F.coalesce("component", "lid").alias("class"))
-    split = marked.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-    dealt = marked.join(split, "key", "left_semi").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("key", "lid", "class", "keys", "home", F.least("home", "other").alias("b1"), F.greatest("home", "other").alias("b2"))
-    x, y = (dealt.select("key", "b1", "b2", *(F.col(c).alias(c + side) for c in ("lid", "class", "keys", "home"))) for side in ("_x", "_y"))
-    own = (F.col("b1") == F.col("b2")) | (F.col("home_x") != F.col("home_y"))
-    found = x.join(y, ["key", "b1", "b2"]).where((F.col("lid_x") < F.col("lid_y")) & (F.col("class_x") != F.col("class_y")) & own & agree(F.col("keys_x"), F.col("keys_y"), s))
-    return found.select(F.col("lid_x").alias("a"), F.col("lid_y").alias("b")).distinct()
+    t = s.threshold
+    marked = compared.join(classes, compared.lid == classes.vertex, "left").select("head", "lid", F.coalesce("component", "lid").alias("class"))
+    split = marked.groupBy("head").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("head")
+    marked = shared.stored(marked.join(split, "head", "left_semi"))
+    rows = marked.join(prefixes(marked.select("head", "lid"), texts, s), ["head", "lid"]).select("head", "class", "lid", "n", F.posexplode("prefix").alias("at", "shingle"))
+    x, y = (rows.select("head", "shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("class", "lid", "n", "at"))) for side in "xy")
+    y = y.where(F.col("at_y") <= F.col("n_y") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n_y") - 1e-9))
+    longer = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("lid_x") > F.col("lid_y")))
+    near = F.col("n_y") >= F.lit(t) * F.col("n_x") - 1e-9
+    left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= F.lit(t / (1 + t)) * (F.col("n_x") + F.col("n_y")) - 1e-9
+    found = x.join(y, ["head", "shingle"]).where(longer & near & left & (F.col("class_x") != F.col("class_y")))
+    return found.select(F.least("lid_x", "lid_y").alias("a"), F.greatest("lid_x", "lid_y").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) of lids whose lines' shingle sets have a Jaccard similarity at or over the threshold."""
+    both = pairs.join(texts.withColumnsRenamed({"lid": "a", "line": "x"}), "a").join(texts.withColumnsRenamed({"lid": "b", "line": "y"}), "b")
+    both = both.select("a", "b", shingles(F.col("x"), s).alias("x"), shingles(F.col("y"), s).alias("y"))
+    alike = F.size(F.array_intersect("x", "y")) >= F.lit(s.threshold) * F.size(F.array_union("x", "y")) - 1e-9
+    return shared.stored(both.select("a", "b", alike.alias("alike"))).where("alike").select("a", "b")
 
 
 def line_classes(lines: DataFrame, s: Settings) -> DataFrame:
     """(vertex, component) of the lines (lid, line), one row for each lid, that are alike to another one."""
-    signed = shared.stored(signatures(lines, s), by="lid")
-    keyed = signed.select("lid", F.posexplode("keys").alias("band", "value")).select("lid", F.xxhash64("band", "value").alias("key"))
-    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / F.lit(s.block)).cast("int")
-    held = keyed.join(several, "key").select("key", "lid", blocks.alias("blocks"), F.pmod(F.xxhash64("lid", "key"), blocks).cast("int").alias("home"))
-    members = shared.stored(held.join(signed, "lid"))
-    texts = shared.stored(lines.select("lid", "line").join(members.select("lid").distinct(), "lid", "left_semi"), by="lid")
-    classes = shared.components(verified(first_pairs(members, s), texts, s))
-    across = verified(across_classes(members, classes, s), texts, s)
+    pairs = shared.stored(with_heads(shared.stored(signatures(lines, s)), s))
+    needed = pairs.select(F.explode(F.array("head", "lid")).alias("lid")).distinct()
+    texts = shared.stored(lines.select("lid", "line").join(needed, "lid", "left_semi"), by="lid")
+    compared = against_heads(pairs, texts, s)
+    classes = shared.components(compared.where("alike").select(F.col("head").alias("a"), F.col("lid").alias("b")))
+    across = verified(across_classes(compared, classes, texts, s), texts, s)
     known = classes.where("vertex <> component").select(F.col("vertex").alias("a"), F.col("component").alias("b"))
     return shared.components(known.unionByName(across))
 
