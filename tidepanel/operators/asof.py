@@ -47,3 +47,14 @@ def window_items(keys: DataFrame, items: DataFrame, by: list[str], as_of: str, t
     block = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / days)
     asked = keys.withColumn("block", F.explode(F.array(block(F.col(as_of)), block(F.col(as_of)) - 1)))
     return asked.join(items.withColumn("block", block(F.col(ts))), [*by, "block"]).where((F.col(ts) <= F.col(as_of)) & (F.datediff(as_of, ts) <= days)).drop("block")
+
+
+def on_calendar(events: DataFrame, p: DataFrame, ts: str = "date", di: str = "di") -> DataFrame:
+    """events plus di: the position of the first calendar day at or after ts; events after the last day go.
+
+    Days in between meet their calendar day in a table of one row per day, which is small whatever the events' number.
+    """
+    days = p.select("date", di).distinct()
+    asked = events.select(F.col(ts).alias("_day")).distinct().select(F.lit(1).alias("_all"), "_day")
+    found = asof(asked, days.select(F.lit(1).alias("_all"), F.col("date").alias("_at"), di), ["_all"], "_day", "_at", [di], direction="forward")
+    return events.join(found.where(f"{di} is not null").select(F.col("_day").alias(ts), di), ts)

@@ -13,9 +13,9 @@ def own(by: str = "ticker", order: str = "di"):
 
 
 def shift_calendar(p: DataFrame, value: str, k: int, name: str, by: str = "ticker") -> DataFrame:
-    """p plus the value k calendar positions earlier (later for k < 0); null where that day has no row."""
-    other = p.select(by, (F.col("di") + k).alias("di"), F.col(value).alias(name))
-    return p.join(other, [by, "di"], "left")
+    """p plus the value k calendar positions earlier (later for k < 0); null where that day has no row. One row a key and day."""
+    there = Window.partitionBy(by).orderBy("di").rangeBetween(-k, -k)
+    return p.withColumn(name, F.max(value).over(there))
 
 
 def shift_own(value: str, k: int, by: str = "ticker", order: str = "di") -> Column:

@@ -26,8 +26,8 @@ def rank_z(s: DataFrame, value: str, name: str, by: str = "di") -> DataFrame:
 
 def legs(s: DataFrame, value: str = "value", by: str = "di", share: float = 0.2) -> DataFrame:
     """s plus up and down: values at or beyond the linear quantiles, so ties enlarge a leg."""
-    q = s.groupBy(by).agg(F.percentile(value, F.array(F.lit(1 - share), F.lit(share))).alias("_q"))
-    return s.join(q, by).withColumn("up", F.col(value) >= F.col("_q")[0]).withColumn("down", F.col(value) <= F.col("_q")[1]).drop("_q")
+    q = F.percentile(value, F.array(F.lit(1 - share), F.lit(share))).over(Window.partitionBy(by))
+    return s.withColumn("_q", q).withColumn("up", F.col(value) >= F.col("_q")[0]).withColumn("down", F.col(value) <= F.col("_q")[1]).drop("_q")
 
 
 def terciles(value: str, tie: str = "ticker", by: str = "di") -> Column:

@@ -160,12 +160,14 @@ def win_12(spark, d):
     return M.drawdown(one(ls_returns(p, momentum(p)))).select("di", *r6("equity", "drawdown"))
 
 
-@query("SELECT g.ticker, g.date, count(DISTINCT b.company) AS n FROM (SELECT DISTINCT ticker, date FROM grades) g JOIN grades b ON b.ticker = g.ticker AND b.date BETWEEN g.date - INTERVAL 30 DAY AND g.date GROUP BY 1, 2", "grades")
+@query("SELECT p.ticker, p.di, count(DISTINCT e.company) AS n FROM p LEFT JOIN (SELECT grades.ticker, company, min(cal.di) AS di FROM grades JOIN cal ON cal.date >= grades.date GROUP BY grades.ticker, company, o_orderkey) e ON e.ticker = p.ticker AND e.di BETWEEN p.di - 251 AND p.di GROUP BY 1, 2", "p grades")
 def win_13(spark, d):
-    day = F.datediff("date", F.lit("1970-01-01"))
-    w = Window.partitionBy("ticker").orderBy(day).rangeBetween(-30, 0)
-    days = S.grades(spark, d).groupBy("ticker", "date").agg(F.collect_set("company").alias("c"))
-    return days.select("ticker", "date", F.size(F.array_distinct(F.flatten(F.collect_list("c").over(w)))).cast("long").alias("n"))
+    p = P(spark, d)
+    held = A.on_calendar(S.grades(spark, d), p).groupBy("ticker", "di").agg(F.collect_set("company").alias("c"))
+    w = Window.partitionBy("ticker").orderBy("di").rangeBetween(-251, 0)
+    both = p.select("ticker", "di").join(held, ["ticker", "di"], "full")
+    seen = F.size(F.array_distinct(F.flatten(F.collect_list("c").over(w)))).cast("long").alias("n")
+    return both.select("ticker", "di", seen).join(p.select("ticker", "di"), ["ticker", "di"], "left_semi")
 
 
 @query(f"SELECT di, ticker, coalesce(last_value(dec IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY di ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) = 1 AS held FROM (SELECT di, ticker, CASE WHEN rk / n >= 0.8 THEN 1 WHEN rk / n >= 0.65 THEN NULL ELSE 0 END AS dec FROM {RANKED})", "mom")
@@ -217,14 +219,14 @@ def jn_09_all(spark, d):
     return A.latest(keys, S.grades(spark, d), ["ticker"], "period", "date", ["company"], ["o_orderkey"]).select("ticker", "period", "company", "date")
 
 
-@query("WITH x AS (SELECT DISTINCT year(date) AS y, ticker, company FROM grades), s AS (SELECT y, company, count(*) AS n FROM x GROUP BY 1, 2) SELECT a.y, a.ticker AS src, b.ticker AS dst, round(sum(1.0 / n), 6) AS w FROM x a JOIN x b ON a.y = b.y AND a.company = b.company AND a.ticker <> b.ticker JOIN s ON s.y = a.y AND s.company = a.company GROUP BY 1, 2, 3".replace("WITH x AS (", "SELECT * FROM (WITH x AS (") + ")", "grades")
+@query("SELECT y, src, dst, round(w, 6) AS w FROM edges", "edges")
 def sig_08(spark, d):
     return cocoverage(S.grades(spark, d)).select("y", "src", "dst", *r6("w"))
 
 
 def cocoverage(g: DataFrame) -> DataFrame:
-    """(y, src, dst, w): names that share a firm in a year; a firm of n names adds 1/n. Each pair is joined once, then mirrored."""
-    x = g.select(F.year("date").cast("long").alias("y"), "ticker", "company").distinct()
+    """(y, src, dst, w): names that shared a firm in the two years before y; a firm of n names adds 1/n. Each pair is joined once, then mirrored."""
+    x = g.select("date", "ticker", "company", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).select((F.year("date") + F.col("k")).cast("long").alias("y"), "ticker", "company").distinct()
     n = F.count("*").over(Window.partitionBy("y", "company"))
     x = x.withColumn("w", 1.0 / n)
     half = x.alias("a").join(x.alias("b"), ["y", "company"]).where("a.ticker < b.ticker").groupBy("y", F.col("a.ticker").alias("src"), F.col("b.ticker").alias("dst")).agg(F.sum("a.w").alias("w"))
@@ -338,15 +340,19 @@ def ic_03(spark, d):
 
 
 def pooled_ic(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation over all rows. Ranks come from counts of distinct values, summed over ranges, not from one window."""
+    """Rank correlation over all rows. Ranks come from counts of distinct values in ranges, not from one window.
+
+    The ranges' bounds are at most 64 approximate quantiles, numbers that every branch of the plan shares.
+    """
     df = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = df
     for c in (a, b):
-        n = df.groupBy(c).agg(F.count("*").alias("k"))
-        parts = n.repartitionByRange(c).withColumn("part", F.spark_partition_id())
+        bounds = df.approxQuantile(c, [k / 64 for k in range(1, 64)], 0.005)
+        part = sum(((F.col(c) > x).cast("int") for x in bounds), F.lit(0))
+        parts = df.groupBy(c).agg(F.count("*").alias("k")).withColumn("part", part)
         before = parts.groupBy("part").agg(F.sum("k").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         w = Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-        ranks = parts.withColumn("up", F.sum("k").over(w)).join(F.broadcast(before.select("part", "base")), "part")
+        ranks = parts.withColumn("up", F.sum("k").over(w)).join(F.broadcast(before.select("part", "base")), "part")  # 64 rows
         ranked = ranked.join(ranks.select(c, (F.col("base") + F.col("up") - (F.col("k") - 1) / 2).alias(f"rank_{c}")), c)
     return ranked.agg(F.round(F.corr(f"rank_{a}", f"rank_{b}"), 6).alias("ic"), F.count("*").alias("n"), F.round(1 / F.sqrt(F.count("*") - 3), 6).alias("se"))
 

@@ -21,9 +21,9 @@ CLASSES = (("STRONG_SELL", 0, -2), ("SELL", 1, -1), ("HOLD", 2, 0), ("BUY", 3, 1
 LEXICON = ("the", "and", "data", "license")
 
 _CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.CLASS_OF.items())
-DEC = f"""dec AS (SELECT ticker, date, 'I read ' || kind || CASE WHEN event_id % 12 = 0 THEN '' ELSE ' [[[' || CASE kind {_CASE} END || ']]]' END AS response FROM (
+DEC = f"""dec AS (SELECT ticker, date, 'I read ' || kind || CASE event_id % 12 WHEN 0 THEN '' WHEN 1 THEN ' [[[ ' || lower(CASE kind {_CASE} END) || ' ]]]' WHEN 2 THEN ' [[[' || CASE kind {_CASE} END || ']]] or [[[MAYBE]]]' ELSE ' [[[' || CASE kind {_CASE} END || ']]]' END AS response FROM (
     SELECT user_id % 25 AS ticker, CAST(ts AS DATE) AS date, event_type AS kind, event_id, row_number() OVER (PARTITION BY user_id % 25, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1)"""
-TAG = "regexp_extract_all(response, '\\[\\[\\[([A-Z_]+)\\]\\]\\]', 1)"
+TAG = "regexp_extract_all(upper(response), '\\[\\[\\[\\s*(STRONG_BUY|BUY|HOLD|SELL|STRONG_SELL)\\s*\\]\\]\\]', 1)"
 
 
 def query(sql: str):
@@ -39,8 +39,9 @@ def count(name: str = "n"):
 
 
 def tagged(dec: DataFrame) -> DataFrame:
-    """dec with the last class tag of its response, null where there is none."""
-    return dec.withColumn("tag", F.try_element_at(F.expr("regexp_extract_all(response, r'\\[\\[\\[([A-Z_]+)\\]\\]\\]', 1)"), F.lit(-1)))
+    """dec with the last class tag of its response in capitals, of the five classes, spaces and case ignored; null where there is none."""
+    found = F.expr(r"regexp_extract_all(response, r'(?i)\[\[\[\s*(STRONG_BUY|BUY|HOLD|SELL|STRONG_SELL)\s*\]\]\]', 1)")
+    return dec.withColumn("tag", F.upper(F.try_element_at(found, F.lit(-1))))
 
 
 # ---------------------------------------------------------------- reshaping

@@ -57,11 +57,12 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ticker, date, response): the last event of a day as a class in a text; every twelfth without its tag."""
+    """(ticker, date, response): the last event of a day as a class in a text; some without a tag, with one in lower case, or a foreign one behind."""
     e = table(spark, sf_dir, "events").withColumn("ticker", F.col("user_id") % 25).withColumn("date", F.to_date("ts"))
     last = e.groupBy("ticker", "date").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("kind"), F.max(F.struct("ts", "event_id"))["event_id"].alias("event_id"))
     name = F.element_at(F.create_map(*(F.lit(x) for pair in CLASS_OF.items() for x in pair)), F.col("kind"))
-    tag = F.when(F.col("event_id") % 12 == 0, F.lit("")).otherwise(F.concat(F.lit(" [[["), name, F.lit("]]]")))
+    k = F.col("event_id") % 12
+    tag = F.when(k == 0, F.lit("")).when(k == 1, F.concat(F.lit(" [[[ "), F.lower(name), F.lit(" ]]]"))).when(k == 2, F.concat(F.lit(" [[["), name, F.lit("]]] or [[[MAYBE]]]"))).otherwise(F.concat(F.lit(" [[["), name, F.lit("]]]")))
     return last.select("ticker", "date", F.concat(F.lit("I read "), "kind", tag).alias("response"))
 
 
@@ -81,6 +82,15 @@ _SQL = {
     "fwd": (("p",), "SELECT p.date, p.di, p.ticker, b.close / p.close - 1 AS fwd FROM p JOIN p b ON p.ticker = b.ticker AND b.di = p.di + 1"),
     "legs": (("mom",), "SELECT mom.*, value >= q80 AS up, value <= q20 AS down FROM mom JOIN (SELECT di, quantile_cont(value, 0.8) AS q80, quantile_cont(value, 0.2) AS q20 FROM mom GROUP BY di) USING (di)"),
     "ls": (("legs", "fwd"), "SELECT legs.date, legs.di, avg(CASE WHEN up THEN fwd END) - avg(CASE WHEN down THEN fwd END) AS r FROM legs JOIN fwd USING (di, ticker) GROUP BY 1, 2 HAVING avg(CASE WHEN up THEN fwd END) IS NOT NULL AND avg(CASE WHEN down THEN fwd END) IS NOT NULL"),
+    "mom1": (("p",), "SELECT p.date, p.di, p.ticker, p.close / b.close - 1 AS value FROM p JOIN p b ON p.ticker = b.ticker AND b.di = p.di - 1"),
+    "mom5": (("p",), "SELECT p.date, p.di, p.ticker, p.close / b.close - 1 AS value FROM p JOIN p b ON p.ticker = b.ticker AND b.di = p.di - 5"),
+    "mom21": (("p",), "SELECT p.date, p.di, p.ticker, p.close / b.close - 1 AS value FROM p JOIN p b ON p.ticker = b.ticker AND b.di = p.di - 21"),
+    "ema": (("p",), "SELECT a.date, a.di, a.ticker, sum(b.close * pow(0.5, a.rn - b.rn)) / sum(pow(0.5, a.rn - b.rn)) AS ema FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY di) AS rn FROM p) a JOIN (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY di) AS rn FROM p) b ON a.ticker = b.ticker AND b.rn <= a.rn GROUP BY 1, 2, 3"),
+    "sig": (("ema",), "SELECT date, di, ticker, 0.3 * r3 / v3 + 0.5 * r7 / v7 + 0.2 * r15 / v15 AS signal FROM (SELECT *, " + ", ".join(f"CASE WHEN count(r{h}) OVER w = 20 THEN nullif(stddev_samp(r{h}) OVER w, 0) END AS v{h}" for h in (3, 7, 15)) + " FROM (SELECT *, " + ", ".join(f"lead(ema, {h}) OVER v / ema - 1 AS r{h}" for h in (3, 7, 15)) + " FROM ema WINDOW v AS (PARTITION BY ticker ORDER BY di)) WINDOW w AS (PARTITION BY ticker ORDER BY di ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"),
+    "lab": (("sig",), "SELECT date, di, ticker, signal, CASE WHEN signal >= q[4] THEN 'STRONG_BUY' WHEN signal >= q[3] THEN 'BUY' WHEN signal >= q[2] THEN 'HOLD' WHEN signal >= q[1] THEN 'SELL' ELSE 'STRONG_SELL' END AS cls FROM sig JOIN (SELECT ticker, quantile_cont(signal, [0.03, 0.15, 0.53, 0.85]) AS q FROM sig WHERE signal IS NOT NULL GROUP BY ticker) USING (ticker) WHERE signal IS NOT NULL"),
+    "pead": (("p", "earn"), "SELECT p.date, p.di, p.ticker, CASE WHEN date_diff('day', e.date, p.date) <= 90 THEN (e.actual - e.estimate) / abs(e.estimate) END AS value FROM p ASOF LEFT JOIN (SELECT * FROM earn WHERE estimate IS NOT NULL AND estimate <> 0) e ON p.ticker = e.ticker AND p.date >= e.date"),
+    "quint": (("legs",), "SELECT date, di, ticker, (CASE WHEN up THEN 0.5 / sum(up::INT) OVER v ELSE 0 END) - (CASE WHEN down THEN 0.5 / sum(down::INT) OVER v ELSE 0 END) AS weight FROM legs WINDOW v AS (PARTITION BY di)"),
+    "edges": (("grades",), "SELECT a.y, a.ticker AS src, b.ticker AS dst, sum(1.0 / n) AS w FROM (SELECT DISTINCT year(date) + k AS y, ticker, company FROM grades, (VALUES (1), (2)) t(k)) a JOIN (SELECT DISTINCT year(date) + k AS y, ticker, company FROM grades, (VALUES (1), (2)) t(k)) b ON a.y = b.y AND a.company = b.company AND a.ticker <> b.ticker JOIN (SELECT y, company, count(*) AS n FROM (SELECT DISTINCT year(date) + k AS y, ticker, company FROM grades, (VALUES (1), (2)) t(k)) GROUP BY 1, 2) s ON s.y = a.y AND s.company = a.company GROUP BY 1, 2, 3"),
     "own": (("p",), "SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY di) - 1 AS r FROM p"),
 }
 
