@@ -257,7 +257,64 @@ def test_pages_judge_blocks_by_all_their_text():
     menu = "".join(f"<li><a href=x>Link {k}</a></li>" for k in range(4))
     page = f"<body><div class='no-sidebar'><article><p><span class=notice>Note</span> the whole paragraph is here, to be kept.</p><ul>{items}</ul><ul>{menu}</ul></article></div><div class=sidebar><p>Aside, short.</p></div></body>"
     got = extraction.main_text(page).split("\n")
-    assert got == ["Note the whole paragraph is here, to be kept.", *(f"Name {k} a long description of the thing, number {k}." for k in range(4))]
+    assert got == ["Note the whole paragraph is here, to be kept.", *(f"Name {k} a long description of the thing, number {k}." for k in range(4)), *(f"Link {k}" for k in range(4))]
+
+
+SOUP = (
+    "<body><div class=top><a href=x>Home</a> <a href=y>Shop</a> Wares, and more.</div>"
+    + "<div class=box>" + "".join(f"<span class=k{k}>Offer {k} now</span><div></div>" for k in range(4)) + "</div>"
+    + "<div class=text><h1>The title</h1><p>A long first paragraph, with commas, and a full stop at its end.</p><p>Short.</p><p>And a third paragraph, which is long enough, too; it has a semicolon.</p></div>"
+    + "<div class=end>Imprint Terms Privacy</div></body>"
+)
+
+
+def test_ratios_decide_where_no_tag_does(monkeypatch):
+    expected = ["The title", "A long first paragraph, with commas, and a full stop at its end.", "Short.", "And a third paragraph, which is long enough, too; it has a semicolon."]
+    assert extraction.main_text(SOUP).split("\n") == expected
+    monkeypatch.setattr(extraction, "_scores", lambda page: {k: 1.0 for k in page.order if not page.bad[k]})
+    assert extraction.main_text(SOUP).split("\n") != expected
+
+
+def test_links_in_an_article_stay():
+    page = "<article><p>Three books are named here, with their places.</p><ul>" + "".join(f"<li><a href=x>Book {k}</a></li>" for k in range(3)) + "</ul></article>"
+    assert extraction.main_text(page).split("\n")[1:] == ["Book 0", "Book 1", "Book 2"]
+
+
+def test_pages_without_article(spark):
+    rows = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    same = [extraction.main_text(x) == extraction.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", x or "")) for x in rows]
+    assert sum(same) >= 0.98 * len(same)
+
+
+def test_gumbel_draws_by_the_weights(spark):
+    """Of two documents, the one of weight w comes before the other with probability e^w / (e^w + e^v)."""
+    text = ["aaaa", "abab"]
+    docs = spark.createDataFrame([(2 * k + side, text[side]) for k in range(4000) for side in (0, 1)], "doc_id long, text string")
+    s = quality.Settings()
+    ratio = np.random.default_rng(3).normal(0, 0.4, s.size)
+    got = quality.weights(docs, quality.Model(ratio, 0.0), s).toPandas()
+    w = got.groupby(got.doc_id % 2).weight.first()
+    expected = 1 / (1 + math.exp(w[1] - w[0]))
+    first = got[got.doc_id % 2 == 0].sort_values("doc_id").key.to_numpy() > got[got.doc_id % 2 == 1].sort_values("doc_id").key.to_numpy()
+    assert abs(first.mean() - expected) < 4 * math.sqrt(expected * (1 - expected) / 4000) + 1e-9
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "all rights reserved", "<p>x y.</p>", 1, 2, 3, 4)], "doc_id long, text string, html string, scanned int, extracted_from int, noise int, row__ int")
+    assert licences.scan(df).first().scanned == 1 and extraction.extract(df).first().extracted_from == 2
+    assert quality.weights(df, quality.Model(np.zeros(quality.Settings().size), 0.0), quality.Settings()).first().noise == 3
+    got = scoring.score(df, "true", scoring.Settings(rounds=1, steps=5, most_head=50)).first()
+    assert got.row__ == 4 and got.n_tokens == 4
+
+
+def test_quality_held_out(spark):
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = quality.fit(docs, labels.where(~out))
+    got = quality.weights(docs, model, quality.Settings()).join(labels.where(out), "doc_id").toPandas()
+    assert len(got) > 30 and (got.keep == (got.quality == 1)).mean() > 0.97
 
 
 def test_quality(spark, odd, none):

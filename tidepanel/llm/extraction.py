@@ -3,9 +3,11 @@
 Each piece of text hangs on a root-to-leaf path of tags (with their classes). Per path a page gives text length outside
 links, length inside links and punctuation marks. Ratios per path, the length per visit of the path and the
 punctuation per word, are smoothed over neighbouring paths in page order and fused; paths over a threshold that
-follows from the page itself are seeds. The content is the nearest article or main element round the seeds, else the
-deepest element that holds nearly all their text. Everything below it is kept but furniture: tags, roles and class
-names of menus, adverts, forms and comments, and paths that are nearly all links.
+follows from the page itself are seeds. The content lies in the deepest element that holds nearly all the seeds' text, or
+in an article or main element that holds most of it. In such an element everything is kept but furniture: tags, roles and
+class names of menus, adverts, forms and comments. In any other, the ratios also say where the content begins and ends: it
+goes from the first seed to the last one and on to both sides over headings and paths with punctuation outside links;
+what lies beyond goes, and so do lists of links.
 """
 
 from __future__ import annotations
@@ -177,15 +179,20 @@ def _scores(page: _Page) -> dict[int, float]:
     return fused
 
 
-def _seed_text(page: _Page) -> dict[int, int]:
-    """How much of the seeds' text each path holds."""
+def _seeds(page: _Page) -> set[int]:
+    """The paths whose score reaches the bar that the page's own scores set."""
     fused = _scores(page)
     if not fused:
-        return {}
+        return set()
     values = list(fused.values())
     bar = min(sum(values) / len(values), max(values) / 2)
+    return {k for k, v in fused.items() if v >= bar}
+
+
+def _seed_text(page: _Page) -> dict[int, int]:
+    """How much of the seeds' text each path holds."""
     held: dict[int, int] = {}
-    for k in (k for k, v in fused.items() if v >= bar):
+    for k in _seeds(page):
         size = page.plain[k]
         while k >= 0:
             held[k] = held.get(k, 0) + size
@@ -211,7 +218,8 @@ def main_text(source: str | None) -> str:
         return ""
     total = held.get(0, 0)
     semantic = {k: s for k, s in held.items() if page.tag[k] in ("article", "main")}
-    if semantic and max(semantic.values()) >= 0.3 * total:
+    marked = bool(semantic) and max(semantic.values()) >= 0.3 * total
+    if marked:
         root_of = {max(semantic, key=lambda k: (semantic[k], k))}
     else:
         root_of = {max((k for k, s in held.items() if s >= 0.9 * total and page.tag[k] in HOLDERS), key=lambda k: (_depth(page, k), k))}
@@ -229,7 +237,7 @@ def main_text(source: str | None) -> str:
         return keep[k]
 
     def menu(k: int) -> bool:
-        return page.linked[k] > 0 and page.plain[k] == 0 and page.visits[k] >= 3 and page.linked[k] / page.visits[k] < 40 and _listed(page, k)
+        return not marked and page.linked[k] > 0 and page.plain[k] == 0 and page.visits[k] >= 3 and page.linked[k] / page.visits[k] < 40 and _listed(page, k)
 
     def stays(texts: list) -> bool:
         size, linked = sum(n for _, n, _ in texts), sum(n for _, n, link in texts if link)
@@ -237,7 +245,36 @@ def main_text(source: str | None) -> str:
             return False
         return 2 * sum(n for k, n, _ in texts if kept(k)) > size
 
-    return "\n".join(said for texts, said in blocks if stays(texts))
+    found = [(texts, said) for texts, said in blocks if stays(texts)]
+    return "\n".join(said for _, said in (found if marked else _spanned(page, found)))
+
+
+def _spanned(page: _Page, blocks: list[tuple[list, str]]) -> list[tuple[list, str]]:
+    """The blocks from the first with a seed to the last, and what stands beside them and reads like content."""
+    seeds = _seeds(page)
+    seeds = {k for k in seeds if page.marks[k]} or seeds
+    at = [i for i, (texts, _) in enumerate(blocks) if any(k in seeds for k, _, _ in texts)]
+    if not at:
+        return []
+    first, last = at[0], at[-1]
+
+    def reads(i: int) -> bool:
+        return 0 <= i < len(blocks) and all(_headed(page, k) or page.marks[k] and not page.linked[k] for k, _, _ in blocks[i][0])
+
+    while reads(first - 1):
+        first -= 1
+    while reads(last + 1):
+        last += 1
+    return blocks[first : last + 1]
+
+
+def _headed(page: _Page, k: int) -> bool:
+    """Whether a path lies in a heading."""
+    while k > 0:
+        if page.tag[k] in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            return True
+        k = page.parent[k]
+    return False
 
 
 def _depth(page: _Page, k: int) -> int:
@@ -266,10 +303,10 @@ def extract(pages: DataFrame, source: str = "html") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(x) for x in batch.column("extracted_from").to_pylist()]
+            texts = [main_text(x) for x in batch.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*rest, "text", "n_chars"])
 
-    return pages.select(*rest, F.col(source).alias("extracted_from")).mapInArrow(run, schema)
+    return pages.select(*rest, F.col(source).alias(*shared.free_names(rest, "extracted_from"))).mapInArrow(run, schema)
 
 
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -151,11 +151,11 @@ def scan(docs: DataFrame, text: str = "text", base: tuple = BASE, notices: tuple
 
     def run(batches):
         for batch in batches:
-            rows = [_scan(t, base, notices, names) for t in batch.column("scanned").to_pylist()]
+            rows = [_scan(t, base, notices, names) for t in batch.column(len(rest)).to_pylist()]
             columns = [pa.array(r, kind) for r, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *columns], names=[*rest, *extra])
 
-    return docs.select(*rest, F.col(text).alias("scanned")).mapInArrow(run, schema)
+    return docs.select(*rest, F.col(text).alias(*shared.free_names(rest, "scanned"))).mapInArrow(run, schema)
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,8 @@ class Settings:
     bits: int = 16
     width: int = 3
     most_labels: int = 20_000
-    temperature: float = 0.002
+    #: Of the Gumbel noise against the document's log ratio: 1 draws by the importance weights themselves.
+    temperature: float = 1.0
     seed: int = 7
     prior: float = 60.0
 
@@ -82,7 +83,9 @@ class Model:
 
 
 def weights(docs: DataFrame, model: Model, s: Settings, text: str = "text", only_kept: bool = False) -> DataFrame:
-    """docs plus `weight` (log ratio per n-gram), `key` (weight over temperature plus Gumbel noise) and `keep`.
+    """docs plus `weight` (log ratio), `key` (weight over temperature plus Gumbel noise) and `keep`.
+
+    The weight is the text's log ratio of target to raw model, with the border for each n-gram as the models' log prior.
 
     A text of no n-gram (null, empty, under `width` bytes) has a null weight and isn't kept. With only_kept the rows
     not kept go, and so do the three columns.
@@ -90,7 +93,7 @@ def weights(docs: DataFrame, model: Model, s: Settings, text: str = "text", only
     kept = docs.drop("weight", "key", "keep")
     ratio = docs.sparkSession.sparkContext.broadcast(model.ratio)  # 2**bits doubles
     names, cut = kept.columns, model.cut
-    noised = kept.withColumn("noise__", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(s.seed)), F.lit(1 << 52)))
+    noised = kept.withColumn(*shared.free_names(names, "noise"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(s.seed)), F.lit(1 << 52)))
     schema = kept.schema if only_kept else shared.widened(kept, "weight double, key double, keep boolean")
 
     def run(batches):
@@ -100,7 +103,7 @@ def weights(docs: DataFrame, model: Model, s: Settings, text: str = "text", only
                 code, owner = _buckets(data, at, s)
                 n = np.bincount(owner, minlength=hi - lo)
                 total = np.bincount(owner, ratio.value[code], minlength=hi - lo)
-                weight[lo:hi] = np.divide(total, n + s.prior, out=np.full(hi - lo, np.nan), where=n > 0)
+                weight[lo:hi] = np.where(n > 0, total - model.border * (n + s.prior), np.nan)
             u = (batch.column(len(names)).fill_null(0).to_numpy(zero_copy_only=False) + 0.5) / (1 << 52)
             key = weight / s.temperature - np.log(-np.log(u))
             keep = np.nan_to_num(key, nan=-np.inf) >= cut
@@ -152,7 +155,11 @@ def kth_largest(rows: DataFrame, key: str, k: int, most: int = 20_000) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None, text: str = "text") -> Model:
-    """Both models, the border and the cut of the resample. labels: doc_id, quality (0 or 1; null rows don't count)."""
+    """Both models, the border and the cut of the resample. labels: doc_id, quality (0 or 1; null rows don't count).
+
+    As many documents are drawn as have a log ratio over 0, those of the largest keys; documents tied with the last one are
+    kept too. Without labels of both kinds there is nothing to tell apart: every text with an n-gram is kept.
+    """
     s = s or Settings()
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     few = shared.bounded_sample(marked, "doc_id", s.most_labels).withColumnsRenamed({"doc_id": "marked_id", "quality": "marked"})
@@ -162,11 +169,14 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None, text: str
     raw, target = _counts(docs, text, s), _counts(sample.where("marked = 1"), text, s)
     size = s.size
     ratio = np.log((target + 1) / (target.sum() + size)) - np.log((raw + 1) / (raw.sum() + size))
-    scored = weights(sample, Model(ratio, 0.0), s, text).where("weight is not null").select("weight", "marked").toPandas()
-    border = _border(scored.weight.to_numpy(float), scored.marked.to_numpy() == 1)
+    sizes = F.greatest(F.octet_length(text) - (s.width - 1), F.lit(0)) + F.size(F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), ""))
+    scored = weights(sample, Model(ratio, 0.0), s, text).where("weight is not null").select((F.col("weight") / (sizes + s.prior)).alias("each"), "marked").toPandas()  # at most most_labels rows
+    border = _border(scored.each.to_numpy(float), scored.marked.to_numpy() == 1)
+    if not np.isfinite(border):
+        return Model(ratio, 0.0)
     model = Model(ratio, border)
     keys = shared.stored(weights(own, model, s, text).select("weight", "key"))
-    k = keys.where(F.col("weight") >= border).count()
+    k = keys.where("weight >= 0").count()
     return Model(ratio, border, kth_largest(keys, "key", k))
 
 

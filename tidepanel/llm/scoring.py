@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .quality import kth_largest
 
 
 @dataclass(frozen=True)
@@ -127,9 +128,19 @@ class Head:
         return np.where(found, self.counts[at], 0), np.where(own >= 0, own, 1 + s.own_class + suffix).astype(np.int64)
 
 
+def _most(counts: DataFrame, most: int, distinct: int) -> DataFrame:
+    """The `most` rows of the largest n. Rows under the smallest n that counts, and most of those with it, go before tasks send any."""
+    if distinct > most:
+        least = kth_largest(counts.select(F.col("n").cast("double").alias("n")), "n", most)
+        above, ties = counts.agg(F.count_if(F.col("n") > least), F.count_if(F.col("n") == least)).first()
+        place = F.pmod(F.xxhash64("token"), F.lit(1 << 40))
+        counts = counts.where((F.col("n") > least) | (F.col("n") == least) & (place < int((1 << 40) * min(1.0, (2 * (most - above) + 1000) / ties))))
+    return counts.orderBy(F.desc("n"), "token").limit(most)
+
+
 def _head(counts: DataFrame, s: Settings) -> Head:
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(s.most_head).toPandas()  # at most most_head rows
+    top = _most(counts, s.most_head, distinct or 0).toPandas()  # at most most_head rows
     end = int((END & ~np.uint64(63)).view(np.int64))
     classes = np.full(len(top), -1)
     words = np.flatnonzero(top.token.to_numpy() != end)[: s.own_class]
@@ -230,6 +241,19 @@ class Bilinear:
             self.flat -= s.rate * grad.flat / np.sqrt(memory)
 
 
+def _trainer(s: Settings, share: np.ndarray, turn: int, shipped):
+    """A function that trains on one shard's triples, in order, from the shipped parameters; its seed is the shard's."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("code")  # at most one row a triple of classes
+        codes, counts = table["code"].to_numpy().astype(np.int64), table["n"].to_numpy().astype(float)
+        own = Bilinear(s, shipped.value.copy())
+        own.train(codes, counts, share, s.seed * 1000 + turn * 100_003 + table["shard"][0].as_py())
+        return pa.table({"i": np.arange(len(own.flat), dtype=np.int32), "x": own.flat * counts.sum(), "weight": np.full(len(own.flat), counts.sum())})
+
+    return run
+
+
 def fit(triples: DataFrame, s: Settings) -> Bilinear:
     """Rounds of training on every task's share of the triples; Spark averages the parameters, weighted by tokens."""
     n = F.sum("n").alias("n")
@@ -238,23 +262,12 @@ def fit(triples: DataFrame, s: Settings) -> Bilinear:
         unigram[k] += count
     share = unigram / unigram.sum()
     model = Bilinear(s).start(share)
-    dealt = triples.repartition(F.pmod(F.xxhash64("code"), F.lit(64)))
+    # shards by a fixed key, each in order: the result is the same on every cluster
+    dealt = triples.select(F.pmod(F.xxhash64("code"), F.lit(64)).alias("shard"), "code", "n")
     for turn in range(s.rounds):
         shipped = triples.sparkSession.sparkContext.broadcast(model.flat)  # of fixed size
 
-        def run(batches, turn=turn, shipped=shipped):
-            codes, counts = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for batch in batches:
-                codes.append(batch.column(0).to_numpy().astype(np.int64))
-                counts.append(batch.column(1).to_numpy().astype(float))
-            codes, counts = np.concatenate(codes), np.concatenate(counts)
-            if len(codes):
-                own = Bilinear(s, shipped.value.copy())
-                own.train(codes, counts, share, s.seed * 1000 + turn * 100_003 + int(codes[0]))
-                weight = counts.sum()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own.flat), dtype=np.int32)), pa.array(own.flat * weight), pa.array(np.full(len(own.flat), weight))], names=["i", "x", "weight"])
-
-        mean = dealt.mapInArrow(run, "i int, x double, weight double").groupBy("i").agg((F.sum("x") / F.sum("weight")).alias("x")).toPandas()
+        mean = dealt.groupBy("shard").applyInArrow(_trainer(s, share, turn, shipped), "i int, x double, weight double").groupBy("i").agg((F.sum("x") / F.sum("weight")).alias("x")).toPandas()
         if len(mean):
             flat = model.flat.copy()
             flat[mean.i.to_numpy()] = mean.x.to_numpy()
@@ -280,7 +293,7 @@ def score(docs: DataFrame, learn: str, s: Settings | None = None, text: str = "t
     inside = np.zeros(s.classes)
     inside[1 + s.own_class :] = np.log10(head.sums[1 + s.own_class :] + head.kinds[1 + s.own_class :] + 1)
     rest = [c for c in kept.columns if c != text]
-    numbered = kept.select(*rest, F.col(text).alias("scored_text__"), F.monotonically_increasing_id().alias("row__"))
+    numbered = kept.select(F.struct(*rest, F.lit(None).alias(*shared.free_names(rest, "nothing"))).alias("rest"), F.col(text).alias("scored_text__"), F.monotonically_increasing_id().alias("row__"))
     schema = shared.widened(numbered.drop("scored_text__"), "n_tokens long, known__ long, logs__ double, plain__ double, tail__ array<long>, often__ array<int>")
 
     def run(batches):
@@ -314,7 +327,7 @@ def score(docs: DataFrame, learn: str, s: Settings | None = None, text: str = "t
                 sizes[lo:hi] = np.bincount(whose[first], minlength=m)
             at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (tails, often)] if n else [pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*rest, "row__"]), pa.array(tokens), pa.array(known), pa.array(logs), pa.array(plain), *lists], names=[*rest, "row__", "n_tokens", "known__", "logs__", "plain__", "tail__", "often__"])
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("row__"), pa.array(tokens), pa.array(known), pa.array(logs), pa.array(plain), *lists], names=["rest", "row__", "n_tokens", "known__", "logs__", "plain__", "tail__", "often__"])
 
     held = shared.stored(numbered.mapInArrow(run, schema))
     tail = held.select("row__", F.explode(F.arrays_zip("tail__", "often__")).alias("t")).select("row__", F.col("t.tail__").alias("token"), F.col("t.often__").alias("often__"))
@@ -323,7 +336,7 @@ def score(docs: DataFrame, learn: str, s: Settings | None = None, text: str = "t
     out = held.drop("tail__", "often__").join(far, "row__", "left")
     more, log = F.coalesce("more__", F.lit(0)), F.coalesce("far__", F.lit(0.0))
     return out.select(
-        *rest,
+        *(F.col(f"rest.`{c}`").alias(c) for c in rest),
         "n_tokens",
         (F.col("known__") + more).alias("n_known"),
         F.lit(head.total).cast("long").alias("train_tokens"),

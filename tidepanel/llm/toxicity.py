@@ -307,4 +307,4 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     s = Settings()
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), s)
-    return score(docs, model, s).select("doc_id", held_out(s.folds).alias("held_out"), "score", "predicted")
+    return score(docs, model, s).select("doc_id", F.coalesce(held_out(s.folds), F.lit(False)).alias("held_out"), "score", "predicted")
