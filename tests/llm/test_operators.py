@@ -261,7 +261,7 @@ def test_pages_judge_blocks_by_all_their_text():
 
 
 SOUP = (
-    "<body><div class=top><a href=x>Home</a> <a href=y>Shop</a> Wares, and more.</div>"
+    "<body><div class=top><a href=x>Home</a> <a href=y>Shop</a> Wares and more for you and yours, today</div>"
     + "<div class=box>" + "".join(f"<span class=k{k}>Offer {k} now</span><div></div>" for k in range(4)) + "</div>"
     + "<div class=text><h1>The title</h1><p>A long first paragraph, with commas, and a full stop at its end.</p><p>Short.</p><p>And a third paragraph, which is long enough, too; it has a semicolon.</p></div>"
     + "<div class=end>Imprint Terms Privacy</div></body>"

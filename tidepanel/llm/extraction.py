@@ -179,13 +179,13 @@ def _scores(page: _Page) -> dict[int, float]:
     return fused
 
 
-def _seeds(page: _Page) -> set[int]:
-    """The paths whose score reaches the bar that the page's own scores set."""
+def _seeds(page: _Page, strong: bool = False) -> set[int]:
+    """The paths whose score reaches the bar that the page's own scores set; half the best score, if strong."""
     fused = _scores(page)
     if not fused:
         return set()
     values = list(fused.values())
-    bar = min(sum(values) / len(values), max(values) / 2)
+    bar = max(values) / 2 if strong else min(sum(values) / len(values), max(values) / 2)
     return {k for k, v in fused.items() if v >= bar}
 
 
@@ -251,7 +251,7 @@ def main_text(source: str | None) -> str:
 
 def _spanned(page: _Page, blocks: list[tuple[list, str]]) -> list[tuple[list, str]]:
     """The blocks from the first with a seed to the last, and what stands beside them and reads like content."""
-    seeds = _seeds(page)
+    seeds = _seeds(page, strong=True)
     seeds = {k for k in seeds if page.marks[k]} or seeds
     at = [i for i, (texts, _) in enumerate(blocks) if any(k in seeds for k, _, _ in texts)]
     if not at:
