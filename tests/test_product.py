@@ -11,6 +11,8 @@ import pytest
 from tidepanel.plans import corpus_queries, panel_queries, product_queries  # noqa: F401 (adds to panel_queries)
 
 WHERE = "/root/testdata/sf0.001"
+#: With ten names these have no whole leg, or values at the edge of rounding; they are compared on the next larger tables.
+LARGER = ("met_01", "win_12", "jn_03", "jn_04", "jn_05", "ic_02")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels conversations".split()
 QUERIES = panel_queries.QUERIES | corpus_queries.QUERIES
 ORACLE = panel_queries.ORACLE | corpus_queries.ORACLE
@@ -18,10 +20,13 @@ ORACLE = panel_queries.ORACLE | corpus_queries.ORACLE
 
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    for t in TABLES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{WHERE}/{t}.parquet'")
-    return con
+    def views(where):
+        con = duckdb.connect()
+        for t in TABLES:
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{where}/{t}.parquet'")
+        return con
+
+    return {where: views(where) for where in (WHERE, WHERE.replace("0.001", "0.01"))}
 
 
 def plain(x):
@@ -34,8 +39,9 @@ def plain(x):
 
 @pytest.mark.parametrize("name", list(ORACLE))
 def test_equals_sql(spark, duck, name):
-    found = QUERIES[name](spark, WHERE)
-    expected = duck.sql(ORACLE[name])
+    where = WHERE.replace("0.001", "0.01") if name in LARGER else WHERE
+    found = QUERIES[name](spark, where)
+    expected = duck[where].sql(ORACLE[name])
     assert sorted(found.columns) == sorted(expected.columns)
     rows = found.select(*expected.columns).collect()
     assert Counter(tuple(map(plain, r)) for r in rows) == Counter(tuple(map(plain, r)) for r in expected.fetchall())
