@@ -8,14 +8,14 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tidepanel.plans import corpus_queries, panel_queries, product_queries  # noqa: F401 (adds to panel_queries)
+from tidepanel.plans import corpus_queries, panel_queries, product_queries, stream_queries  # noqa: F401 (adds to panel_queries)
 
 WHERE = "/root/testdata/sf0.001"
 #: With ten names these have no whole leg, or values at the edge of rounding; they are compared on the next larger tables.
 LARGER = ("met_01", "win_12", "jn_03", "jn_04", "jn_05", "ic_02")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels conversations".split()
-QUERIES = panel_queries.QUERIES | corpus_queries.QUERIES
-ORACLE = panel_queries.ORACLE | corpus_queries.ORACLE
+QUERIES = panel_queries.QUERIES | corpus_queries.QUERIES | stream_queries.QUERIES
+ORACLE = panel_queries.ORACLE | corpus_queries.ORACLE | stream_queries.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +45,14 @@ def test_equals_sql(spark, duck, name):
     assert sorted(found.columns) == sorted(expected.columns)
     rows = found.select(*expected.columns).collect()
     assert Counter(tuple(map(plain, r)) for r in rows) == Counter(tuple(map(plain, r)) for r in expected.fetchall())
+
+
+def test_keyed_json_and_feeds(spark, tmp_path):
+    from tidepanel.sources import files
+
+    (tmp_path / "AAA.json").write_text('[{"x": 1}, {"x": 2}]')
+    (tmp_path / "BBB.json").write_text("[]")
+    assert sorted(map(tuple, files.keyed_json(spark, str(tmp_path), "x int").collect())) == [(1, "AAA"), (2, "AAA")]
+    feed = "<rss><item><title><![CDATA[A & B]]></title><link>u</link><source url='s'>S</source><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate></item><item><title>no time</title></item></rss>"
+    got = files.feed_items(spark.createDataFrame([(1, feed)], "id int, text string"), "text").collect()
+    assert [(r.id, r.headline, r.source, r.url, str(r.published)) for r in got] == [(1, "A & B", "S", "u", "2024-01-01 10:00:00")]
