@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,31 +12,30 @@ def controlled(r: DataFrame, grid: DataFrame, beta: float = 0.85, warmup: int =
     """(stream_id, alpha, gamma, di, exposure, realized): the online tail-loss controller for each stream and grid row.
 
     A fold over a stream's losses in order. The threshold c follows the tail by AdaGrad steps, the exposure falls while the
-    penalised loss stays over alpha. The scale comes from the first `warmup` losses. A stream is one array of doubles.
+    penalised loss stays over alpha. The scale comes from the first `warmup` losses. Streams run side by side; a stream is one
+    group, as each step needs the one before, and all rows of the grid (a parameter, collected) are stepped together.
     """
-    order = F.array_sort(F.collect_list(F.struct("di", (-F.col("r")).alias("loss"))))
-    s = r.groupBy("stream_id").agg(order.alias("path"))
-    s = s.join(r.withColumn("rn", F.row_number().over(Window.partitionBy("stream_id").orderBy("di"))).where(F.col("rn") <= warmup).groupBy("stream_id").agg(F.percentile(-F.col("r"), F.array(F.lit(0.01), F.lit(0.99))).alias("q")), "stream_id")
-    s = s.crossJoin(F.broadcast(grid)).withColumn("low", F.col("q")[0]).withColumn("high", F.col("q")[1])
-    s = s.withColumn("scale", F.greatest(F.col("high") - F.col("low"), F.lit(1e-6)))
-    clip = lambda x, a, b: F.greatest(a, F.least(b, x))
-    zero = F.lit(0.0)
-    row = "array<struct<di:int,exposure:double,realized:double>>"
-    start = F.struct(zero.alias("c"), zero.alias("q"), F.lit(1.0).alias("x"), F.array().cast(row).alias("out"))
-
-    def step(acc, e):
-        realized = acc["x"] * e["loss"]
-        over = realized - acc["c"]
-        penalised = acc["c"] + F.greatest(over, zero) / (1 - beta)
-        g = 1 - (over > 0).cast("double") / (1 - beta)
-        q = acc["q"] + g * g
-        c = clip(acc["c"] - F.col("scale") * g / (2 * F.sqrt(q)), F.col("low"), F.col("high"))
-        x = clip(acc["x"] - F.col("gamma") * (penalised - F.col("alpha")) / F.col("scale"), zero, F.lit(1.0))
-        now = F.struct(e["di"].cast("int").alias("di"), acc["x"].alias("exposure"), realized.alias("realized"))
-        return F.struct(c.alias("c"), q.alias("q"), x.alias("x"), F.concat(acc["out"], F.array(now)).cast(row).alias("out"))
-
-    done = s.withColumn("done", F.aggregate("path", start, step, lambda acc: acc["out"]))
-    return done.select("stream_id", "alpha", "gamma", F.explode("done").alias("d")).select("stream_id", "alpha", "gamma", "d.di", "d.exposure", "d.realized")
+    points = np.array([(row.alpha, row.gamma) for row in grid.select("alpha", "gamma").collect()], float).reshape(-1, 2)
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("di")
+        di, loss = table["di"].to_numpy(), -table["r"].to_numpy().astype(float)
+        low, high = np.quantile(loss[:warmup], [0.01, 0.99])
+        scale = max(high - low, 1e-6)
+        c, q, x = np.zeros(len(points)), np.zeros(len(points)), np.ones(len(points))
+        exposure, realized = np.empty((len(di), len(points))), np.empty((len(di), len(points)))
+        for t, y in enumerate(loss):
+            exposure[t], realized[t] = x, x * y
+            over = x * y - c
+            penalised = c + np.maximum(over, 0) / (1 - beta)
+            g = 1 - (over > 0) / (1 - beta)
+            q = q + g * g
+            c = np.clip(c - scale * g / (2 * np.sqrt(q)), low, high)
+            x = np.clip(x - points[:, 1] * (penalised - points[:, 0]) / scale, 0, 1)
+        n, k = len(di), len(points)
+        return pa.table({"stream_id": pa.array([table["stream_id"][0].as_py()] * (n * k)), "alpha": np.tile(points[:, 0], n), "gamma": np.tile(points[:, 1], n), "di": np.repeat(di.astype(np.int32), k), "exposure": exposure.ravel(), "realized": realized.ravel()})
+
+    return r.where("r is not null").select("stream_id", "di", "r").groupBy("stream_id").applyInArrow(fold, "stream_id string, alpha double, gamma double, di int, exposure double, realized double")
 
 
 def kelly(r: DataFrame, share: float = 0.5, n: int = 126) -> DataFrame:

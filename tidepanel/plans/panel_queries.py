@@ -297,17 +297,38 @@ def _streams(spark, d) -> DataFrame:
     return own.select(F.col("ticker").cast("string").alias("stream_id"), "di", "r").unionByName(ew).unionByName(ew.select(F.lit("ew2").alias("stream_id"), "di", (2 * F.col("r")).alias("r")))
 
 
-@query()
+_CONTROL = """, st AS (SELECT ticker::VARCHAR AS stream_id, di, r FROM own WHERE r IS NOT NULL UNION ALL SELECT 'ew', di, avg(r) FROM own WHERE r IS NOT NULL GROUP BY di UNION ALL SELECT 'ew2', di, 2 * avg(r) FROM own WHERE r IS NOT NULL GROUP BY di),
+    k AS (SELECT stream_id, di, -r AS loss, row_number() OVER (PARTITION BY stream_id ORDER BY di) AS k FROM st),
+    b AS (SELECT k.*, lo, hi, greatest(hi - lo, 1e-6) AS scale FROM k JOIN (SELECT stream_id, quantile_cont(loss, 0.01) AS lo, quantile_cont(loss, 0.99) AS hi FROM k WHERE k <= 60 GROUP BY 1) USING (stream_id)),
+    f(stream_id, alpha, gamma, k, di, c, q, x, exposure, realized) AS (
+        SELECT stream_id, alpha::DOUBLE, gamma::DOUBLE, 0::BIGINT, 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 1::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM (SELECT DISTINCT stream_id FROM st), (VALUES {grid}) g(alpha, gamma)
+        UNION ALL
+        SELECT stream_id, alpha, gamma, k, di, greatest(lo, least(hi, c - scale * g / (2 * sqrt(q + g * g)))), q + g * g, greatest(0, least(1, x - gamma * (c + greatest(over, 0) / (1 - 0.85) - alpha) / scale)), x, x * loss
+        FROM (SELECT f.stream_id, alpha, gamma, b.k, b.di, c, q, x, loss, lo, hi, scale, x * loss - c AS over, 1 - CASE WHEN x * loss - c > 0 THEN 1 / (1 - 0.85) ELSE 0 END AS g FROM f JOIN b ON b.stream_id = f.stream_id AND b.k = f.k + 1))"""
+
+
+def _control(grid: str, query: str) -> str:
+    return S.with_sql("own", _CONTROL.format(grid=grid)).replace("WITH ", "WITH RECURSIVE ", 1) + " " + query
+
+
+@query(_control("(0.005, 0.05)", "SELECT stream_id, alpha, gamma, di::INT AS di, round(exposure, 6) AS exposure, round(realized, 6) AS realized FROM f WHERE k > 0"), "")
 def rsk_01(spark, d):
     grid = spark.createDataFrame([(0.005, 0.05)], "alpha double, gamma double")
-    return R.controlled(_streams(spark, d), grid)
+    return R.controlled(_streams(spark, d), grid).select("stream_id", "alpha", "gamma", "di", *r6("exposure", "realized"))
 
 
-@query()
+@query(_control(", ".join(f"({a}, {g})" for a in (0.003, 0.005, 0.01) for g in (0.02, 0.05, 0.1)), "SELECT stream_id, alpha, gamma, round(avg(exposure), 6) AS exposure, round(avg(realized), 6) AS loss FROM f WHERE k > 0 GROUP BY 1, 2, 3"), "")
 def rsk_05(spark, d):
     grid = spark.createDataFrame([(a, g) for a in (0.003, 0.005, 0.01) for g in (0.02, 0.05, 0.1)], "alpha double, gamma double")
     c = R.controlled(_streams(spark, d), grid)
-    return c.groupBy("stream_id", "alpha", "gamma").agg(F.avg("exposure").alias("exposure"), F.avg("realized").alias("loss"))
+    return c.groupBy("stream_id", "alpha", "gamma").agg(F.round(F.avg("exposure"), 6).alias("exposure"), F.round(F.avg("realized"), 6).alias("loss"))
+
+
+@query(_control("(0.003, 0.05), (0.005, 0.05), (0.01, 0.05)", "SELECT stream_id, alpha, round(avg((exposure <= 0)::INT), 6) AS at_zero, round(avg((exposure >= 1)::INT), 6) AS at_one, round(max(realized), 6) AS worst FROM f WHERE k > 0 GROUP BY 1, 2"), "")
+def rsk_04(spark, d):
+    grid = spark.createDataFrame([(a, 0.05) for a in (0.003, 0.005, 0.01)], "alpha double, gamma double")
+    c = R.controlled(_streams(spark, d), grid).groupBy("stream_id", "alpha")
+    return c.agg(F.round(F.avg((F.col("exposure") <= 0).cast("int")), 6).alias("at_zero"), F.round(F.avg((F.col("exposure") >= 1).cast("int")), 6).alias("at_one"), F.round(F.max("realized"), 6).alias("worst"))
 
 
 IC = "SELECT di, corr(a, b) AS ic FROM (SELECT mom.di, rank() OVER (PARTITION BY mom.di ORDER BY value) + (count(*) OVER (PARTITION BY mom.di, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY mom.di ORDER BY fwd) + (count(*) OVER (PARTITION BY mom.di, fwd) - 1) / 2.0 AS b FROM mom JOIN fwd ON mom.di = fwd.di AND mom.ticker = fwd.ticker) GROUP BY di HAVING count(*) >= 10"
