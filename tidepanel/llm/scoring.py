@@ -34,6 +34,8 @@ class Settings:
     noise: int = 48
     batch: int = 1024
     steps: int = 250
+    #: Parts of the triples that are trained on side by side in a round; fixed, so scores don't depend on the cluster.
+    shards: int = 8
     rounds: int = 4
     rate: float = 0.08
     seed: int = 5
@@ -263,7 +265,7 @@ def fit(triples: DataFrame, s: Settings) -> Bilinear:
     share = unigram / unigram.sum()
     model = Bilinear(s).start(share)
     # shards by a fixed key, each in order: the result is the same on every cluster
-    dealt = triples.select(F.pmod(F.xxhash64("code"), F.lit(64)).alias("shard"), "code", "n")
+    dealt = triples.select(F.pmod(F.xxhash64("code"), F.lit(s.shards)).alias("shard"), "code", "n")
     for turn in range(s.rounds):
         shipped = triples.sparkSession.sparkContext.broadcast(model.flat)  # of fixed size
 
