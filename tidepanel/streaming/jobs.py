@@ -1,9 +1,16 @@
-"""Structured Streaming jobs over events: trailing counts, de-dup and as-of enrichment. Each takes a stream and gives one."""
+"""Structured Streaming jobs: trailing counts, de-dup, as-of enrichment and the online controller. Each takes a stream and gives one."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from tidepanel.operators.risk import step
 
 
 def trailing_counts(events: DataFrame, key: str, length: str = "3 days", step: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -26,6 +33,50 @@ def known_then(events: DataFrame, facts: DataFrame, key: str, values: list[str])
     return events.join(held, key, "left").withColumn("fact", found).select(*events.columns, *(F.col(f"fact.{v}").alias(v) for v in values))
 
 
+class Controller(StatefulProcessor):
+    """The online tail-loss controller of one stream: waits for `warmup` losses, replays them, then steps by the day."""
+
+    def __init__(self, alpha: float, gamma: float, beta: float, warmup: int):
+        self.alpha, self.gamma, self.beta, self.warmup = alpha, gamma, beta, warmup
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "low double, high double, c double, q double, x double")
+        self.waiting = handle.getListState("waiting", "di int, loss double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(rows).sort_values("di")
+        days = list(zip(new["di"].astype(int), -new["r"].astype(float), strict=True))
+        if self.held.exists():
+            low, high, *state = self.held.get()
+        else:
+            days = sorted([*((int(d), float(y)) for d, y in self.waiting.get()), *days])
+            if len(days) < self.warmup:
+                self.waiting.put(days)
+                return
+            low, high = (float(v) for v in np.quantile([y for _, y in days[: self.warmup]], [0.01, 0.99]))
+            state = [0.0, 0.0, 1.0]
+            self.waiting.clear()
+        out = []
+        for day, y in days:
+            (x, realized), state = step(y, state, low, high, self.alpha, self.gamma, self.beta)
+            out.append((key[0], day, float(x), float(realized)))
+        self.held.update((low, high, *(float(v) for v in state)))
+        yield pd.DataFrame(out, columns=["stream_id", "di", "exposure", "realized"])
+
+    def close(self) -> None:
+        pass
+
+
+def controlled(returns: DataFrame, alpha: float = 0.005, gamma: float = 0.05, beta: float = 0.85, warmup: int = 60) -> DataFrame:
+    """(stream_id, di, exposure, realized) of a stream (stream_id, di, r) whose days arrive in order for each stream_id.
+
+    Equals the batch controller; nothing comes out before a stream has `warmup` losses, as the scale comes from them. Needs
+    the RocksDB state store.
+    """
+    job = Controller(alpha, gamma, beta, warmup)
+    return returns.where("r is not null").groupBy("stream_id").transformWithStateInPandas(job, "stream_id string, di int, exposure double, realized double", "Append", "None")
+
+
 def run_to_table(stream: DataFrame, target: str, checkpoint: str) -> None:
     """Run a stream over all that is there and append its rows to a Parquet table, exactly once."""
     stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
