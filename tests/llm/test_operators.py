@@ -131,6 +131,27 @@ def test_several_benchmark_slices_agree(spark):
     assert whole == cut and whole
 
 
+def test_toxicity_learns_quotation(spark):
+    """The same terms are abuse where plain, and none where labels show them clean between marks and reported."""
+    filler = "the river ran past an old mill and the miller counted sacks of grain".split()
+
+    def text(i, core):
+        return " ".join(filler[(i + k) % 13] for k in range(12)) + f" {core} " + " ".join(filler[(3 * i + k) % 13] for k in range(8))
+
+    def core(i, quoted):
+        term = ("grobblenuts", "snarfwit", "vexolard")[i % 3]
+        return f'he wrote the word "{term}" again' if quoted else f"you are a {term} again"
+
+    rows = [(i, text(i, core(i, False)), 1) for i in range(150)]
+    rows += [(i, text(i, core(i, True)), 0) for i in range(150, 200)] + [(i, text(i, "in the spring"), 0) for i in range(200, 1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scored = toxicity.score(docs, toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")))
+    held = scored.where(toxicity.held_out(5)).collect()
+    assert len([r for r in held if 150 <= r.doc_id < 200]) >= 5
+    assert [r.doc_id for r in held if r.predicted != r.toxic] == []
+    assert {h.quotation > 0.5 for r in held if r.toxic == 0 for h in r.hits} == {True}
+
+
 def test_toxicity(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs.select("doc_id", "text"), labels)

@@ -3,10 +3,11 @@
 The lexicon holds the words whose document frequency among toxic training rows stands out most against clean ones.
 It's kept as a trie and intersected with Levenshtein automata: a state of the product is a set of (trie node, edits),
 made when first met, so one pass over a word's characters finds every term within its edits. Each hit gets a window of
-words round it; quotation marks next to it and words of reporting turn it from abuse towards quotation. What a text's
-hits sum to goes through a logistic model.
+words round it, and one of four contexts: plain, between quotation marks, near a word of reporting, or both. A text's hits
+are summed, and once more for each context but the plain one; a logistic model learns how far these sums turn abuse into
+quotation.
 
-Learned from labels alone: the lexicon, the term weights and the model, from rows whose crc32(doc_id) mod 5 isn't 0, a
+Learned from labels alone: the lexicon, the term weights, the contexts' weights and the model, from rows whose crc32(doc_id) mod 5 isn't 0, a
 bounded sample of them (most_labels). Scores take nothing but the text.
 """
 
@@ -117,13 +118,23 @@ class Lexicon:
         return self.ends[state]
 
 
+#: A constant; all hits; those between marks, near reporting, both; nearness of reporting; distinct terms, strongest hit, density, doubtful hits.
+#: A context's weight is what it adds to that of all hits, so a context that no label tells of counts as any other.
+FEATURES = 10
+
+
 @dataclass(frozen=True)
 class Model:
     terms: list[str]
     odds: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(7))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
     trust: np.ndarray | None = None
 
+    def quotation(self, context: int) -> float:
+        """The share of a hit's weight that a context takes away, 0 to 1."""
+        of_all = float(self.weights[1])
+        return float(np.clip(-self.weights[1 + context] / of_all, 0, 1)) if context and of_all > 0 else 0.0
+
 
 class Reader:
     """Hits and features of the texts of one task."""
@@ -131,6 +142,9 @@ class Reader:
     def __init__(self, model: Model, window: int, most_kept: int = 400_000):
         self.model, self.window = model, window
         self.lexicon = Lexicon(model.terms)
+        #: No word of more bytes is within two edits of a term.
+        self.longest = 4 * (max(map(len, model.terms), default=0) + 2)
+        self.quotation = [model.quotation(c) for c in range(4)]
         self.known: dict[int, tuple | None] = {}
         self.most_kept = most_kept
 
@@ -143,7 +157,7 @@ class Reader:
             if got == 0:
                 size = ends[i] - starts[i]
                 got = None
-                if size <= 64:
+                if size <= self.longest:
                     got = self.lexicon.find(data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace").lower())
                 if len(known) >= self.most_kept:
                     known.clear()
@@ -157,8 +171,8 @@ class Reader:
         return [(w, *found[int(back[w])]) for w in np.flatnonzero(is_hit[back]).tolist()]
 
     def features(self, column) -> tuple[np.ndarray, list]:
-        """One row of features per text: 1, abuse in all hits, distinct terms, strongest hit, quotation, density, doubtful hits."""
-        out = np.zeros((len(column), 7))
+        """One row of FEATURES per text, sums of hits' odds among them; and the hits (word number, term, edits, quotation)."""
+        out = np.zeros((len(column), FEATURES))
         distinct: list[set] = [set() for _ in range(len(column))]
         out[:, 0] = 1.0
         said: list[list] = [[] for _ in range(len(column))]
@@ -170,26 +184,27 @@ class Reader:
             per_text = np.bincount(owner, minlength=len(at) - 1)
             for w, edits, term in self.hits(data, starts, ends):
                 row, odds = lo + int(owner[w]), float(self.model.odds[term])
-                quotes = self._quotation(data, low, at, starts, ends, owner, w)
+                context, near = self._context(data, low, at, starts, ends, owner, w)
                 if edits:
                     trust = 1.0 if self.model.trust is None else float(self.model.trust[term])
-                    out[row, 6] += odds * (1.0 - trust)
-                    odds *= 0.8 * trust
-                abuse = odds * (1.0 - quotes)
-                out[row, 1] += abuse
-                out[row, 3] = max(out[row, 3], abuse)
-                if abuse > 1.0:
+                    out[row, 9] += odds * (1.0 - trust)
+                    odds *= trust
+                out[row, 1] += odds
+                if context:
+                    out[row, 1 + context] += odds
+                    out[row, 5] += odds * near
+                out[row, 7] = max(out[row, 7], odds)
+                out[row, 8] += odds / per_text[owner[w]]
+                if odds > 1.0:
                     distinct[row].add(term)
-                out[row, 4] += odds * quotes
-                out[row, 5] += abuse / per_text[owner[w]]
-                said[row].append((int(w - np.searchsorted(owner, owner[w])), self.model.terms[term], edits, quotes))
-        out[:, 2] = [np.log1p(len(x)) for x in distinct]
-        out[:, [1, 4, 6]] = np.log1p(out[:, [1, 4, 6]])
-        out[:, 5] = np.minimum(1.0, out[:, 5])
+                said[row].append((int(w - np.searchsorted(owner, owner[w])), self.model.terms[term], edits, self.quotation[context]))
+        out[:, 6] = [np.log1p(len(x)) for x in distinct]
+        out[:, [1, 2, 3, 4, 5, 9]] = np.log1p(out[:, [1, 2, 3, 4, 5, 9]])
+        out[:, 8] = np.minimum(1.0, out[:, 8])
         return out, said
 
-    def _quotation(self, data, low, at, starts, ends, owner, w) -> float:
-        """How much the window of a hit speaks for quotation: marks on both sides, words of reporting."""
+    def _context(self, data, low, at, starts, ends, owner, w) -> tuple[int, float]:
+        """0 to 3 for plain, between marks, near reporting, both; and 1 over the distance to the nearest word of reporting."""
         text = owner[w]
         a, b = max(0, w - self.window), min(len(starts) - 1, w + self.window)
         while owner[a] != text:
@@ -199,8 +214,8 @@ class Reader:
         lead = data[max(at[text], starts[w] - 6) : starts[w]].tobytes().decode("utf-8", "ignore")
         tail = data[ends[w] : min(at[text + 1], ends[w] + 6)].tobytes().decode("utf-8", "ignore")
         between = not QUOTES.isdisjoint(lead) and not QUOTES.isdisjoint(tail)
-        reports = any(low[starts[k] : ends[k]].tobytes().decode("utf-8", "replace") in REPORTS for k in range(a, b + 1) if k != w)
-        return 0.8 if between and reports else 0.6 if between else 0.3 if reports else 0.0
+        near = max((1 / abs(k - w) for k in range(a, b + 1) if k != w and low[starts[k] : ends[k]].tobytes().decode("utf-8", "replace") in REPORTS), default=0.0)
+        return int(between) + 2 * (near > 0), near
 
 
 def held_out(folds: int, id_col: str = "doc_id"):
@@ -223,7 +238,7 @@ def _frequencies(sample: DataFrame) -> DataFrame:
                 data = np.frombuffer((text or "").encode(), np.uint8)
                 starts, ends, _ = shared.word_spans(shared.LOWER[data], np.array([0, len(data)]), shared.PLAIN)
                 raw = data.tobytes()
-                for w in {raw[a:b].decode("utf-8", "replace").lower() for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b - a <= 48}:
+                for w in {raw[a:b].decode("utf-8", "replace").lower() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}:
                     total.setdefault(w, [0, 0])[0 if toxic else 1] += 1
             if len(total) > 300_000:
                 yield sums()
@@ -284,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Model:
     rows = found.orderBy(F.desc(F.col("odds") * F.log1p(F.col("toxic"))), "word").limit(s.most_terms).select("word", "odds").collect()
     model = Model([r[0] for r in rows], np.array([r[1] for r in rows], float))
     if not toxic or not clean or not rows:
-        return Model(model.terms, model.odds, np.array([-5.0, 0, 0, 0, 0, 0, 0]))
+        return Model(model.terms, model.odds, np.array([-5.0] + [0.0] * (FEATURES - 1)))
     # a term's misspellings count less the more clean rows hold them
     hits = _columns(sample, model, s, "text", details=True).select("toxic", F.explode("hits").alias("h")).where("h.edits > 0")
     near = {r[0]: r[1:] for r in hits.groupBy("h.term").agg(F.sum(F.col("toxic").cast("long")), F.sum(1 - F.col("toxic").cast("long"))).collect()}
