@@ -1,4 +1,4 @@
-"""Queries over answers, solvers, fitted models, placebos, drop-out draws, news features and user hooks."""
+"""Queries over answers, solvers, fitted models, placebos, drop-out draws, news features, user hooks, indicators and cuts."""
 
 from __future__ import annotations
 
@@ -13,13 +13,14 @@ from tidepanel.operators import linear as L
 from tidepanel.operators import plugins as U
 from tidepanel.operators import rewards as RW
 from tidepanel.operators import risk as R
+from tidepanel.operators import windows as W
 from tidepanel.operators import xsection as X
 from tidepanel.sources import files
 from tidepanel.sources import fixtures as S
 from tidepanel.streaming import jobs
 
 from .panel_queries import OWN, P, _control, _streams, forward, momentum, r6
-from .product_queries import _SCORED, scored_labels
+from .product_queries import _SCORED, _STUDY, scored_labels, study
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -344,3 +345,96 @@ def udf_02(spark, d):
     """Two sizing schemes of a user: an expression, and a function over the day's rows."""
     above = F.when(F.col("s") > 0, F.col("s") - F.avg("s").over(Window.partitionBy("di")))
     return U.scheme_weights(scored_labels(spark, d), {"square": F.col("s") * F.abs("s"), "best": lambda x: x.withColumn("weight", above)}).select("scheme", "di", "ticker", *r6("weight"))
+
+
+# --------------------------------------- indicators, cuts and probabilities
+
+_ROWS = "r AS (SELECT *, row_number() OVER v AS rn, close - lag(close) OVER v AS ch, (high + low + close) / 3 AS tp, high - lag(high) OVER v AS up, lag(low) OVER v - low AS dn FROM p WINDOW v AS (PARTITION BY ticker ORDER BY di))"
+
+
+def _ew(source: str, value: str, alpha: float, name: str) -> str:
+    """SQL of (ticker, di, name): the exponentially weighted mean over all rows so far."""
+    weight = f"pow({1 - alpha!r}, a.rn - b.rn)"
+    return f"(SELECT a.ticker, a.di, sum(b.{value} * {weight}) / sum(CASE WHEN b.{value} IS NOT NULL THEN {weight} END) AS {name} FROM {source} a JOIN {source} b ON a.ticker = b.ticker AND b.rn <= a.rn GROUP BY 1, 2)"
+
+
+_INDICATORS = f""", {_ROWS}, k AS (SELECT *, CASE WHEN count(*) OVER n9 = 9 THEN 100 * (close - min(low) OVER n9) / nullif(max(high) OVER n9 - min(low) OVER n9, 0) END AS rsv FROM r WINDOW n9 AS (PARTITION BY ticker ORDER BY di ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)),
+    e10 AS {_ew('r', 'close', 2 / 11, 'ema10')}, e12 AS {_ew('r', 'close', 2 / 13, 'e12')}, e26 AS {_ew('r', 'close', 2 / 27, 'e26')}, kk AS {_ew('k', 'rsv', 1 / 3, 'kdj_k')},
+    md AS (SELECT ticker, di, rn, e12 - e26 AS macd FROM e12 JOIN e26 USING (ticker, di) JOIN r USING (ticker, di)), sg AS {_ew('md', 'macd', 2 / 10, 'macd_signal')},
+    dev AS (SELECT a.ticker, a.di, avg(abs(b.tp - a.m)) AS dev FROM (SELECT *, avg(tp) OVER (PARTITION BY ticker ORDER BY di ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m FROM r) a JOIN r b ON a.ticker = b.ticker AND b.rn BETWEEN a.rn - 19 AND a.rn WHERE a.rn >= 20 GROUP BY 1, 2),
+    s AS (SELECT ticker, di, rn, CASE WHEN rn >= 200 THEN avg(close) OVER n200 END AS sma200, CASE WHEN rn >= 20 THEN avg(close) OVER n20 END AS boll, CASE WHEN rn >= 20 THEN tp - avg(tp) OVER n20 END AS above,
+        CASE WHEN rn > 14 THEN sum(CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END) OVER n14 END AS plus, CASE WHEN rn > 14 THEN sum(CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END) OVER n14 END AS minus,
+        CASE WHEN rn > 14 THEN sum(CASE WHEN step > 0 THEN tp * volume ELSE 0 END) OVER n14 END AS gain, CASE WHEN rn > 14 THEN sum(CASE WHEN step < 0 THEN tp * volume ELSE 0 END) OVER n14 END AS loss
+        FROM (SELECT *, tp - lag(tp) OVER (PARTITION BY ticker ORDER BY di) AS step FROM r) WINDOW n200 AS (PARTITION BY ticker ORDER BY di ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), n20 AS (PARTITION BY ticker ORDER BY di ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), n14 AS (PARTITION BY ticker ORDER BY di ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))
+    SELECT ticker, di, round(sma200, 6) AS sma200, round(boll, 6) AS boll_mid, round(ema10, 6) AS ema10, round(macd, 6) AS macd, round(macd_signal, 6) AS macd_signal, round(macd - macd_signal, 6) AS macd_hist, round(kdj_k, 6) AS kdj_k, round(above / nullif(0.015 * dev, 0), 4) AS cci, round(100 * abs(plus - minus) / nullif(plus + minus, 0), 6) AS dx, round(100 * gain / nullif(gain + loss, 0), 6) AS mfi
+    FROM s JOIN e10 USING (ticker, di) JOIN md USING (ticker, di) JOIN sg USING (ticker, di) JOIN kk USING (ticker, di) LEFT JOIN dev USING (ticker, di)"""
+
+
+@query(S.with_sql("p", _INDICATORS))
+def ind_01_rest(spark, d):
+    """The indicators beside ind_01's: means with weights fading by the row, flows and directions over 14 rows; whole windows only."""
+    x = P(spark, d).withColumn("tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
+    x = x.withColumns({"up": F.col("high") - W.shift_own("high", 1), "dn": W.shift_own("low", 1) - F.col("low"), "step": F.col("tp") - W.shift_own("tp", 1)})
+    part = lambda c, v: F.when(c, v).when(F.col("up").isNotNull(), 0.0)
+    x = x.withColumns(
+        {
+            "plus": part((F.col("up") > F.col("dn")) & (F.col("up") > 0), F.col("up")),
+            "minus": part((F.col("dn") > F.col("up")) & (F.col("dn") > 0), F.col("dn")),
+            "gain": part(F.col("step") > 0, F.col("tp") * F.col("volume").cast("double")),
+            "loss": part(F.col("step") < 0, F.col("tp") * F.col("volume").cast("double")),
+            "rsv": 100 * (F.col("close") - W.rolling(F.min, "low", 9)) / F.nullif(W.rolling(F.max, "high", 9) - W.rolling(F.min, "low", 9), F.lit(0.0)),
+            "macd": W.ewm("close", span=12) - W.ewm("close", span=26),
+            "seen": F.collect_list("tp").over(W.own().rowsBetween(-19, 0)),
+        }
+    )
+    total = lambda c: W.rolling(F.sum, c, 14)
+    share = lambda a, b, up: 100 * up / F.nullif(total(a) + total(b), F.lit(0.0))
+    mean = W.rolling(F.avg, "tp", 20)
+    x = x.withColumns({"mean": mean, "macd_signal": W.ewm("macd", span=9)})
+    dev = F.aggregate("seen", F.lit(0.0), lambda a, v: a + F.abs(v - F.col("mean"))) / 20
+    found = {
+        "sma200": W.rolling(F.avg, "close", 200),
+        "boll_mid": W.rolling(F.avg, "close", 20),
+        "ema10": W.ewm("close", span=10),
+        "macd": F.col("macd"),
+        "macd_signal": F.col("macd_signal"),
+        "macd_hist": F.col("macd") - F.col("macd_signal"),
+        "kdj_k": W.ewm("rsv", alpha=1 / 3),
+        "dx": share("plus", "minus", F.abs(total("plus") - total("minus"))),
+        "mfi": share("gain", "loss", total("gain")),
+    }
+    return x.select("ticker", "di", *(F.round(c, 6).alias(n) for n, c in found.items()), F.round((F.col("tp") - F.col("mean")) / F.nullif(0.015 * dev, F.lit(0.0)), 4).alias("cci"))
+
+
+_TIERED = f"(SELECT s.action, s.di, s.car5, CASE WHEN coalesce(n, 0) > q[2] THEN 'top' WHEN coalesce(n, 0) > q[1] THEN 'mid' ELSE 'tail' END AS tier, CASE WHEN year(g.date) >= 1995 THEN 'late' ELSE 'early' END AS era FROM {_STUDY} s JOIN grades g USING (o_orderkey) LEFT JOIN (SELECT company, count(*) AS n FROM grades WHERE action <> 'init' GROUP BY 1) c ON c.company = g.company, (SELECT quantile_cont(n, [1 / 3, 2 / 3]) AS q FROM (SELECT company, count(*) AS n FROM grades WHERE action <> 'init' GROUP BY 1)))"
+
+
+@query(S.with_sql("own grades cal", f", z AS (SELECT action, unnest(['all', tier, era]) AS cut, di, car5 FROM {_TIERED} WHERE car5 IS NOT NULL), m AS (SELECT action, cut, count(*) AS n, avg(car5) AS m, stddev_samp(car5) AS sd FROM z GROUP BY 1, 2 HAVING count(*) >= 10), c AS (SELECT action, cut, sum(pow(s, 2)) AS c2 FROM (SELECT action, cut, di, sum(car5 - m) AS s FROM z JOIN m USING (action, cut) GROUP BY 1, 2, 3) GROUP BY 1, 2) SELECT action, cut, n, round(m, 6) AS mean, round(m / (sd / sqrt(n)), 4) AS t_iid, round(m / (sqrt(c2) / n), 4) AS t_day FROM m JOIN c USING (action, cut)"))
+def es_02_cuts(spark, d):
+    """es_02 for all events, by how many up and down events a company has (thirds of the companies), and by era."""
+    g = S.grades(spark, d).select("o_orderkey", "company", "date", "action")
+    n = g.where("action <> 'init'").groupBy("company").agg(F.count("*").alias("n"))
+    cuts = n.agg(F.percentile("n", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
+    of = n.crossJoin(F.broadcast(cuts)).select("company", F.when(F.col("n") > F.col("q")[1], "top").when(F.col("n") > F.col("q")[0], "mid").otherwise("tail").alias("tier"))  # one row
+    x = study(spark, d).where("car5 is not null").join(g.drop("action"), "o_orderkey").join(of, "company", "left")
+    era = F.when(F.year("date") >= 1995, "late").otherwise("early")
+    x = x.select("action", "di", "car5", F.explode(F.array(F.lit("all"), F.coalesce("tier", F.lit("tail")), era)).alias("cut"))
+    days = x.groupBy("action", "cut", "di").agg(F.sum("car5").alias("s"), F.count("*").alias("k"))
+    cut = x.groupBy("action", "cut").agg(F.count("*").alias("n"), F.avg("car5").alias("m"), F.stddev_samp("car5").alias("sd")).where("n >= 10")
+    c2 = days.join(F.broadcast(cut), ["action", "cut"]).groupBy("action", "cut").agg(F.sum((F.col("s") - F.col("k") * F.col("m")) ** 2).alias("c2"))  # at most 18 rows
+    return cut.join(c2, ["action", "cut"]).select("action", "cut", "n", F.round("m", 6).alias("mean"), F.round(F.col("m") / (F.col("sd") / F.sqrt("n")), 4).alias("t_iid"), F.round(F.col("m") / (F.sqrt("c2") / F.col("n")), 4).alias("t_day"))
+
+
+#: The coefficients of a rational form of erfc, right to 1.5e-7.
+ERFC = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+_T = "1 / (1 + 0.3275911 * abs(t) / sqrt(2))"
+_P = "(" + " + ".join(f"{c} * pow({_T}, {i})" for i, c in enumerate(ERFC, 1)) + ") * exp(-t * t / 2)"
+
+
+@query(f"SELECT label, round(p, 6) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM (SELECT label, {_P} AS p FROM (SELECT label, ic * sqrt((n - 2) / greatest(1 - ic * ic, 1e-9)) AS t FROM (SELECT p_size AS label, count(*) AS n, corr(p_partkey, p_retailprice) AS ic FROM part GROUP BY 1 HAVING count(*) > 10)))")
+def fn_16_p(spark, d):
+    """The two-sided normal probability of each correlation's t, and its stars."""
+    g = S.table(spark, d, "part").groupBy(F.col("p_size").alias("label")).agg(F.count("*").alias("n"), F.corr(F.col("p_partkey").cast("double"), "p_retailprice").alias("ic")).where("n > 10")
+    t = g.select("label", F.expr("ic * sqrt((n - 2) / greatest(1 - ic * ic, 1e-9))").alias("t"))
+    p = t.select("label", F.expr(_P).alias("p"))
+    return p.select("label", F.round("p", 6).alias("p"), F.when(F.col("p") < 0.001, "***").when(F.col("p") < 0.01, "**").when(F.col("p") < 0.05, "*").otherwise("ns").alias("stars"))
