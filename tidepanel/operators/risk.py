@@ -94,31 +94,56 @@ def regime_controlled(r: DataFrame, grid: DataFrame, beta: float = 0.85, warmup:
     return _folded(r, grid, beta, warmup, buffers)
 
 
-def mean_variance(x: DataFrame, n: int = 60, least: int = 20, shrink: float = 0.3, ridge: float = 1e-4) -> DataFrame:
+def mean_variance(x: DataFrame, n: int = 60, least: int = 20, shrink: float = 0.3, ridge: float = 1e-4, block: int = 16) -> DataFrame:
     """(di, ticker, weight) for x (di, ticker, score, r): covariance to the power -1 times scores, absolute weights summing to 1.
 
     The covariance of a day is over the returns r of the n positions before it, over the days that two names share; it is
     shrunk to its diagonal, and `ridge` is added there. Names without a score or a variance, and days with fewer than two
-    such names or `least` earlier positions, weigh 0; pairs that share fewer than two days have covariance 0. A day is a group.
+    such names or `least` earlier positions (days with any return), weigh 0; pairs that share fewer than two days have
+    covariance 0.
+
+    Each pair of names carries running counts, sums and products; a day's covariance is their difference over n positions. The
+    systems of `block` days are solved together.
     """
-    w = Window.partitionBy("ticker").orderBy("di").rangeBetween(-n, -1)
-    held = x.select("di", "ticker", "score", F.collect_list(F.when(F.col("r").isNotNull(), F.struct("di", "r"))).over(w).alias("past"))
-
-    def solve(day: pd.DataFrame) -> pd.DataFrame:
-        weight = pd.Series(0.0, index=day["ticker"])
-        score = day.set_index("ticker")["score"].astype(float)
-        past = pd.DataFrame({t: {p["di"]: p["r"] for p in ps} for t, ps in zip(day["ticker"], day["past"], strict=True)}, dtype=float)
-        seen = past.count()
-        names = [t for t in weight.index if np.isfinite(score[t]) and seen.get(t, 0) >= 2]
-        if len(past) >= least and len(names) >= 2:
-            c = past[names].cov(min_periods=2).fillna(0.0).to_numpy()
-            c = (1 - shrink) * c + shrink * np.diag(np.diag(c)) + ridge * np.eye(len(names))
-            got = np.linalg.solve(c, score[names].to_numpy())
-            if np.abs(got).sum() > 0:
-                weight[names] = got / np.abs(got).sum()
-        return pd.DataFrame({"di": day["di"], "ticker": day["ticker"], "weight": weight.to_numpy()})
-
-    return held.groupBy("di").applyInPandas(solve, x.select("di", "ticker", F.lit(0.0).alias("weight")).schema)
+    side = lambda k: x.select("di", F.col("ticker").alias(k), F.col("r").alias(f"r{k}"), F.col("score").alias(f"s{k}"))
+    pair = side("i").join(side("j").drop("sj"), "di").where("i <= j")
+    both = F.col("ri").isNotNull() & F.col("rj").isNotNull()
+    w = Window.partitionBy("i", "j").orderBy("di")
+
+    def lately(v):
+        v = F.when(both, v)
+        upto = lambda end: F.coalesce(F.sum(v).over(w.rangeBetween(Window.unboundedPreceding, end)), F.lit(0.0))
+        return upto(-1) - upto(-n - 1)
+
+    sums = pair.select("di", "i", "j", "si", F.round(lately(F.lit(1.0))).cast("long").alias("k"), lately(F.col("ri")).alias("x"), lately(F.col("rj")).alias("y"), lately(F.col("ri") * F.col("rj")).alias("xy"))
+    cov = F.when(F.col("k") >= 2, (F.col("xy") - F.col("x") * F.col("y") / F.col("k")) / (F.col("k") - 1)).otherwise(0.0)
+    day = x.groupBy("di").agg(F.max(F.when(F.col("r").isNotNull(), 1).otherwise(0)).alias("any"))
+    ready = day.select("di", (F.coalesce(F.sum("any").over(Window.orderBy("di").rangeBetween(-n, -1)), F.lit(0)) >= least).alias("ready"))  # a row a day
+    rows = sums.select("di", "i", "j", "si", "k", cov.alias("c")).join(ready, "di").withColumn("part", F.floor(F.col("di") / block))
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        own = part[part["i"] == part["j"]].sort_values(["di", "i"])
+        live = own[own["ready"] & np.isfinite(own["si"].astype(float)) & (own["k"] >= 2)].copy()
+        live["at"] = live.groupby("di").cumcount()
+        most = int(live["at"].max()) + 1 if len(live) else 0
+        days = {d: k for k, d in enumerate(sorted(live["di"].unique()))}
+        c, s = np.tile(np.eye(most), (len(days), 1, 1)), np.zeros((len(days), most))
+        met = part.merge(live[["di", "i", "at"]], on=["di", "i"]).merge(live[["di", "i", "at"]].rename(columns={"i": "j", "at": "to"}), on=["di", "j"])
+        k, a, b, v = met["di"].map(days).to_numpy(int), met["at"].to_numpy(), met["to"].to_numpy(), met["c"].to_numpy(float)
+        v = np.where(a == b, v + ridge, (1 - shrink) * v)
+        c[k, a, b] = v
+        c[k, b, a] = v
+        s[live["di"].map(days).to_numpy(int), live["at"].to_numpy()] = live["si"].to_numpy(float)
+        got = np.linalg.solve(c, s[:, :, None])[:, :, 0] if most else s
+        total = np.abs(got).sum(axis=1)
+        got = got / np.where(total > 0, total, 1)[:, None]
+        enough = live.groupby("di")["i"].transform("size") >= 2
+        live["weight"] = np.where(enough, got[live["di"].map(days).to_numpy(int), live["at"].to_numpy()] if most else 0.0, 0.0)
+        out = own[["di", "i"]].merge(live[["di", "i", "weight"]], on=["di", "i"], how="left").rename(columns={"i": "ticker"})
+        out["weight"] = out["weight"].fillna(0.0)
+        return out[["di", "ticker", "weight"]]
+
+    return rows.groupBy("part").applyInPandas(solve, x.select("di", "ticker", F.lit(0.0).alias("weight")).schema)
 
 
 def kelly(r: DataFrame, share: float = 0.5, n: int = 126) -> DataFrame:

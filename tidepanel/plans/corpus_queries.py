@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.operators import asof as A
+from tidepanel.operators import band as B
+from tidepanel.operators import order as O
 from tidepanel.operators import windows as W
+from tidepanel.sources import files
 from tidepanel.sources import fixtures as S
 
 from .panel_queries import P
@@ -250,16 +253,15 @@ def cor_01(spark, d):
 @query(S.with_sql("lab", "SELECT cls, ticker, di FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY di, ticker) AS rn FROM lab) WHERE rn <= (SELECT n FROM (SELECT count(*) AS n, row_number() OVER (ORDER BY count(*)) AS k FROM lab GROUP BY cls) WHERE k = 2)"))
 def cor_02(spark, d):
     """Every class cut to the size of the second smallest one, earliest first."""
-    x = classes(signal(P(spark, d)))
-    cap = x.groupBy("cls").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(Window.orderBy("n"))).where("k = 2").select("n")  # five rows
-    return x.withColumn("rn", F.row_number().over(Window.partitionBy("cls").orderBy("di", "ticker"))).crossJoin(F.broadcast(cap)).where("rn <= n").select("cls", "ticker", "di")
+    x = files.stored(classes(signal(P(spark, d))).select("cls", "ticker", "di"), "labels")
+    cap = x.groupBy("cls").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(Window.orderBy("n"))).where("k = 2").select(F.col("n").alias("cap"))  # five rows
+    return O.first_of_each(x, x.select("cls").distinct().crossJoin(F.broadcast(cap)), "cls", "di", "ticker")
 
 
 @query(S.with_sql("lab", "SELECT cls, ticker, di FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY di, ticker) - 1 AS rn, count(*) OVER (PARTITION BY cls) AS n FROM lab) WHERE rn % greatest(n // 40, 1) = 0 AND rn // greatest(n // 40, 1) < 40"))
 def cor_03(spark, d):
-    w = Window.partitionBy("cls")
-    x = classes(signal(P(spark, d))).withColumns({"rn": F.row_number().over(w.orderBy("di", "ticker")) - 1, "stride": F.greatest(F.floor(F.count("*").over(w) / 40), F.lit(1))})
-    return x.where("rn % stride = 0 and floor(rn / stride) < 40").select("cls", "ticker", "di")
+    x = files.stored(classes(signal(P(spark, d))).select("cls", "ticker", "di"), "labels")
+    return O.every_stride(x, 40, "cls", "di", "ticker")
 
 
 #: Openers of completions.
@@ -298,14 +300,13 @@ def cor_06(spark, d):
     return two.select("a", F.round(F.when(F.size("t") == 0, 1.0).otherwise(F.size(near) / F.size("t")), 6).alias("grounded"))
 
 
-@query(f"SELECT a, round(max(j), 6) AS nearest FROM (SELECT a.doc_id AS a, len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(a.w || b.w)), 1)::DOUBLE AS j FROM (SELECT doc_id, {_WORDS} AS w FROM documents) a JOIN (SELECT doc_id, {_WORDS} AS w FROM documents) b ON b.doc_id <> a.doc_id AND b.doc_id BETWEEN a.doc_id - 3 AND a.doc_id + 3) GROUP BY a")
+@query(f"SELECT a.doc_id AS a, round(coalesce(max(CASE WHEN len(a.w) + len(b.w) > 0 THEN x / (len(a.w) + len(b.w) - x)::DOUBLE END), 0), 6) AS nearest FROM (SELECT a.*, b.w AS v, len(list_intersect(a.w, b.w)) AS x FROM (SELECT row_number() OVER (ORDER BY doc_id) AS pos, doc_id, {_WORDS} AS w FROM documents) a LEFT JOIN (SELECT row_number() OVER (ORDER BY doc_id) AS pos, {_WORDS} AS w FROM documents) b ON b.pos <> a.pos AND b.pos BETWEEN a.pos - 200 AND a.pos + 200) a GROUP BY 1".replace("len(b.w)", "len(a.v)"))
 def cor_07(spark, d):
-    x = docs(spark, d).select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0))).alias("w"))
-    ahead = x.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).select(F.col("doc_id").alias("a"), (F.col("doc_id") + F.col("k")).alias("b"), "w")
-    two = ahead.join(x.select(F.col("doc_id").alias("b"), F.col("w").alias("v")), "b")
-    j = F.size(F.array_intersect("w", "v")) / F.greatest(F.size(F.array_union("w", "v")), F.lit(1))
-    both = two.select(F.explode(F.array(F.struct("a", j.alias("j")), F.struct(F.col("b").alias("a"), j.alias("j")))).alias("x"))
-    return both.groupBy("x.a").agg(F.round(F.max("x.j"), 6).alias("nearest"))
+    """The largest word similarity of a document with the 200 before and the 200 after it."""
+    x = O.numbered(docs(spark, d).select("doc_id", "text"), ["doc_id"])
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0)))
+    near = B.nearest_in_band(x.select("pos", words.alias("words")), 200)
+    return near.join(x.select("pos", "doc_id"), "pos").select(F.col("doc_id").alias("a"), F.round("nearest", 6).alias("nearest"))
 
 
 _TONE = "len(regexp_extract_all(lower(response), 'purchase|click')) - len(regexp_extract_all(lower(response), 'error|signup'))"

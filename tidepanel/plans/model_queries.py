@@ -383,23 +383,24 @@ def ind_01_rest(spark, d):
             "gain": part(F.col("step") > 0, F.col("tp") * F.col("volume").cast("double")),
             "loss": part(F.col("step") < 0, F.col("tp") * F.col("volume").cast("double")),
             "rsv": 100 * (F.col("close") - W.rolling(F.min, "low", 9)) / F.nullif(W.rolling(F.max, "high", 9) - W.rolling(F.min, "low", 9), F.lit(0.0)),
-            "macd": W.ewm("close", span=12) - W.ewm("close", span=26),
             "seen": F.collect_list("tp").over(W.own().rowsBetween(-19, 0)),
         }
     )
     total = lambda c: W.rolling(F.sum, c, 14)
     share = lambda a, b, up: 100 * up / F.nullif(total(a) + total(b), F.lit(0.0))
     mean = W.rolling(F.avg, "tp", 20)
-    x = x.withColumns({"mean": mean, "macd_signal": W.ewm("macd", span=9)})
+    for name, value, span in (("fast", "close", 12), ("slow", "close", 26), ("ema10", "close", 10), ("kdj_k", "rsv", 5)):  # a span of 5: a third for the newest
+        x = W.with_ewm(x, name, value, span=span)
+    x = W.with_ewm(x.withColumns({"mean": mean, "macd": F.col("fast") - F.col("slow")}), "macd_signal", "macd", span=9)
     dev = F.aggregate("seen", F.lit(0.0), lambda a, v: a + F.abs(v - F.col("mean"))) / 20
     found = {
         "sma200": W.rolling(F.avg, "close", 200),
         "boll_mid": W.rolling(F.avg, "close", 20),
-        "ema10": W.ewm("close", span=10),
+        "ema10": F.col("ema10"),
         "macd": F.col("macd"),
         "macd_signal": F.col("macd_signal"),
         "macd_hist": F.col("macd") - F.col("macd_signal"),
-        "kdj_k": W.ewm("rsv", alpha=1 / 3),
+        "kdj_k": F.col("kdj_k"),
         "dx": share("plus", "minus", F.abs(total("plus") - total("minus"))),
         "mfi": share("gain", "loss", total("gain")),
     }

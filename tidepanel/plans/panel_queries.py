@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import metrics as M
 from tidepanel.operators import asof as A
+from tidepanel.operators import order as O
 from tidepanel.operators import risk as R
 from tidepanel.operators import windows as W
 from tidepanel.operators import xsection as X
@@ -132,7 +133,7 @@ def win_07(spark, d):
 
 @query("SELECT a.di, a.ticker, round(sum(b.close * pow(0.5, a.rn - b.rn)) / sum(pow(0.5, a.rn - b.rn)), 6) AS ema FROM q a JOIN q b ON a.ticker = b.ticker AND b.rn <= a.rn GROUP BY 1, 2".replace("FROM q a JOIN q b", "FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY di) AS rn FROM p) a JOIN (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY di) AS rn FROM p) b"))
 def win_08(spark, d):
-    return P(spark, d).select("di", "ticker", F.round(W.ewm("close", span=3), 6).alias("ema"))
+    return W.with_ewm(P(spark, d), "ema", "close", span=3).select("di", "ticker", *r6("ema"))
 
 
 RANKED = "(SELECT *, rank() OVER (PARTITION BY di ORDER BY value) + (count(*) OVER (PARTITION BY di, value) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY di) AS n FROM mom)"
@@ -163,11 +164,7 @@ def win_12(spark, d):
 @query("SELECT p.ticker, p.di, count(DISTINCT e.company) AS n FROM p LEFT JOIN (SELECT grades.ticker, company, min(cal.di) AS di FROM grades JOIN cal ON cal.date >= grades.date GROUP BY grades.ticker, company, o_orderkey) e ON e.ticker = p.ticker AND e.di BETWEEN p.di - 251 AND p.di GROUP BY 1, 2", "p grades")
 def win_13(spark, d):
     p = P(spark, d)
-    held = A.on_calendar(S.grades(spark, d), p).groupBy("ticker", "di").agg(F.collect_set("company").alias("c"))
-    w = Window.partitionBy("ticker").orderBy("di").rangeBetween(-251, 0)
-    both = p.select("ticker", "di").join(held, ["ticker", "di"], "full")
-    seen = F.size(F.array_distinct(F.flatten(F.collect_list("c").over(w)))).cast("long").alias("n")
-    return both.select("ticker", "di", seen).join(p.select("ticker", "di"), ["ticker", "di"], "left_semi")
+    return W.trailing_distinct(A.on_calendar(S.grades(spark, d), p), p.select("ticker", "di"), "company", 252, "n")
 
 
 @query(f"SELECT di, ticker, coalesce(last_value(dec IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY di ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) = 1 AS held FROM (SELECT di, ticker, CASE WHEN rk / n >= 0.8 THEN 1 WHEN rk / n >= 0.65 THEN NULL ELSE 0 END AS dec FROM {RANKED})", "mom")
@@ -361,20 +358,8 @@ def ic_03(spark, d):
 
 
 def pooled_ic(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation over all rows. Ranks come from counts of distinct values in ranges, not from one window.
-
-    The ranges' bounds are at most 64 approximate quantiles, numbers that every branch of the plan shares.
-    """
-    df = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = df
-    for c in (a, b):
-        bounds = df.approxQuantile(c, [k / 64 for k in range(1, 64)], 0.005)
-        part = sum(((F.col(c) > x).cast("int") for x in bounds), F.lit(0))
-        parts = df.groupBy(c).agg(F.count("*").alias("k")).withColumn("part", part)
-        before = parts.groupBy("part").agg(F.sum("k").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        w = Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-        ranks = parts.withColumn("up", F.sum("k").over(w)).join(F.broadcast(before.select("part", "base")), "part")  # 64 rows
-        ranked = ranked.join(ranks.select(c, (F.col("base") + F.col("up") - (F.col("k") - 1) / 2).alias(f"rank_{c}")), c)
+    """Rank correlation over all rows; both columns are ranked in one range-partitioned order of their distinct values."""
+    ranked = O.average_ranks(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b), [a, b])
     return ranked.agg(F.round(F.corr(f"rank_{a}", f"rank_{b}"), 6).alias("ic"), F.count("*").alias("n"), F.round(1 / F.sqrt(F.count("*") - 3), 6).alias("se"))
 
 

@@ -26,7 +26,7 @@ RANK = "rank() OVER (PARTITION BY di ORDER BY {0}) + (count(*) OVER (PARTITION B
 
 def signal(p: DataFrame) -> DataFrame:
     """(date, di, ticker, signal): smoothed forward returns over their own rolling deviation, blended; null if one is missing."""
-    e = p.select("date", "di", "ticker", W.ewm("close", span=3).alias("ema"))
+    e = W.with_ewm(p.select("date", "di", "ticker", "close"), "ema", "close", span=3).drop("close")
     for h, _ in HORIZONS:
         e = e.withColumn(f"r{h}", W.shift_own("ema", -h) / F.col("ema") - 1)
     parts = (F.lit(w) * F.col(f"r{h}") / F.nullif(W.rolling(F.stddev_samp, f"r{h}", 20), F.lit(0.0)) for h, w in HORIZONS)
@@ -142,12 +142,12 @@ EVENTS = "(SELECT grades.ticker, company, action, o_orderkey, min(cal.di) AS di
 
 def breadth(g: DataFrame, p: DataFrame, win: int = 63, cov: int = 252) -> DataFrame:
     """(di, ticker, value): ups less downs of the last win days over the firms heard in the last cov days."""
-    e = A.on_calendar(g, p).groupBy("ticker", "di").agg((F.count_if(F.col("action") == "up") - F.count_if(F.col("action") == "down")).alias("net"), F.collect_set("company").alias("c"))
-    w = Window.partitionBy("ticker").orderBy("di")
-    firms = F.size(F.array_distinct(F.flatten(F.collect_list("c").over(w.rangeBetween(1 - cov, 0)))))
+    heard = A.on_calendar(g, p)
+    e = heard.groupBy("ticker", "di").agg((F.count_if(F.col("action") == "up") - F.count_if(F.col("action") == "down")).alias("net"))
     x = p.select("di", "ticker", F.lit(True).alias("there")).join(e, ["di", "ticker"], "full")
-    net = F.coalesce(F.sum("net").over(w.rangeBetween(1 - win, 0)), F.lit(0))
-    return x.select("di", "ticker", "there", (net / F.nullif(firms, F.lit(0))).alias("value")).where("there").drop("there")
+    net = F.sum("net").over(Window.partitionBy("ticker").orderBy("di").rangeBetween(1 - win, 0))
+    days = x.select("di", "ticker", "there", F.coalesce(net, F.lit(0)).alias("net")).where("there")
+    return W.trailing_distinct(heard, days, "company", cov, "firms").select("di", "ticker", (F.col("net") / F.nullif("firms", F.lit(0))).alias("value"))
 
 
 @query(f"SELECT p.di, p.ticker, round((count(e.di) FILTER (e.action = 'up' AND e.di > p.di - 63) - count(e.di) FILTER (e.action = 'down' AND e.di > p.di - 63)) / nullif(count(DISTINCT e.company), 0)::DOUBLE, 6) AS value FROM p LEFT JOIN {EVENTS} e ON e.ticker = p.ticker AND e.di BETWEEN p.di - 251 AND p.di GROUP BY 1, 2", "p grades")
@@ -333,7 +333,7 @@ def pf_07(spark, d):
 
 def smoothed(s: DataFrame, span: float) -> DataFrame:
     """s with the exponential mean of the ranks as its value."""
-    return s.withColumn("_p", X.pct_rank("value")).withColumn("value", W.ewm("_p", span=span)).drop("_p")
+    return W.with_ewm(s.withColumn("_p", X.pct_rank("value")), "value", "_p", span=span).drop("_p")
 
 
 _PCT = f"(SELECT di, ticker, ({RANK.format('value')}) / count(*) OVER (PARTITION BY di) AS pct, row_number() OVER (PARTITION BY ticker ORDER BY di) AS rn FROM mom)"

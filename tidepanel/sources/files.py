@@ -21,6 +21,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{where}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written into the shared folder and read again: computed once, and safe from lost executors."""
+    where = scratch(df.sparkSession, name)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def preferred(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table name_pit where it is there, else the table name."""
     try:
