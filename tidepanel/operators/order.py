@@ -23,6 +23,19 @@ def numbered(df: DataFrame, order: list[str], name: str = "pos", by: str | None
     return kept.join(runs, [*keys, "_part"]).select(*df.columns, (F.col("_row") - F.col("_first") + F.col("_past")).alias(name))
 
 
+def running(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """df plus the running sum of a value over each key's rows in order, the row's own counted.
+
+    Keys of any size are spread: rows are range-partitioned, sums run within partitions and start from those of the key's
+    partitions before.
+    """
+    kept = stored(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "running")
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = kept.groupBy(*by, "_part").agg(F.sum(value).alias("_sum")).withColumn("_past", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    within = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return kept.withColumn(name, F.sum(value).over(within)).join(runs, [*by, "_part"]).withColumn(name, F.col(name) + F.col("_past")).drop("_part", "_past")
+
+
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """df (stored) with rank_<c> for each column: its average rank among all rows; columns hold no nulls.
 

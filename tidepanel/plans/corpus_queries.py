@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions.text import abbreviated
 from tidepanel.operators import asof as A
 from tidepanel.operators import band as B
 from tidepanel.operators import order as O
@@ -40,10 +41,7 @@ def docs(spark, d) -> DataFrame:
 @query("SELECT o_orderkey, CASE WHEN x IS NULL THEN 'na' WHEN abs(x) >= 1e9 THEN printf('%.2fb', x / 1e9 + 1e-9) WHEN abs(x) >= 1e6 THEN printf('%.2fm', x / 1e6 + 1e-9) WHEN abs(x) >= 1e3 THEN printf('%.2fk', x / 1e3 + 1e-9) ELSE printf('%.2f', x + 1e-9) END AS short FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE floor(o_totalprice) * pow(10, o_orderkey % 5) / 100 END AS x FROM orders)")
 def fn_02(spark, d):
     x = F.when(F.col("o_orderkey") % 7 != 0, F.floor("o_totalprice") * F.pow(F.lit(10), F.col("o_orderkey") % 5) / 100)
-    cut = F.when(x.isNull(), "na")
-    for size, unit in ((1e9, "b"), (1e6, "m"), (1e3, "k")):
-        cut = cut.when(F.abs(x) >= size, F.format_string(f"%.2f{unit}", x / size + 1e-9))
-    return S.table(spark, d, "orders").select("o_orderkey", cut.otherwise(F.format_string("%.2f", x + 1e-9)).alias("short"))
+    return S.table(spark, d, "orders").select("o_orderkey", abbreviated(x).alias("short"))
 
 
 @query("SELECT o_orderkey, CAST(CASE WHEN isodow(x) >= 6 THEN x + INTERVAL (8 - isodow(x)) DAY ELSE x END AS DATE) AS rolled, CAST(x + INTERVAL (CASE isodow(x) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END) DAY AS DATE) AS next FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS x FROM orders)")
@@ -128,7 +126,6 @@ def top_01(spark, d):
 # ---------------------------------------------------- point in time and gates
 
 NEWS = "news AS (SELECT doc_id, doc_id % 25 AS ticker, TIMESTAMP '2024-01-01' + INTERVAL (doc_id * 37 % 720) HOUR AS ts, md5(coalesce(text, '')) AS url_hash FROM documents)"
-ASKED = "asked AS (SELECT DISTINCT ticker, date_trunc('day', ts) + INTERVAL 1 DAY AS as_of FROM news)"
 
 
 def news(spark, d) -> DataFrame:
@@ -137,56 +134,6 @@ def news(spark, d) -> DataFrame:
     return docs(spark, d).select("doc_id", (F.col("doc_id") % 25).alias("ticker"), (F.lit("2024-01-01").cast("timestamp_ntz") + hours).alias("ts"), F.md5(F.coalesce("text", F.lit(""))).alias("url_hash"))
 
 
-def bucketed(items: DataFrame, asked: DataFrame, caps=((3, 2), (10, 3), (30, 4))) -> DataFrame:
-    """(ticker, as_of, bucket, doc_id, k): the newest items before as_of of each bucket of days, up to its cap.
-
-    Items and questions meet by blocks of the widest bucket's days, so the join stays an equi-join.
-    """
-    last = caps[-1][0]
-    block = lambda c: F.floor(F.datediff(F.col(c).cast("date"), F.lit("2000-01-01")) / last)
-    q = asked.withColumn("block", F.explode(F.array(block("as_of"), block("as_of") - 1)))
-    age = (F.unix_micros(F.col("as_of").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86_400_000_000
-    x = q.join(items.withColumn("block", block("ts")), ["ticker", "block"]).withColumn("age", age).where(f"age > 0 and age <= {last}")
-    cap = kind = F.lit(None).cast("int")
-    for days, most in reversed(caps):
-        cap, kind = F.when(F.col("age") <= days, most).otherwise(cap), F.when(F.col("age") <= days, days).otherwise(kind)
-    w = Window.partitionBy("ticker", "as_of", "bucket").orderBy(F.desc("ts"), F.desc("doc_id"))
-    return x.withColumns({"bucket": kind, "cap": cap}).withColumn("k", F.row_number().over(w)).where("k <= cap").select("ticker", "as_of", "bucket", "doc_id", "k")
-
-
-_BUCKETS = f"WITH {NEWS}, {ASKED} SELECT ticker, as_of, bucket, doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY ticker, as_of, bucket ORDER BY ts DESC, doc_id DESC)::INT AS k FROM (SELECT a.ticker, a.as_of, n.doc_id, n.ts, CASE WHEN n.ts >= a.as_of - INTERVAL 3 DAY THEN 3 WHEN n.ts >= a.as_of - INTERVAL 10 DAY THEN 10 ELSE 30 END AS bucket FROM asked a JOIN news n ON n.ticker = a.ticker AND n.ts < a.as_of AND n.ts >= a.as_of - INTERVAL 30 DAY)) WHERE k <= CASE bucket WHEN 3 THEN 2 WHEN 10 THEN 3 ELSE 4 END"
-
-
-def questions(items: DataFrame) -> DataFrame:
-    return items.select("ticker", (F.date_trunc("day", "ts").cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(1))).alias("as_of")).distinct()
-
-
-@query(f"SELECT * FROM ({_BUCKETS})")
-def top_03(spark, d):
-    n = news(spark, d)
-    return bucketed(n, questions(n))
-
-
-@query(f"SELECT ticker, as_of, count(*) AS items, string_agg(bucket || ':' || doc_id, ' ' ORDER BY bucket, k) AS context FROM ({_BUCKETS}) GROUP BY 1, 2")
-def ctx_01(spark, d):
-    n = news(spark, d)
-    held = bucketed(n, questions(n)).groupBy("ticker", "as_of").agg(F.count("*").alias("items"), F.sort_array(F.collect_list(F.struct("bucket", "k", "doc_id"))).alias("x"))  # at most nine
-    return held.select("ticker", "as_of", "items", F.array_join(F.transform("x", lambda e: F.concat(e["bucket"].cast("string"), F.lit(":"), e["doc_id"].cast("string"))), " ").alias("context"))
-
-
-@query(S.with_sql("p", "SELECT ticker, di, string_agg(strftime(d2, '%Y-%m-%d') || ' ' || printf('%.2f', floor(c2)), chr(10) ORDER BY d2) AS snapshot FROM (SELECT a.ticker, a.di, b.date AS d2, b.close AS c2, row_number() OVER (PARTITION BY a.ticker, a.di ORDER BY b.di DESC) AS k FROM p a JOIN p b ON a.ticker = b.ticker AND b.di <= a.di) WHERE k <= 5 GROUP BY 1, 2"))
-def ctx_02(spark, d):
-    w = Window.partitionBy("ticker").orderBy("di").rowsBetween(-4, 0)
-    line = F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(" "), F.format_string("%.2f", F.floor("close").cast("double")))
-    return P(spark, d).select("ticker", "di", F.array_join(F.collect_list(line).over(w), "\n").alias("snapshot"))
-
-
-@query(S.with_sql("lab", "SELECT ticker, di, round(signal, 6) AS signal, cls FROM lab WHERE di % 4 = 0 AND di > 60"))
-def ctx_03(spark, d):
-    """The evaluation grid: every fourth calendar position with a defined truth."""
-    return classes(signal(P(spark, d))).where("di % 4 = 0 and di > 60").select("ticker", "di", F.round("signal", 6).alias("signal"), "cls")
-
-
 @query("SELECT ticker, q, arg_max(concept, prio) AS concept, round(arg_max(value, prio), 2) AS value FROM (SELECT c_nationkey AS ticker, date_trunc('quarter', o_orderdate)::DATE AS q, o_orderpriority AS concept, CASE o_orderpriority WHEN '1-URGENT' THEN 2 ELSE 1 END AS prio, sum(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def pit_02(spark, d):
     """Two tags of one figure become one: of each name and quarter the first tag is taken where it is there."""

@@ -671,14 +671,6 @@ def prj_03(spark, d):
     return grid.join(p.select("di", "ticker", "close"), ["di", "ticker"], "left").select("di", "ticker", *r6("close"))
 
 
-@query("SELECT DISTINCT max(date) AS anchor FROM p JOIN (SELECT m + INTERVAL 20 DAY AS a FROM (SELECT DISTINCT date_trunc('month', date) AS m FROM p)) ON date <= a GROUP BY a", "p")
-def win_16(spark, d):
-    days = P(spark, d).select("date").distinct()
-    asked = days.select(F.date_add(F.trunc("date", "month"), 20).alias("a")).distinct().withColumn("all", F.lit(1))
-    got = A.asof(asked, days.select(F.lit(1).alias("all"), F.col("date").alias("anchor")), ["all"], "a", "anchor", ["anchor"])
-    return got.where("anchor is not null").select("anchor").distinct()
-
-
 _SNAP = "(SELECT y, ticker FROM (SELECT year(date) + 1 AS y, ticker, row_number() OVER (PARTITION BY year(date) ORDER BY sum(volume) DESC, ticker) AS k FROM p GROUP BY year(date), ticker) WHERE k <= 15)"
 
 

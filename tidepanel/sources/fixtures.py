@@ -107,4 +107,4 @@ def with_sql(names: str, query: str) -> str:
 
     for n in names.split():
         need(n)
-    return "WITH " + ", ".join(f"{n} AS ({_SQL[n][1]})" for n in order) + " " + query
+    return "WITH " + ", ".join(f"{n} AS ({_SQL[n][1]})" for n in order) + ("" if query.startswith(",") else " ") + query
