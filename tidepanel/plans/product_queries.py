@@ -693,14 +693,62 @@ def jn_07(spark, d):
     return members(P(spark, d))
 
 
+#: Names of the first panel, names of the second one (some in both), and when a name took another symbol.
+FIRST, SECOND = 15, 10
+
+
+def symbols(p: DataFrame) -> DataFrame:
+    """(ticker, symbol, since, until): the symbols of each name with the days on which they hold, until excluded; every third name is renamed."""
+    names = p.select("ticker").distinct()
+    day = F.date_add(F.lit("1997-01-06").cast("date"), F.col("ticker") * 30)
+    old = F.struct(F.concat(F.lit("S"), F.col("ticker").cast("string")).alias("symbol"), F.lit("1900-01-01").cast("date").alias("since"), F.when(F.col("ticker") % 3 == 0, day).otherwise(F.lit("9999-12-31").cast("date")).alias("until"))
+    new = F.struct(F.concat(F.lit("R"), F.col("ticker").cast("string")).alias("symbol"), day.alias("since"), F.lit("9999-12-31").cast("date").alias("until"))
+    return names.select("ticker", F.explode(F.when(F.col("ticker") % 3 == 0, F.array(old, new)).otherwise(F.array(old))).alias("x")).select("ticker", "x.*")
+
+
+def canonical(rows: DataFrame, names: DataFrame, day: str) -> DataFrame:
+    """rows (symbol, day, ...) with the ticker that the symbol stood for on the day, by an as-of join; symbols out of their time go."""
+    got = A.asof(rows, names.select("symbol", "since", "until", "ticker"), ["symbol"], day, "since", ["until", "ticker"])
+    return got.where(F.col(day) < F.col("until")).drop("until", "matched")
+
+
+def arms(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(arm, date, di, ticker, value, fwd) of three universes, and (date, members, with_data) of the days.
+
+    as_is: the first panel; members: its names on days when they belong to the index, returns between two such days alone; full:
+    names of both panels, the second one by the symbols of its time, on days when they belong and have a price.
+    """
+    first = p.where(F.col("ticker") < FIRST).select("date", "di", "ticker", "close")
+    names = symbols(p)
+    # the second panel comes by the symbols of its days, and so do the snapshots of the index
+    said = lambda x, day: x.join(names, "ticker").where((F.col(day) >= F.col("since")) & (F.col(day) < F.col("until")))
+    second = said(p.where(F.col("ticker") >= SECOND), "date").select("symbol", "date", "di", "close")
+    second = canonical(second, names, "date").select("date", "di", "ticker", "close")
+    full = first.unionByName(second.join(first.select("ticker").distinct(), "ticker", "left_anti"))
+    listed = canonical(said(members(p), "date").select("symbol", "date"), names, "date").select("date", "ticker").distinct()
+    eligible = full.join(listed, ["date", "ticker"], "left_semi")
+    days = listed.groupBy("date").agg(F.count("*").alias("members")).join(eligible.groupBy("date").agg(F.count("*").alias("with_data")), "date", "left")
+
+    def arm(name: str, panel: DataFrame, signals: DataFrame) -> DataFrame:
+        there = panel.select("date", "di", "ticker", "close")
+        return momentum(signals).join(there.select("di", "ticker"), ["di", "ticker"], "left_semi").join(forward(there), ["di", "ticker"]).withColumn("arm", F.lit(name))
+
+    return arm("as_is", first, first).unionByName(arm("members", first.join(listed, ["date", "ticker"], "left_semi"), first)).unionByName(arm("full", eligible, full)), days
+
+
 _ARM = "avg(CASE WHEN value >= q80 THEN fwd END) - avg(CASE WHEN value <= q20 THEN fwd END)"
+#: The universes in plain terms: renaming gives back the names themselves, so the panels are cut by ticker alone.
+_UNIVERSES = f"""listed AS (SELECT c.date, c.di, s.ticker FROM cal c JOIN {_SNAP} s ON s.y = year(c.date)), el AS (SELECT p.date, p.di, p.ticker, close FROM p JOIN listed l ON l.date = p.date AND l.ticker = p.ticker),
+    universe AS (SELECT 'as_is' AS arm, date, di, ticker, close FROM p WHERE ticker < {FIRST} UNION ALL SELECT 'members', * FROM el WHERE ticker < {FIRST} UNION ALL SELECT 'full', * FROM el),
+    arms AS (SELECT u.arm, u.date, u.di, m.value, v.close / u.close - 1 AS fwd FROM universe u JOIN universe v ON v.arm = u.arm AND v.ticker = u.ticker AND v.di = u.di + 1 JOIN mom m ON m.di = u.di AND m.ticker = u.ticker),
+    days AS (SELECT l.date, count(*) AS members, count(el.ticker) AS with_data FROM listed l LEFT JOIN el ON el.date = l.date AND el.ticker = l.ticker GROUP BY 1), cover AS (SELECT year(date) AS y, round(avg(members), 6) AS members, round(avg(with_data / members::DOUBLE), 6) AS coverage FROM days GROUP BY 1)"""
 
 
-@query(f"SELECT arm, year(date) AS y, round(avg(r), 6) AS mean, round(avg(names), 6) AS names FROM (SELECT arm, date, {_ARM} AS r, count(*) AS names FROM (SELECT *, quantile_cont(value, 0.8) OVER (PARTITION BY arm, di) AS q80, quantile_cont(value, 0.2) OVER (PARTITION BY arm, di) AS q20 FROM (SELECT 'all' AS arm, m.date, m.di, m.value, f.fwd FROM mom m JOIN fwd f USING (di, ticker) UNION ALL SELECT 'members', m.date, m.di, m.value, f.fwd FROM mom m JOIN fwd f USING (di, ticker) JOIN {_SNAP} s ON s.y = year(m.date) AND s.ticker = m.ticker)) GROUP BY 1, 2) WHERE r IS NOT NULL GROUP BY 1, 2", "p mom fwd")
+@query(f", {_UNIVERSES} SELECT arm, y, round(avg(r), 6) AS mean, round(avg(names), 6) AS names, any_value(members) AS members, any_value(coverage) AS coverage FROM (SELECT arm, date, year(date) AS y, {_ARM} AS r, count(*) AS names FROM (SELECT *, quantile_cont(value, 0.8) OVER (PARTITION BY arm, di) AS q80, quantile_cont(value, 0.2) OVER (PARTITION BY arm, di) AS q20 FROM arms) GROUP BY 1, 2) LEFT JOIN cover USING (y) WHERE r IS NOT NULL GROUP BY 1, 2", "p cal mom")
 def bt_07(spark, d):
-    p = P(spark, d)
-    x = momentum(p).join(forward(p), ["di", "ticker"])
-    arms = x.withColumn("arm", F.lit("all")).unionByName(x.join(members(p), ["date", "ticker"], "left_semi").withColumn("arm", F.lit("members")))
+    """Three universes by year: the panel as it is, its index members, and all members of the time, with how many members have data."""
+    x, days = arms(P(spark, d))
     q = F.percentile("value", F.array(F.lit(0.8), F.lit(0.2))).over(Window.partitionBy("arm", "di"))
-    arms = arms.withColumn("q", q).groupBy("arm", "date").agg((F.avg(F.when(F.col("value") >= F.col("q")[0], F.col("fwd"))) - F.avg(F.when(F.col("value") <= F.col("q")[1], F.col("fwd")))).alias("r"), F.count("*").alias("names"))
-    return arms.where("r is not null").groupBy("arm", F.year("date").cast("long").alias("y")).agg(F.round(F.avg("r"), 6).alias("mean"), F.round(F.avg("names"), 6).alias("names"))
+    r = x.withColumn("q", q).groupBy("arm", "date").agg((F.avg(F.when(F.col("value") >= F.col("q")[0], F.col("fwd"))) - F.avg(F.when(F.col("value") <= F.col("q")[1], F.col("fwd")))).alias("r"), F.count("*").alias("names")).where("r is not null")
+    cover = days.groupBy(F.year("date").cast("long").alias("y")).agg(F.round(F.avg("members"), 6).alias("members"), F.round(F.avg(F.coalesce("with_data", F.lit(0)) / F.col("members")), 6).alias("coverage"))
+    return r.groupBy("arm", F.year("date").cast("long").alias("y")).agg(F.round(F.avg("r"), 6).alias("mean"), F.round(F.avg("names"), 6).alias("names")).join(cover, "y", "left").select("arm", "y", "mean", "names", "members", "coverage")

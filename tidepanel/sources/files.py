@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -59,13 +59,34 @@ def replies(cache: DataFrame) -> DataFrame:
     return cache.select(named("Ticker", r"\S+").alias("ticker"), F.to_date(named("Date", r"\d{4}-\d\d-\d\d")).alias("date"), F.try_element_at(tags, F.lit(-1)).alias("pred"))
 
 
+#: Zones that times of feeds may name, as hours and minutes from Greenwich.
+ZONES = {"GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+_FEED = "channel struct<item: array<struct<title: string, link: string, source: struct<_VALUE: string, _url: string>, pubDate: string>>>, broken string"
+
+
+def feed_time(said: Column) -> Column:
+    """The moment that a time of a feed names: day of the week and seconds may be missing, the zone is a name or hours; null if it is none."""
+    form = r"^\s*(?:[A-Za-z]{3},\s*)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})\s+(\d{2}:\d{2})(:\d{2})?\s*([A-Za-z]+|[+-]\d{4})?\s*$"
+    part = lambda k: F.nullif(F.regexp_extract(said, form, k), F.lit(""))
+    zone = F.upper(F.coalesce(part(6), F.lit("GMT")))
+    named = F.create_map(*(F.lit(x) for kv in ZONES.items() for x in kv))
+    hours = F.when(zone.rlike(r"^[+-]"), zone).otherwise(F.try_element_at(named, zone))
+    return F.try_to_timestamp(F.concat(part(1), F.lit(" "), F.initcap(part(2)), F.lit(" "), part(3), F.lit(" "), part(4), F.coalesce(part(5), F.lit(":00")), F.lit(" "), hours), F.lit("d MMM yyyy HH:mm:ss xx"))
+
+
 def feed_items(feeds: DataFrame, text: str) -> DataFrame:
-    """A row for each item of RSS texts, with its headline, source, url and time; items without a time go."""
-    item = lambda tag: F.nullif(F.trim(F.regexp_extract("item", rf"(?s)<{tag}[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{tag}>", 1)), F.lit(""))
-    rows = feeds.withColumn("item", F.explode(F.regexp_extract_all(text, F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1)))).drop(text)
-    said = F.regexp_extract(item("pubDate"), r"(\d{1,2} \w{3} \d{4} \d\d:\d\d:\d\d)", 1)
-    rows = rows.select(*(c for c in rows.columns if c != "item"), item("title").alias("headline"), item("source").alias("source"), item("link").alias("url"), F.try_to_timestamp(said, F.lit("d MMM yyyy HH:mm:ss")).alias("published"))
-    return rows.where("published is not null")
+    """A row for each item of RSS texts: headline, source, url and time (items without a time go), and a row `broken` for each text that is no whole XML.
+
+    Texts are parsed with a schema, so entities, CDATA and namespaces are read as XML has them.
+    """
+    kept = [c for c in feeds.columns if c != text]
+    parsed = feeds.withColumn("_xml", F.from_xml(text, _FEED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken", "ignoreNamespace": "true"}))
+    bad = F.col("_xml").isNull() | F.col("_xml.broken").isNotNull()
+    items = F.when(~bad, F.col("_xml.channel.item"))
+    rows = parsed.where(F.col(text).isNotNull()).select(*kept, bad.alias("broken"), F.explode_outer(items).alias("item"))
+    clean = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    rows = rows.select(*kept, "broken", clean("item.title").alias("headline"), clean("item.source._VALUE").alias("source"), clean("item.link").alias("url"), feed_time(F.col("item.pubDate")).alias("published"))
+    return rows.where("broken or published is not null")
 
 
 def write_splits(rows: DataFrame, path: str, split: str = "split") -> None:
@@ -84,3 +105,61 @@ def ingest(spark: SparkSession, source: str, schema: str | StructType, target: s
     new = spark.readStream.schema(schema).parquet(source)
     query = new.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def write_keyed(rows: DataFrame, path: str) -> None:
+    """Files {key}.json with the text `value` of rows (key, value); one row a key, each written by the task that holds it."""
+    import pyarrow.fs
+
+    fs, where = pyarrow.fs.FileSystem.from_uri(path)
+    fs.create_dir(where, recursive=True)
+
+    def task(batches):
+        import pyarrow.fs
+
+        out, folder = pyarrow.fs.FileSystem.from_uri(path)
+        for b in batches:
+            for key, value in zip(b.column("key").to_pylist(), b.column("value").to_pylist(), strict=True):
+                with out.open_output_stream(f"{folder}/{key}.json") as f:
+                    f.write(value.encode())
+            yield b.select(["key"])
+
+    rows.select("key", "value").mapInArrow(task, "key string").write.format("noop").mode("overwrite").save()
+
+
+def write_parts(rows: DataFrame, part: str, target: str) -> None:
+    """Write rows into the folders of their parts; a part that is there is replaced, others stay."""
+    rows.write.partitionBy(part).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{target}/parts")
+
+
+def finished(spark: SparkSession, target: str, schema: StructType, part: str) -> DataFrame:
+    """The parts that the manifest lists as whole."""
+    kind = StructType([schema[part]])
+    try:
+        return spark.read.schema(kind).parquet(f"{target}/manifest").distinct()
+    except AnalysisException:
+        return spark.createDataFrame([], kind)
+
+
+def ingest_parts(rows: DataFrame, part: str, target: str) -> bool:
+    """Take in the parts of rows that the manifest doesn't list, then list them; says whether there were any.
+
+    A run that dies leaves parts without an entry; the next run writes these anew and leaves the others alone.
+    """
+    done = finished(rows.sparkSession, target, rows.schema, part)
+    new = rows.join(F.broadcast(done), part, "left_anti")  # a row a part
+    parts = stored(new.select(part).distinct(), "new-parts")
+    if parts.isEmpty():
+        return False
+    write_parts(new, part, target)
+    parts.write.mode("append").parquet(f"{target}/manifest")
+    return True
+
+
+def combined(spark: SparkSession, target: str, part: str, keys: list[str]) -> DataFrame:
+    """All whole parts as one table, one row a key: that of the last part."""
+    rows = spark.read.parquet(f"{target}/parts")
+    rows = rows.join(F.broadcast(finished(spark, target, rows.schema, part)), part, "left_semi")
+    held = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*held), part).alias("last"))
+    return last.select(*keys, "last.*")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,14 +25,56 @@ def once(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def known_then(events: DataFrame, facts: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """Each event with the newest fact of its key published at or before it. facts (key, published, ...) is a static table.
+class NewestFact(StatefulProcessor):
+    """Each event of a key with the newest fact at or before it.
 
-    The facts of a key are one array in order, so an event meets one row.
+    Events wait until the watermark has passed them, so that facts of an earlier time can't come any more; then they go out in
+    the order of time, and of the facts only the newest at or before the oldest event that still may come stays. So the state
+    is what a key has had within the watermark's delay, and one fact.
     """
-    held = facts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("published", *values))).alias("facts"))
-    found = F.try_element_at(F.filter("facts", lambda f: f["published"] <= F.col("ts")), F.lit(-1))
-    return events.join(held, key, "left").withColumn("fact", found).select(*events.columns, *(F.col(f"fact.{v}").alias(v) for v in values))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.facts = handle.getListState("facts", "at long, fact string")
+        self.waiting = handle.getListState("waiting", "at long, id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(rows)
+        at = new["ts"].astype("datetime64[us]").astype("int64")
+        is_fact = new["id"].isna()
+        if is_fact.any():
+            self.facts.appendList(list(zip(map(int, at[is_fact]), new["fact"][is_fact], strict=True)))
+        if (~is_fact).any():
+            self.waiting.appendList(list(zip(map(int, at[~is_fact]), map(int, new["id"][~is_fact]), strict=True)))
+            self.handle.registerTimer(int(at[~is_fact].min()) // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        safe = timerValues.getCurrentWatermarkInMs()
+        waiting, facts = sorted(tuple(w) for w in self.waiting.get()), sorted(tuple(f) for f in self.facts.get())
+        ready = [w for w in waiting if w[0] // 1000 <= safe]
+        left = waiting[len(ready) :]
+        times = [f[0] for f in facts]
+        out = [(key[0], i, facts[k - 1][1] if (k := bisect.bisect_right(times, at)) else None) for at, i in ready]
+        keep = max(0, bisect.bisect_right(times, min([safe * 1000, *(w[0] for w in left[:1])])) - 1)
+        self.waiting.put(left) if left else self.waiting.clear()
+        self.facts.put(facts[keep:]) if facts else self.facts.clear()
+        if left:
+            self.handle.registerTimer(left[0][0] // 1000)
+        if out:
+            yield pd.DataFrame(out, columns=["key", "id", "fact"])
+
+    def close(self) -> None:
+        pass
+
+
+def known_then(both: DataFrame, late: str = "1 day") -> DataFrame:
+    """(key, id, fact) for a stream (key long, ts, id long, fact string) of events (with an id) and facts (with none).
+
+    An event comes out once the watermark has passed it, with the newest fact of its key at or before it, or null. Late rows
+    go. Needs the RocksDB state store.
+    """
+    return both.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(NewestFact(), "key long, id long, fact string", "Append", "EventTime")
 
 
 class Controller(StatefulProcessor):
@@ -77,6 +121,23 @@ def controlled(returns: DataFrame, alpha: float = 0.005, gamma: float = 0.05, be
     return returns.where("r is not null").groupBy("stream_id").transformWithStateInPandas(job, "stream_id string, di int, exposure double, realized double", "Append", "None")
 
 
-def run_to_table(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Run a stream over all that is there and append its rows to a Parquet table, exactly once."""
-    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings (dots as __) for the time of a run."""
+    before = {k.replace("__", "."): spark.conf.get(k.replace("__", "."), None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k.replace("__", "."), v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_to_table(stream: DataFrame, target: str, checkpoint: str, last: bool = True) -> None:
+    """Run a stream over all that is there and append its rows to a Parquet table, exactly once.
+
+    A run that isn't the last one leaves what waits for the watermark in the state, for the run after it.
+    """
+    with settings(stream.sparkSession, spark__sql__streaming__noDataMicroBatches__enabled=str(last).lower()):
+        stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
