@@ -21,7 +21,7 @@ def plain(texts):
 
 def test_pieces_equal_whole_texts():
     random.seed(4)
-    parts = [" ", "  ", "\n", "\t", "\r\n", " ", "　", "᠎", "​", "﻿", "\x1c", "\x00", "\x85", "it's", "'re", "don't", "A", "word", "12", "3.5", "語", "é", "é", "🙂", "...", "<|endoftext|>", "_", "퟿"]
+    parts = [" ", "  ", "\n", "\t", "\r\n", " ", "　", "᠎", "​", "﻿", "\x1c", "\x00", "\x85", "it's", "'re", "don't", "A", "word", "12", "3.5", "語", "é", "é", "🙂", "...", "<|endoftext|>", "_", "퟿", ",", ".", "?!", "Ünïcode", "ªº", "\nNew", "end.\nNext,"]
     texts = ["".join(random.choices(parts, k=random.randint(0, 30))) for _ in range(3000)] + ["", " ", "  ", " a", "a ", "x" * 3000, "a  b   c    d", "\0 \0"]
     coder = token_files.Encoder(PATH, most=500)
     got = [list(np.frombuffer(x, coder.kind)) for lo in range(0, len(texts), 97) for x in coder.serialised(texts[lo : lo + 97])]

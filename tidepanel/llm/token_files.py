@@ -47,6 +47,7 @@ DICTIONARY, SAMPLE, LONGEST = 112 << 10, 1500, 64 << 10
 
 #: A space behind a character that isn't one: no token reaches across the place before it, as byte-level tokens are cut at spaces first.
 _CUT = re.compile("(?<=[^\\s\\u180e\\u200b\\ufeff])(?= )")
+_WORD = re.compile(" [^\\s\\u180e\\u200b\\ufeff](?:.*[^\\s\\u180e\\u200b\\ufeff])?", re.DOTALL)
 _RUN = re.compile("[\\s\\u180e\\u200b\\ufeff] ")
 
 
@@ -57,7 +58,7 @@ class Encoder:
     given whole texts.
     """
 
-    def __init__(self, path: str, end: int | None = 0, most: int = 200_000):
+    def __init__(self, path: str, end: int | None = 0, most: int = 1_000_000):
         import tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,24 +67,51 @@ class Encoder:
         self.end = b"" if end is None else np.array([end], self.kind).tobytes()
         self.most, self.kept = most, {}
         split = str(self.model.pre_tokenizer)
+        #: Bytes of each token: byte-level tokens have a character a byte.
+        words = self.model.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(words.values(), default=0) + 1, np.int64)
+        self.bytes[list(words.values())] = list(map(len, words))
         self.cut = self.model.normalizer is None and split.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in split
 
-    def _known(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.kept]
+    def _learn(self, new: set[str]) -> None:
         if len(self.kept) + len(new) > self.most:
-            self.kept, new = {}, list(pieces)
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for piece, e in zip(part, self.model.encode_batch(part, add_special_tokens=False), strict=True):
-                self.kept[piece] = np.array(e.ids, self.kind).tobytes()
+            self.kept = {}
+        alone, joined = [], []
+        for p in new:
+            (joined if _WORD.fullmatch(p) else alone).append(p)
+        for lo in range(0, len(alone), 4096):
+            self._each(alone[lo : lo + 4096])
+        for lo in range(0, len(joined), 2000):
+            self._together(joined[lo : lo + 2000])
+
+    def _each(self, pieces: list[str]) -> None:
+        for piece, e in zip(pieces, self.model.encode_batch(pieces, add_special_tokens=False), strict=True):
+            self.kept[piece] = np.array(e.ids, self.kind).tobytes()
+
+    def _together(self, pieces: list[str]) -> None:
+        """Encode pieces as one text: each starts with a space behind a character that isn't one. Bytes of tokens tell them apart."""
+        ids = np.array(self.model.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.int64)
+        ends, wanted = np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in pieces])
+        last = np.searchsorted(ends, wanted)
+        if last[-1] >= len(ends) or (ends[last] != wanted).any():
+            return self._each(pieces)
+        raw, width, lo = ids.astype(self.kind).tobytes(), int(self.kind[-1]), 0
+        for piece, hi in zip(pieces, ((last + 1) * width).tolist(), strict=True):
+            self.kept[piece] = raw[lo:hi]
+            lo = hi
+        return None
 
     def serialised(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, little-endian."""
         if not self.cut:
             return [np.array(e.ids, self.kind).tobytes() + self.end for e in self.model.encode_batch(texts, add_special_tokens=False)]
         cut = [(_CUT.split(t) if "\0" in t or _RUN.search(t) else t.replace(" ", "\0 ").split("\0")) for t in texts]
-        self._known(set().union(*cut) if cut else set())
-        return [b"".join(map(self.kept.__getitem__, pieces)) + self.end for pieces in cut]
+        found = [list(map(self.kept.get, pieces)) for pieces in cut]
+        new = {p for pieces, ids in zip(cut, found, strict=True) if None in ids for p, x in zip(pieces, ids, strict=True) if x is None}
+        if new:
+            self._learn(new)
+            found = [[self.kept[p] if x is None else x for p, x in zip(pieces, ids, strict=True)] if None in ids else ids for pieces, ids in zip(cut, found, strict=True)]
+        return [b"".join(ids) + self.end for ids in found]
 
 
 @cache
