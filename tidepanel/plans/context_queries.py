@@ -15,7 +15,7 @@ from tidepanel.sources.files import stored
 from . import corpus_queries, model_queries
 from .corpus_queries import NEWS, news
 from .panel_queries import P
-from .product_queries import signal
+from .product_queries import classes, signal
 from .table_queries import _SERIES, _TEXT
 
 QUERIES: dict = {}
@@ -240,3 +240,25 @@ def ctx_03(spark, d):
     head = F.lit(_INSTRUCTION + "\n\n")
     both = grid.join(shots.withColumnRenamed("as_of", "date"), ["ticker", "date"]).join(known, (F.col("ticker").cast("string") == F.col("name")) & (F.add_months("date", SHIFT).cast("timestamp_ntz") == F.col("then")))
     return both.select("ticker", F.date_format("date", "yyyy-MM-dd").alias("as_of"), F.round("signal", 6).alias("signal"), F.concat(head, "snapshot").alias("price_only"), F.concat(head, "snapshot", F.lit("\n\n"), "context").alias("multimodal"))
+
+
+# ------------------------------------------------------------------ completions
+
+#: Openers of completions, and the tone and action of each class.
+OPENERS = ("Looking at the tape,", "On balance,", "In short,")
+TONES = {"STRONG_SELL": ("decidedly negative", "an exit"), "SELL": ("negative", "a cut"), "HOLD": ("mixed", "no change"), "BUY": ("positive", "an addition"), "STRONG_BUY": ("decidedly positive", "a full position")}
+_HEX = "CAST(list_sum(list_transform(range(1, 41), lambda i: strpos('0123456789abcdef', h[i]) - 1)) AS BIGINT) % 3"
+_TONE, _ACT = ("CASE cls " + " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in TONES.items()) + " END" for i in (0, 1))
+_BODY = f"' the trend is ' || {_TONE} || ': the price stands at its means of 50 and 200 rows (' || {abbreviated_sql('sma50')} || ', ' || {abbreviated_sql('sma200')} || '), RSI(14) is ' || {abbreviated_sql('rsi14')} || ' and MACD ' || {abbreviated_sql('macd')} || '. That asks for ' || {_ACT} || '.' || chr(10) || chr(10) || '[[[' || cls || ']]]'"
+
+
+@query(S.with_sql("lab", f"SELECT ticker, di, CASE {_HEX} WHEN 0 THEN '{OPENERS[0]}' WHEN 1 THEN '{OPENERS[1]}' ELSE '{OPENERS[2]}' END || {_BODY} AS completion FROM (SELECT lab.*, sma50, rsi14, sma200, macd, sha1(lab.ticker || '|' || lab.di) AS h FROM lab JOIN ({corpus_queries.ORACLE['ind_01']}) a USING (ticker, di) JOIN ({model_queries.ORACLE['ind_01_rest']}) b USING (ticker, di))"))
+def cor_04(spark, d):
+    """A completion for each label, grounded in the day's indicators; a hash of the key chooses the opener."""
+    x = classes(signal(P(spark, d))).join(corpus_queries.QUERIES["ind_01"](spark, d), ["ticker", "di"]).join(model_queries.QUERIES["ind_01_rest"](spark, d), ["ticker", "di"])
+    # 16 = 1 (mod 3), so the number's remainder is that of the sum of its hex digits
+    x = x.withColumn("h", F.sha1(F.concat_ws("|", "ticker", "di"))).withColumn("k", F.expr("aggregate(sequence(1, 40), 0, (t, i) -> t + locate(substr(h, i, 1), '0123456789abcdef') - 1) % 3 + 1"))
+    told = lambda i: F.element_at(F.create_map(*(F.lit(y) for k, v in TONES.items() for y in (k, v[i]))), F.col("cls"))
+    n = lambda c: abbreviated(F.col(c))
+    text = F.concat(F.element_at(F.array(*map(F.lit, OPENERS)), F.col("k").cast("int")), F.lit(" the trend is "), told(0), F.lit(": the price stands at its means of 50 and 200 rows ("), n("sma50"), F.lit(", "), n("sma200"), F.lit("), RSI(14) is "), n("rsi14"), F.lit(" and MACD "), n("macd"), F.lit(". That asks for "), told(1), F.lit(".\n\n[[["), "cls", F.lit("]]]"))
+    return x.select("ticker", "di", text.alias("completion"))

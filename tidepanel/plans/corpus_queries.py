@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.text import abbreviated
@@ -50,10 +52,20 @@ def fn_06_days(spark, d):
     return S.table(spark, d, "orders").select("o_orderkey", F.when(k >= 5, F.date_add(x, 7 - k)).otherwise(x).alias("rolled"), F.date_add(x, F.when(k == 4, 3).when(k == 5, 2).otherwise(1)).alias("next"))
 
 
-@query()
+def eastern(seconds: Column) -> Column:
+    """The US Eastern time of seconds since 1970."""
+    return F.from_utc_timestamp(F.timestamp_seconds(seconds), "America/New_York")
+
+
+#: Daylight saving of the US since 2007, as hours of UTC: from the second Sunday of March to the first of November.
+_DST = "ts >= make_date(year(ts), 3, 1) + (7 + (7 - isodow(make_date(year(ts), 3, 1))) % 7)::INT + INTERVAL 7 HOUR AND ts < make_date(year(ts), 11, 1) + ((7 - isodow(make_date(year(ts), 11, 1))) % 7)::INT + INTERVAL 6 HOUR"
+
+
+@query(f"SELECT event_id, CAST(local AS DATE) AS local_day, CAST(local + INTERVAL 8 HOUR AS DATE) AS counts_for FROM (SELECT event_id, date_trunc('second', ts) - CASE WHEN {_DST} THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END AS local FROM (SELECT event_id, ts + INTERVAL (event_id % 12) MONTH AS ts FROM events))")
 def fn_07(spark, d):
-    """Event times in US Eastern time; from 16:00 on they count for the next day. No SQL here: DuckDB's time zones are an extension."""
-    local = F.from_utc_timestamp(F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp"))), "America/New_York")
+    """Event times, moved over the months of a year, in US Eastern time; from 16:00 on they count for the next day."""
+    moved = F.col("ts").cast("timestamp") + F.make_ym_interval(months=(F.col("event_id") % 12).cast("int"))
+    local = eastern(F.unix_seconds(moved))
     return S.table(spark, d, "events").select("event_id", F.to_date(local).alias("local_day"), F.date_add(F.to_date(local), F.when(F.hour(local) >= 16, 1).otherwise(0)).alias("counts_for"))
 
 
@@ -166,18 +178,34 @@ def qc_07(spark, d):
     return got.groupBy("ticker").agg(F.count("*").alias("days"), F.round(F.avg(F.coalesce((F.datediff("on", "matched") <= 2).cast("int"), F.lit(0))), 6).alias("covered"))
 
 
-#: Weights of the gates.
-GATES = {"documents": 0.5, "labels": 0.3, "events": 0.2}
+#: Weights of the modalities.
+GATES = {"price": 0.35, "news": 0.20, "fundamentals": 0.20, "sentiment": 0.15, "macro": 0.10}
+_CELLS = "(SELECT count(*) AS n, count(*) FILTER (close > 0 AND low <= least(close, high) + 1e-6 AND high >= close - 1e-6) AS ok, count(DISTINCT ticker) * count(DISTINCT date) AS cells FROM panel)"
+_SCORES = f"""SELECT 'price' AS gate, n / cells::DOUBLE AS a, ok / n::DOUBLE AS b, ok = n AS pass FROM {_CELLS}
+    UNION ALL SELECT 'news', avg((coalesce(text, '') <> '')::INT), count(DISTINCT text) / count(text)::DOUBLE, count(DISTINCT text) = count(text) FROM documents
+    UNION ALL SELECT 'fundamentals', count(o_totalprice) / count(*)::DOUBLE, count(DISTINCT o_orderkey) / count(*)::DOUBLE, count(DISTINCT o_orderkey) = count(*) FROM orders
+    UNION ALL SELECT 'sentiment', count(ts) / count(*)::DOUBLE, avg((value >= 0 AND value < 60)::INT), bool_and(ts IS NOT NULL) FROM events
+    UNION ALL SELECT 'macro', avg((l_shipdate IS NOT NULL)::INT), avg((l_quantity > 0)::INT), bool_and(l_quantity > 0) FROM lineitem"""
 
 
-@query("SELECT round(0.5 * a + 0.3 * b + 0.2 * c, 6) AS overall, concat_ws(',', CASE WHEN a < 0.9 THEN 'documents' END, CASE WHEN c < 0.9 THEN 'events' END, CASE WHEN b < 0.9 THEN 'labels' END) AS blocked FROM (SELECT (SELECT avg((text IS NOT NULL AND text <> '')::INT) FROM documents) AS a, (SELECT count(DISTINCT l.doc_id)::DOUBLE / (SELECT count(DISTINCT doc_id) FROM documents) FROM labels l) AS b, (SELECT avg((value IS NOT NULL)::INT) FROM events) AS c)")
+@query(S.with_sql("panel", f"SELECT round(sum(w * 50 * (a + b)), 4) AS overall, bool_and(pass) AS all_pass, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (NOT pass), '') AS blocked FROM ({_SCORES}) JOIN (VALUES " + ", ".join(f"('{k}', {v})" for k, v in GATES.items()) + ") g(gate, w) USING (gate)"))
 def qc_08(spark, d):
-    n = docs(spark, d).agg(F.count_distinct("doc_id").alias("n"))
-    rows = docs(spark, d).agg(F.avg(F.coalesce((F.col("text") != "").cast("int"), F.lit(0))).alias("score")).withColumn("gate", F.lit("documents"))
-    rows = rows.unionByName(S.table(spark, d, "labels").agg(F.count_distinct("doc_id").alias("k")).crossJoin(n).select((F.col("k") / F.col("n")).alias("score"), F.lit("labels").alias("gate")))  # one row each
-    rows = rows.unionByName(S.table(spark, d, "events").agg(F.avg(F.col("value").isNotNull().cast("int")).alias("score")).withColumn("gate", F.lit("events")))
+    """The weighted score of five modalities, each from two shares, and those whose hard gate fails."""
+    share = lambda c: F.avg(F.coalesce(c.cast("int"), F.lit(0)))
+    t = lambda n: S.table(spark, d, n)
+    sound = (F.col("close") > 0) & (F.col("low") <= F.least("close", "high") + 1e-6) & (F.col("high") >= F.col("close") - 1e-6)
+    cells = S.panel(spark, d).agg(F.count("*").alias("n"), F.count_if(sound).alias("ok"), (F.count_distinct("ticker") * F.count_distinct("date")).alias("cells"))
+    unique = lambda c, n: F.count_distinct(c) / F.count(n)
+    gates = [
+        cells.select(F.lit("price").alias("gate"), (F.col("n") / F.col("cells")).alias("a"), (F.col("ok") / F.col("n")).alias("b"), (F.col("ok") == F.col("n")).alias("pass")),
+        t("documents").select("text", F.sha2("text", 256).alias("h")).agg(share(F.coalesce("text", F.lit("")) != "").alias("a"), unique("h", "h").alias("b"), (F.count_distinct("h") == F.count("h")).alias("pass")).withColumn("gate", F.lit("news")),
+        t("orders").agg((F.count("o_totalprice") / F.count("*")).alias("a"), (F.count_distinct("o_orderkey") / F.count("*")).alias("b"), (F.count_distinct("o_orderkey") == F.count("*")).alias("pass")).withColumn("gate", F.lit("fundamentals")),
+        t("events").agg((F.count("ts") / F.count("*")).alias("a"), F.avg(((F.col("value") >= 0) & (F.col("value") < 60)).cast("int")).alias("b"), F.bool_and(F.col("ts").isNotNull()).alias("pass")).withColumn("gate", F.lit("sentiment")),
+        t("lineitem").agg(share(F.col("l_shipdate").isNotNull()).alias("a"), F.avg((F.col("l_quantity") > 0).cast("int")).alias("b"), F.bool_and(F.col("l_quantity") > 0).alias("pass")).withColumn("gate", F.lit("macro")),
+    ]
+    rows = reduce(DataFrame.unionByName, gates)
     weight = F.element_at(F.create_map(*(F.lit(x) for kv in GATES.items() for x in kv)), F.col("gate"))
-    return rows.agg(F.round(F.sum(weight * F.col("score")), 6).alias("overall"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("score") < 0.9, F.col("gate")))), ",").alias("blocked"))
+    return rows.agg(F.round(F.sum(weight * 50 * (F.col("a") + F.col("b"))), 4).alias("overall"), F.bool_and("pass").alias("all_pass"), F.array_join(F.sort_array(F.collect_list(F.when(~F.col("pass"), F.col("gate")))), ",").alias("blocked"))
 
 
 # -------------------------------------------------------- corpus and rewards
@@ -211,17 +239,6 @@ def cor_03(spark, d):
     return O.every_stride(x, 40, "cls", "di", "ticker")
 
 
-#: Openers of completions.
-OPENERS = ("Looking at the tape,", "On balance,", "In short,")
-
-
-@query(S.with_sql("lab", "SELECT ticker, di, CASE (ticker + di) % 3 WHEN 0 THEN 'Looking at the tape,' WHEN 1 THEN 'On balance,' ELSE 'In short,' END || ' the signal is ' || printf('%d', floor(signal * 10)::BIGINT) || ' tenths. [[[' || cls || ']]]' AS completion FROM lab"))
-def cor_04(spark, d):
-    x = classes(signal(P(spark, d)))
-    opener = F.element_at(F.array(*map(F.lit, OPENERS)), ((F.col("ticker") + F.col("di")) % 3 + 1).cast("int"))
-    return x.select("ticker", "di", F.concat(opener, F.lit(" the signal is "), F.format_string("%d", F.floor(F.col("signal") * 10)), F.lit(" tenths. [[["), "cls", F.lit("]]]")).alias("completion"))
-
-
 _GATE = f"(SELECT *, len({TAG}) = 1 AND tag = truth AND regexp_matches(response, '\\]\\]\\]\\s*$') AND NOT regexp_matches(response, '(^|\\n)#') AND len(regexp_extract_all(response, '\\S+')) <= 220 AS good FROM {_NEED})"
 
 
@@ -237,12 +254,16 @@ def cor_05(spark, d):
     return gated(decided(spark, d)).select("ticker", "date", "good")
 
 
-@query("SELECT a, round(CASE WHEN len(t) = 0 THEN 1 ELSE len(list_filter(t, lambda x: len(list_filter(s, lambda y: abs(x - y) <= greatest(0.005 * abs(y), 0.01) OR round(x, 1) = round(y, 1))) > 0))::DOUBLE / len(t) END, 6) AS grounded FROM (SELECT a.doc_id AS a, list_transform(regexp_extract_all(coalesce(a.text, ''), '[0-9]+\\.[0-9]+'), lambda v: v::DOUBLE) AS t, list_transform(regexp_extract_all(coalesce(b.text, ''), '[0-9]+\\.[0-9]+'), lambda v: v::DOUBLE) AS s FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)")
+_NUMBERS = "list_transform(regexp_extract_all(coalesce({0}, ''), '-?[0-9]+(?:\\.[0-9]+)?'), lambda v: v::DOUBLE)"
+
+
+@query(f"SELECT a, round(CASE WHEN len(t) = 0 THEN 1 ELSE len(list_filter(t, lambda x: len(list_filter(s, lambda y: abs(x - y) <= greatest(0.005 * abs(y), 0.01) OR round(x, 1) = round(y, 1))) > 0))::DOUBLE / len(t) END, 6) AS grounded FROM (SELECT a.doc_id AS a, list_filter({_NUMBERS.format('a.text')}, lambda v: abs(v) >= 1e-6) AS t, {_NUMBERS.format('b.text')} AS s FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)")
 def cor_06(spark, d):
-    """The share of a text's numbers that its source (here the next document) holds, nearly or to one place; 1 without any."""
-    found = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[0-9]+\.[0-9]+"), F.lit(0)), lambda v: v.cast("double"))
+    """The share of a text's numbers, zeros left out, that its source (here the next document) holds, nearly or to one place; 1 without any."""
+    found = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"-?[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda v: v.cast("double"))
     x = docs(spark, d).select("doc_id", found.alias("t"))
-    two = x.select(F.col("doc_id").alias("a"), "t").join(x.select((F.col("doc_id") - 1).alias("a"), F.col("t").alias("s")), "a")
+    said = x.select(F.col("doc_id").alias("a"), F.filter("t", lambda v: F.abs(v) >= 1e-6).alias("t"))
+    two = said.join(x.select((F.col("doc_id") - 1).alias("a"), F.col("t").alias("s")), "a")
     near = F.filter("t", lambda u: F.exists("s", lambda v: (F.abs(u - v) <= F.greatest(0.005 * F.abs(v), F.lit(0.01))) | (F.round(u, 1) == F.round(v, 1))))
     return two.select("a", F.round(F.when(F.size("t") == 0, 1.0).otherwise(F.size(near) / F.size("t")), 6).alias("grounded"))
 
@@ -273,16 +294,47 @@ def cor_09(spark, d):
     return g.agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(F.col("good"), F.lit(False)).cast("int")), 6).alias("pass"), F.round(F.percentile(F.length("response"), 0.1), 6).alias("p10"))
 
 
-@query(f"SELECT ticker, date, '[[[' || tag || ']]] ' || response AS completion, CASE WHEN rn % 10 = 0 THEN 'val' ELSE 'train' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM {_NEED} WHERE tag = truth)")
+@query(f"SELECT ticker, date, CASE WHEN tag = truth THEN '[[[' || truth || ']]]' || chr(10) || response ELSE response END AS completion, CASE WHEN NOT tag = truth THEN 'negatives' WHEN rn % 10 = 0 THEN 'val' ELSE 'train' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY ticker, tag = truth ORDER BY date) - 1 AS rn FROM (SELECT ticker, date, response, coalesce(tag, 'HOLD') AS tag, truth FROM {_NEED}) WHERE truth IS NOT NULL)")
 def cor_10(spark, d):
-    x = decided(spark, d).where("tag = truth").withColumn("rn", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
-    return x.select("ticker", "date", F.concat(F.lit("[[["), "tag", F.lit("]]] "), "response").alias("completion"), F.when(F.col("rn") % 10 == 0, "val").otherwise("train").alias("split"))
+    """Answers that hit the truth, label first, split by their place; those that miss it are set aside."""
+    x = decided(spark, d).where("truth is not null").withColumn("hit", F.coalesce("tag", F.lit("HOLD")) == F.col("truth"))
+    x = x.withColumn("rn", F.row_number().over(Window.partitionBy("ticker", "hit").orderBy("date")) - 1)
+    text = F.when(F.col("hit"), F.concat(F.lit("[[["), "truth", F.lit("]]]\n"), "response")).otherwise(F.col("response"))
+    return x.select("ticker", "date", text.alias("completion"), F.when(~F.col("hit"), "negatives").when(F.col("rn") % 10 == 0, "val").otherwise("train").alias("split"))
+
+
+#: A second reader's answers: the first event of a name's day, and none on some days.
+_READER = "(SELECT user_id % 25 AS ticker, CAST(ts AS DATE) AS date, arg_min(event_type, {'t': ts, 'i': event_id}) AS kind FROM events WHERE (user_id % 25 + dayofyear(ts)) % 7 <> 0 GROUP BY 1, 2)"
+_KIND = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.CLASS_OF.items()) + " END"
 
 
-@query(f"SELECT count(*) FILTER (tag = truth) AS kept, count(*) FILTER (tag <> truth) AS different, count(*) FILTER (tag IS NULL OR truth IS NULL) AS untagged FROM {_NEED}")
+@query(f"SELECT ticker, date, CASE WHEN pred IS NULL THEN 'unread' WHEN pred = tag THEN 'kept' ELSE 'different' END AS status, CASE WHEN pred = tag THEN '[[[' || tag || ']]]' || chr(10) || trim(split_part(response, '[[[', 1), ' ') END AS completion FROM (SELECT n.*, {_KIND} AS pred FROM {_NEED} n LEFT JOIN {_READER} r USING (ticker, date)) WHERE tag IS NOT NULL")
 def cor_11(spark, d):
-    a, b = F.col("tag"), F.col("truth")
-    return decided(spark, d).agg(F.count_if(a == b).alias("kept"), F.count_if(a != b).alias("different"), F.count_if(a.isNull() | b.isNull()).alias("untagged"))
+    """Answers that a second reader of the text alone labels the same are kept, label first; the others are counted by what became of them."""
+    e = S.table(spark, d, "events").where((F.col("user_id") % 25 + F.dayofyear("ts")) % 7 != 0)
+    name = F.element_at(F.create_map(*(F.lit(x) for pair in S.CLASS_OF.items() for x in pair)), F.col("kind"))
+    reader = e.groupBy((F.col("user_id") % 25).alias("ticker"), F.to_date("ts").alias("date")).agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("kind")).select("ticker", "date", name.alias("pred"))
+    x = decided(spark, d).where("tag is not null").join(reader, ["ticker", "date"], "left")
+    body = F.concat(F.lit("[[["), "tag", F.lit("]]]\n"), F.trim(F.substring_index("response", "[[[", 1)))
+    return x.select("ticker", "date", F.when(F.col("pred").isNull(), "unread").when(F.col("pred") == F.col("tag"), "kept").otherwise("different").alias("status"), F.when(F.col("pred") == F.col("tag"), body).alias("completion"))
+
+
+@query("SELECT c.cls, " + ", ".join(f"count(*) FILTER (x.tag = '{k}') AS {k.lower()}" for k in CLASSES) + " FROM (VALUES " + ", ".join(f"('{k}')" for k in CLASSES) + f") c(cls) LEFT JOIN {_NEED} x ON x.truth = c.cls AND x.tag IS NOT NULL GROUP BY 1")
+def agg_06(spark, d):
+    """The confusion of truth and answer: a row and a column for each class, also for those that never come."""
+    seen = decided(spark, d).where("truth is not null and tag is not null").groupBy(F.col("truth").alias("cls")).pivot("tag", list(CLASSES)).count()
+    rows = spark.createDataFrame([(k,) for k in CLASSES], "cls string")
+    return rows.join(seen, "cls", "left").select("cls", *(F.coalesce(k, F.lit(0)).alias(k.lower()) for k in CLASSES))
+
+
+@query(f"SELECT ticker, date, decision, CASE WHEN s > 0 AND k <= 8 THEN 0.125 ELSE 0 END AS weight, round(rate, 6) AS no_tag_rate FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY s DESC, ticker) AS k, avg(missed) OVER () AS rate FROM (SELECT ticker, date, coalesce(tag, 'HOLD') AS decision, (tag IS NULL)::INT AS missed, CASE tag WHEN 'STRONG_BUY' THEN 2 WHEN 'BUY' THEN 1 ELSE 0 END AS s FROM {_NEED}))")
+def pf_03(spark, d):
+    """Weights from answers: at most eight names at an eighth each, the strongest first, then in the order of names; and the share of answers without a class."""
+    x = decided(spark, d).select("ticker", "date", "tag", F.when(F.col("tag") == "STRONG_BUY", 2).when(F.col("tag") == "BUY", 1).otherwise(0).alias("s"))
+    rate = x.agg(F.round(F.avg(F.col("tag").isNull().cast("int")), 6).alias("no_tag_rate"))
+    k = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("s"), "ticker"))
+    weight = F.when((F.col("s") > 0) & (F.col("k") <= 8), 0.125).otherwise(0.0)
+    return x.withColumn("k", k).crossJoin(F.broadcast(rate)).select("ticker", "date", F.coalesce("tag", F.lit("HOLD")).alias("decision"), weight.alias("weight"), "no_tag_rate")  # one row
 
 
 @query(f"SELECT ticker, date, coalesce(r.reward, {INVALID})::DOUBLE AS reward FROM {_NEED} x LEFT JOIN (VALUES {REWARD_ROWS}) r(said, cls, reward) ON r.said = x.tag AND r.cls = x.truth")

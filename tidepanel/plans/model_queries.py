@@ -407,22 +407,26 @@ def ind_01_rest(spark, d):
     return x.select("ticker", "di", *(F.round(c, 6).alias(n) for n, c in found.items()), F.round((F.col("tp") - F.col("mean")) / F.nullif(0.015 * dev, F.lit(0.0)), 4).alias("cci"))
 
 
-_TIERED = f"(SELECT s.action, s.di, s.car5, CASE WHEN coalesce(n, 0) > q[2] THEN 'top' WHEN coalesce(n, 0) > q[1] THEN 'mid' ELSE 'tail' END AS tier, CASE WHEN year(g.date) >= 1995 THEN 'late' ELSE 'early' END AS era FROM {_STUDY} s JOIN grades g USING (o_orderkey) LEFT JOIN (SELECT company, count(*) AS n FROM grades WHERE action <> 'init' GROUP BY 1) c ON c.company = g.company, (SELECT quantile_cont(n, [1 / 3, 2 / 3]) AS q FROM (SELECT company, count(*) AS n FROM grades WHERE action <> 'init' GROUP BY 1)))"
+_TIERED = f"(SELECT s.action, s.di, s.car5, CASE WHEN coalesce(n, 0) > q[2] THEN 'top' WHEN coalesce(n, 0) > q[1] THEN 'mid' ELSE 'tail' END AS tier, CASE WHEN year(g.date) >= 1995 THEN 'late' ELSE 'early' END AS era, CASE WHEN abs(s.o_orderkey % 5 - s.o_orderkey // 5 % 5) >= 2 THEN 'notches' ELSE 'notch' END AS notch FROM {_STUDY} s JOIN grades g USING (o_orderkey) LEFT JOIN (SELECT company, count(*) AS n FROM grades WHERE action <> 'init' GROUP BY 1) c ON c.company = g.company, (SELECT quantile_cont(n, [1 / 3, 2 / 3]) AS q FROM (SELECT company, count(*) AS n FROM grades WHERE action <> 'init' GROUP BY 1)))"
 
 
-@query(S.with_sql("own grades cal", f", z AS (SELECT action, unnest(['all', tier, era]) AS cut, di, car5 FROM {_TIERED} WHERE car5 IS NOT NULL), m AS (SELECT action, cut, count(*) AS n, avg(car5) AS m, stddev_samp(car5) AS sd FROM z GROUP BY 1, 2 HAVING count(*) >= 10), c AS (SELECT action, cut, sum(pow(s, 2)) AS c2 FROM (SELECT action, cut, di, sum(car5 - m) AS s FROM z JOIN m USING (action, cut) GROUP BY 1, 2, 3) GROUP BY 1, 2) SELECT action, cut, n, round(m, 6) AS mean, round(m / (sd / sqrt(n)), 4) AS t_iid, round(m / (sqrt(c2) / n), 4) AS t_day FROM m JOIN c USING (action, cut)"))
+@query(S.with_sql("own grades cal", f", z AS (SELECT action, unnest(['all', tier, era, notch]) AS cut, di, car5 FROM {_TIERED} WHERE car5 IS NOT NULL), m AS (SELECT action, cut, count(*) AS n, avg(car5) AS m, stddev_samp(car5) AS sd FROM z GROUP BY 1, 2 HAVING count(*) >= 10), c AS (SELECT action, cut, sum(pow(s, 2)) AS c2 FROM (SELECT action, cut, di, sum(car5 - m) AS s FROM z JOIN m USING (action, cut) GROUP BY 1, 2, 3) GROUP BY 1, 2) SELECT action, cut, n, round(m, 6) AS mean, round(m / (sd / sqrt(n)), 4) AS t_iid, round(m / (sqrt(c2) / n), 4) AS t_day FROM m JOIN c USING (action, cut)"))
 def es_02_cuts(spark, d):
-    """es_02 for all events, by how many up and down events a company has (thirds of the companies), and by era."""
+    """es_02 for all events, by how many up and down events a company has (thirds of the companies), by era, and by whether a grade moves two notches or more.
+
+    The tables have no grades: an event's old and new grade are two digits of its key to the base of five.
+    """
     g = S.grades(spark, d).select("o_orderkey", "company", "date", "action")
     n = g.where("action <> 'init'").groupBy("company").agg(F.count("*").alias("n"))
     cuts = n.agg(F.percentile("n", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
     of = n.crossJoin(F.broadcast(cuts)).select("company", F.when(F.col("n") > F.col("q")[1], "top").when(F.col("n") > F.col("q")[0], "mid").otherwise("tail").alias("tier"))  # one row
     x = study(spark, d).where("car5 is not null").join(g.drop("action"), "o_orderkey").join(of, "company", "left")
     era = F.when(F.year("date") >= 1995, "late").otherwise("early")
-    x = x.select("action", "di", "car5", F.explode(F.array(F.lit("all"), F.coalesce("tier", F.lit("tail")), era)).alias("cut"))
+    notch = F.when(F.abs(F.col("o_orderkey") % 5 - F.floor(F.col("o_orderkey") / 5) % 5) >= 2, "notches").otherwise("notch")
+    x = x.select("action", "di", "car5", F.explode(F.array(F.lit("all"), F.coalesce("tier", F.lit("tail")), era, notch)).alias("cut"))
     days = x.groupBy("action", "cut", "di").agg(F.sum("car5").alias("s"), F.count("*").alias("k"))
     cut = x.groupBy("action", "cut").agg(F.count("*").alias("n"), F.avg("car5").alias("m"), F.stddev_samp("car5").alias("sd")).where("n >= 10")
-    c2 = days.join(F.broadcast(cut), ["action", "cut"]).groupBy("action", "cut").agg(F.sum((F.col("s") - F.col("k") * F.col("m")) ** 2).alias("c2"))  # at most 18 rows
+    c2 = days.join(F.broadcast(cut), ["action", "cut"]).groupBy("action", "cut").agg(F.sum((F.col("s") - F.col("k") * F.col("m")) ** 2).alias("c2"))  # a row a cut
     return cut.join(c2, ["action", "cut"]).select("action", "cut", "n", F.round("m", 6).alias("mean"), F.round(F.col("m") / (F.col("sd") / F.sqrt("n")), 4).alias("t_iid"), F.round(F.col("m") / (F.sqrt("c2") / F.col("n")), 4).alias("t_day"))
 
 

@@ -343,13 +343,6 @@ def ic_01(spark, d):
     return daily_ic(momentum(p), forward(p)).select("di", *r6("ic"))
 
 
-@query(f"SELECT y, round(avg(ic), 6) AS mean_ic, round(avg(ic) / stddev_samp(ic) * sqrt(count(*)), 4) AS t, count(*) AS n FROM (SELECT ic, year(date) AS y FROM ({IC}) JOIN cal USING (di)) GROUP BY ROLLUP (y)", "mom fwd")
-def ic_02(spark, d):
-    p = P(spark, d)
-    ic = daily_ic(momentum(p), forward(p)).join(p.select("di", "date").distinct(), "di").withColumn("y", F.year("date").cast("long"))
-    return ic.rollup("y").agg(F.round(F.avg("ic"), 6).alias("mean_ic"), F.round(F.avg("ic") / F.stddev_samp("ic") * F.sqrt(F.count("*")), 4).alias("t"), F.count("*").alias("n"))
-
-
 @query("SELECT round(corr(a, b), 6) AS ic, count(*) AS n, round(1 / sqrt(count(*) - 3), 6) AS se FROM (SELECT rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS a, rank() OVER (ORDER BY fwd) + (count(*) OVER (PARTITION BY fwd) - 1) / 2.0 AS b FROM mom JOIN fwd ON mom.di = fwd.di AND mom.ticker = fwd.ticker)", "mom fwd")
 def ic_03(spark, d):
     p = P(spark, d)

@@ -205,13 +205,18 @@ def sig_11(spark, d):
     return neighbours(e.join(top, ["y", "src"]), momentum(P(spark, d))).select(F.lit(10).alias("k"), "di", "ticker", *r6("value"))
 
 
-@query("SELECT y, count(*) AS links, count(DISTINCT src) AS names, round(count(*) / count(DISTINCT src)::DOUBLE, 6) AS degree, round(count(*) / (count(DISTINCT src) * (count(DISTINCT src) - 1))::DOUBLE, 6) AS density, (SELECT count(DISTINCT ticker) FROM grades) - count(DISTINCT src) AS isolated FROM edges GROUP BY y", "edges")
+@query(f"SELECT y, count(*) AS links, count(DISTINCT src) AS names, round(count(*) / count(DISTINCT src)::DOUBLE, 6) AS degree, round(count(*) / (count(DISTINCT src) * (count(DISTINCT src) - 1))::DOUBLE, 6) AS density, (SELECT count(DISTINCT ticker) FROM grades) - count(DISTINCT src) AS isolated, round(count(*) FILTER (third = 0) / nullif(count(DISTINCT src) FILTER (third = 0), 0)::DOUBLE, 6) AS bottom_degree, round(count(*) FILTER (third = 0) / nullif(count(DISTINCT src) FILTER (third = 0) * (count(DISTINCT src) - 1), 0)::DOUBLE, 6) AS bottom_density FROM edges JOIN {COVER} c USING (y) WHERE c.ticker = src GROUP BY y", "edges")
 def sig_12(spark, d):
+    """The size of each year's graph, and how many links the third of names with the fewest has."""
     g = S.grades(spark, d)
-    e = cocoverage(g).groupBy("y").agg(F.count("*").alias("links"), F.count_distinct("src").alias("names"))
+    e = cocoverage(g)
+    low = coverage_thirds(e).where("third = 0").select("y", F.col("ticker").alias("src"), F.lit(1).alias("low"))
+    at = F.col("low") == 1
+    e = e.join(low, ["y", "src"], "left").groupBy("y").agg(F.count("*").alias("links"), F.count_distinct("src").alias("names"), F.count_if(at).alias("low_links"), F.count_distinct(F.when(at, F.col("src"))).alias("low_names"))
     n = g.agg(F.count_distinct("ticker").alias("all"))
     x = e.crossJoin(F.broadcast(n))  # one row
-    return x.select("y", "links", "names", F.round(F.col("links") / F.col("names"), 6).alias("degree"), F.round(F.col("links") / (F.col("names") * (F.col("names") - 1)), 6).alias("density"), (F.col("all") - F.col("names")).alias("isolated"))
+    degree = F.col("low_links") / F.nullif("low_names", F.lit(0))
+    return x.select("y", "links", "names", F.round(F.col("links") / F.col("names"), 6).alias("degree"), F.round(F.col("links") / (F.col("names") * (F.col("names") - 1)), 6).alias("density"), (F.col("all") - F.col("names")).alias("isolated"), F.round(degree, 6).alias("bottom_degree"), F.round(degree / F.nullif(F.col("names") - 1, F.lit(0)), 6).alias("bottom_density"))
 
 
 @query("""SELECT di, ticker, round((s - CASE WHEN lead3 THEN r ELSE 0 END) / (k - lead3::INT), 6) AS value FROM (
@@ -332,17 +337,26 @@ def pf_07(spark, d):
 
 
 def smoothed(s: DataFrame, span: float) -> DataFrame:
-    """s with the exponential mean of the ranks as its value."""
-    return W.with_ewm(s.withColumn("_p", X.pct_rank("value")), "value", "_p", span=span).drop("_p")
+    """(di, ticker, value): the exponential mean over all calendar positions of the names' ranks, where there is a rank."""
+    ends = s.groupBy("ticker").agg(F.min("di").alias("lo"), F.max("di").alias("hi"))
+    grid = ends.select("ticker", F.explode(F.sequence("lo", "hi")).alias("di"))
+    x = grid.join(s.select("di", "ticker", X.pct_rank("value").alias("p")), ["di", "ticker"], "left")
+    return W.with_ewm(x, "value", "p", span=span).where("p is not null").select("di", "ticker", "value")
 
 
-_PCT = f"(SELECT di, ticker, ({RANK.format('value')}) / count(*) OVER (PARTITION BY di) AS pct, row_number() OVER (PARTITION BY ticker ORDER BY di) AS rn FROM mom)"
+_PCT = f"(SELECT di, ticker, ({RANK.format('value')}) / count(*) OVER (PARTITION BY di) AS pct FROM mom)"
+_EMA = f"(SELECT {{0}} AS span, a.di, a.ticker, sum(b.pct * pow({{1}}, a.di - b.di)) / sum(pow({{1}}, a.di - b.di)) AS value FROM {_PCT} a JOIN {_PCT} b ON a.ticker = b.ticker AND b.di <= a.di GROUP BY 2, 3)"
+_SMOOTH = " UNION ALL ".join(f"SELECT * FROM {_EMA.format(k, 1 - 2 / (k + 1))}" for k in (3, 5, 10))
+_QUINTS = "(CASE WHEN value >= quantile_cont(value, 0.8) OVER v THEN 1 ELSE 0 END)", "(CASE WHEN value <= quantile_cont(value, 0.2) OVER v THEN 1 ELSE 0 END)"
 
 
-@query(" UNION ALL ".join(f"SELECT {s} AS span, a.di, a.ticker, round(sum(b.pct * pow({1 - 2 / (s + 1)}, a.rn - b.rn)) / sum(pow({1 - 2 / (s + 1)}, a.rn - b.rn)), 6) AS value FROM {_PCT} a JOIN {_PCT} b ON a.ticker = b.ticker AND b.rn <= a.rn GROUP BY 2, 3" for s in (3, 5, 10)), "mom")
+@query(f", sm AS MATERIALIZED ({_SMOOTH}), qq AS (SELECT span, di, ticker, {_QUINTS[0]} AS up, {_QUINTS[1]} AS down FROM sm WINDOW v AS (PARTITION BY span, di)) SELECT 'ema' || span AS arm, di, ticker, round(up * 0.5 / greatest(sum(up) OVER w, 1) - down * 0.5 / greatest(sum(down) OVER w, 1), 6) AS weight FROM qq WINDOW w AS (PARTITION BY span, di) UNION ALL SELECT 'band+ema5', di, ticker, round(weight, 6) FROM ({_BAND.replace('FROM mom', 'FROM (SELECT * FROM sm WHERE span = 5)')})", "mom")
 def pf_08(spark, d):
+    """Weights from smoothed ranks: their outer fifths, and bands over their ranks."""
     m = momentum(P(spark, d))
-    return reduce(DataFrame.unionByName, (smoothed(m, s).select(F.lit(s).alias("span"), "di", "ticker", *r6("value")) for s in (3, 5, 10)))
+    by = {s: smoothed(m, s) for s in (3, 5, 10)}
+    arms = [quintile_weights(x).select(F.lit(f"ema{s}").alias("arm"), "di", "ticker", *r6("weight")) for s, x in by.items()]
+    return reduce(DataFrame.unionByName, [*arms, banded(by[5]).select(F.lit("band+ema5").alias("arm"), "di", "ticker", *r6("weight"))])
 
 
 def staggered(w: DataFrame, k: int = 4) -> DataFrame:
@@ -403,15 +417,15 @@ def top_05(spark, d):
     return s.agg(F.max_by("bps", "sharpe").alias("best"), F.round(F.max("sharpe"), 6).alias("sharpe"))
 
 
-_HELD = "(SELECT o.di, o.ticker, o.r, CASE WHEN l.cls IN ('BUY', 'STRONG_BUY') THEN 1.0 ELSE 0.0 END AS held FROM own o ASOF LEFT JOIN lab l ON l.ticker = o.ticker AND o.di > l.di)"
+_HELD = "(SELECT o.di, o.ticker, o.r, CASE WHEN l.cls IN ('BUY', 'STRONG_BUY') THEN 1.0 ELSE 0.0 END AS held, CASE l.cls WHEN 'STRONG_BUY' THEN 2 WHEN 'BUY' THEN 1 ELSE 0 END AS strength FROM own o ASOF LEFT JOIN lab l ON l.ticker = o.ticker AND o.di > l.di)"
 
 
 def held_names(spark, d) -> DataFrame:
-    """(di, ticker, r, held): each day's return, and whether the class decided before the day says to hold the name."""
+    """(di, ticker, r, held, strength): each day's return, whether the class decided before the day says to hold the name, and how strongly."""
     p = P(spark, d)
     own = p.select("di", "ticker", (F.col("close") / W.shift_own("close", 1) - 1).alias("r"))
     told = classes(signal(p)).select("ticker", F.col("di").alias("told"), "cls")
-    return A.asof(own, told, ["ticker"], "di", "told", ["cls"], inclusive=False).withColumn("held", F.coalesce(F.col("cls").isin("BUY", "STRONG_BUY"), F.lit(False)).cast("double"))
+    return A.asof(own, told, ["ticker"], "di", "told", ["cls"], inclusive=False).withColumns({"held": F.coalesce(F.col("cls").isin("BUY", "STRONG_BUY"), F.lit(False)).cast("double"), "strength": F.when(F.col("cls") == "STRONG_BUY", 2).when(F.col("cls") == "BUY", 1).otherwise(0)})
 
 
 @query(f"SELECT ticker, round(sum(ln(1 + held * r)), 6) AS log_strategy, round(sum(ln(1 + r)), 6) AS log_hold, round(avg(held), 6) AS share FROM {_HELD} WHERE r IS NOT NULL GROUP BY 1", "own lab")
@@ -420,18 +434,13 @@ def bt_05(spark, d):
     return x.agg(F.round(F.sum(F.log1p(F.col("held") * F.col("r"))), 6).alias("log_strategy"), F.round(F.sum(F.log1p("r")), 6).alias("log_hold"), F.round(F.avg("held"), 6).alias("share"))
 
 
-@query(f"SELECT di, round(sum(held * coalesce(r, 0)) / 8, 6) AS r, sum(held)::BIGINT AS names FROM (SELECT *, row_number() OVER (PARTITION BY di ORDER BY held DESC, ticker) AS k FROM {_HELD}) WHERE k <= 8 GROUP BY di", "own lab")
+@query(f"SELECT di, round(sum(held * coalesce(r, 0)) / 8, 6) AS r, sum(held)::BIGINT AS names FROM (SELECT *, row_number() OVER (PARTITION BY di ORDER BY strength DESC, ticker) AS k FROM {_HELD}) WHERE k <= 8 GROUP BY di", "own lab")
 def bt_06(spark, d):
-    x = held_names(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("di").orderBy(F.desc("held"), "ticker"))).where("k <= 8")
+    """The stream of at most eight names held at an eighth each, the strongest decisions first, then in the order of names."""
+    x = held_names(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("di").orderBy(F.desc("strength"), "ticker"))).where("k <= 8")
     return x.groupBy("di").agg(F.round(F.sum(F.col("held") * F.coalesce("r", F.lit(0.0))) / 8, 6).alias("r"), F.sum("held").cast("long").alias("names"))
 
 
-@query(f"SELECT ticker, di, round(CASE WHEN held = 1 AND k <= 8 THEN 0.125 ELSE 0 END, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY di ORDER BY held DESC, ticker) AS k FROM {_HELD})", "own lab")
-def pf_03(spark, d):
-    x = held_names(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("di").orderBy(F.desc("held"), "ticker")))
-    return x.select("ticker", "di", F.when((F.col("held") == 1) & (F.col("k") <= 8), 0.125).otherwise(0.0).alias("weight"))
-
-
 @query("SELECT p.di, p.ticker, round(w.weight, 6) AS weight FROM p ASOF LEFT JOIN (SELECT * FROM quint WHERE di % 4 = 0) w ON w.ticker = p.ticker AND p.di > w.di", "p quint")
 def win_15(spark, d):
     p = P(spark, d)
@@ -579,13 +588,13 @@ def ic_07(spark, d):
     return y.crossJoin(F.broadcast(mono))  # one row each
 
 
-@query(f"SELECT round(avg(r.reward), 6) AS mean, round((SELECT max(m) FROM (SELECT r.said, avg(r.reward) AS m FROM lab l JOIN (VALUES {REWARD_ROWS}) r(said, cls, reward) ON r.cls = l.cls JOIN mom ON mom.di = l.di AND mom.ticker = l.ticker GROUP BY 1)), 6) AS best_constant, round((SELECT avg(r.reward) FROM {_SAID} x JOIN (VALUES {REWARD_ROWS}) r(said, cls, reward) ON r.cls = x.cls AND r.said = 'HOLD'), 6) AS always_hold FROM {_SAID} x JOIN (VALUES {REWARD_ROWS}) r(said, cls, reward) ON r.cls = x.cls AND r.said = x.said", "lab mom")
+@query(f"SELECT *, mean > best_constant AS passed FROM (SELECT round(avg(r.reward), 6) AS mean, round((SELECT max(m) FROM (SELECT r.said, avg(r.reward) AS m FROM lab l JOIN (VALUES {REWARD_ROWS}) r(said, cls, reward) ON r.cls = l.cls JOIN mom ON mom.di = l.di AND mom.ticker = l.ticker GROUP BY 1)), 6) AS best_constant, round((SELECT avg(r.reward) FROM {_SAID} x JOIN (VALUES {REWARD_ROWS}) r(said, cls, reward) ON r.cls = x.cls AND r.said = 'HOLD'), 6) AS always_hold FROM {_SAID} x JOIN (VALUES {REWARD_ROWS}) r(said, cls, reward) ON r.cls = x.cls AND r.said = x.said)", "lab mom")
 def ic_08(spark, d):
     x, r = said(spark, d), rewards(spark)
     mean = x.join(F.broadcast(r), ["said", "cls"]).agg(F.round(F.avg("reward"), 6).alias("mean"))
     constant = x.groupBy("cls").agg(F.count("*").alias("n")).join(F.broadcast(r), "cls").groupBy("said").agg((F.sum(F.col("reward") * F.col("n")) / F.sum("n")).alias("m"))
     best = constant.agg(F.round(F.max("m"), 6).alias("best_constant"), F.round(F.max(F.when(F.col("said") == "HOLD", F.col("m"))), 6).alias("always_hold"))
-    return mean.crossJoin(F.broadcast(best))  # one row each
+    return mean.crossJoin(F.broadcast(best)).withColumn("passed", F.col("mean") > F.col("best_constant"))  # one row each
 
 
 @query(f"SELECT ticker, round(ic, 6) AS ic, round(profit, 6) AS profit, CASE WHEN ic > 0 AND profit > 0 THEN 'skill' WHEN ic > 0 THEN 'unpaid' WHEN profit > 0 THEN 'luck' ELSE 'neither' END AS quadrant FROM (SELECT ticker, corr(pred, signal) AS ic, sum(CASE WHEN said IN ('BUY', 'STRONG_BUY') THEN f.fwd ELSE 0 END) AS profit FROM {_SAID} x JOIN fwd f USING (di, ticker) GROUP BY 1)", "lab mom fwd")
@@ -653,12 +662,14 @@ def jn_10(spark, d):
     return x.select("y", "company", F.col("ticker").alias("a")).join(x.select("y", "company", F.col("ticker").alias("b")), ["y", "company"]).where("a <> b")
 
 
-@query("SELECT bps, lag, round(avg(r - bps / 10000.0), 6) AS mean FROM ls, (VALUES (5), (10)) a(bps), (VALUES (0), (1)) b(lag) GROUP BY 1, 2", "ls")
+@query("SELECT bps, lag, round(avg(r - bps / 10000.0), 6) AS mean FROM (SELECT bps, lag, w.di + lag AS di, sum(weight * coalesce(fwd, 0)) AS r FROM quint w CROSS JOIN (VALUES (5), (10)) a(bps) CROSS JOIN (VALUES (0), (1)) b(lag) LEFT JOIN fwd ON fwd.di = w.di + lag AND fwd.ticker = w.ticker GROUP BY 1, 2, 3) GROUP BY 1, 2", "quint fwd")
 def jn_13(spark, d):
+    """The mean net return for each cost and each delay of the weights."""
     p = P(spark, d)
     grid = spark.createDataFrame([(b, k) for b in (5, 10) for k in (0, 1)], "bps int, lag int")
-    x = ls_returns(p, momentum(p)).crossJoin(F.broadcast(grid))  # four parameter rows
-    return x.groupBy("bps", "lag").agg(F.round(F.avg(F.col("r") - F.col("bps") / 10000.0), 6).alias("mean"))
+    w = quintile_weights(momentum(p)).select("di", "ticker", "weight").crossJoin(F.broadcast(grid)).withColumn("di", F.col("di") + F.col("lag"))  # four parameter rows
+    r = w.join(forward(p), ["di", "ticker"], "left").groupBy("bps", "lag", "di").agg(F.sum(F.col("weight") * F.coalesce("fwd", F.lit(0.0))).alias("r"))
+    return r.groupBy("bps", "lag").agg(F.round(F.avg(F.col("r") - F.col("bps") / 10000.0), 6).alias("mean"))
 
 
 @query("SELECT c.di, n.ticker, round(p.close, 6) AS close FROM cal c CROSS JOIN (SELECT DISTINCT ticker FROM p) n LEFT JOIN p ON p.di = c.di AND p.ticker = n.ticker", "p")
@@ -693,6 +704,18 @@ def jn_07(spark, d):
     return members(P(spark, d))
 
 
+SPAN = ("1997-07-01", "1999-06-30")
+
+
+@query(f"SELECT DISTINCT ticker FROM {_SNAP} WHERE make_date(y, 1, 1) <= DATE '{SPAN[1]}' AND make_date(y, 1, 1) >= (SELECT max(make_date(y, 1, 1)) FROM {_SNAP} WHERE make_date(y, 1, 1) <= DATE '{SPAN[0]}')", "p")
+def set_04(spark, d):
+    """All names of the index over a span: of the last snapshot at or before its start, and of those until its end."""
+    snaps = membership(P(spark, d)).where(F.col("snap") <= F.to_date(F.lit(SPAN[1])))
+    first = snaps.agg(F.max(F.when(F.col("snap") <= F.to_date(F.lit(SPAN[0])), F.col("snap"))).alias("first"))
+    held = snaps.crossJoin(F.broadcast(first)).where("first is null or snap >= first")  # one row
+    return held.select(F.explode(F.split("tickers", ",")).alias("ticker")).select(F.col("ticker").cast("int").alias("ticker")).distinct()
+
+
 #: Names of the first panel, names of the second one (some in both), and when a name took another symbol.
 FIRST, SECOND = 15, 10
 
@@ -752,3 +775,21 @@ def bt_07(spark, d):
     r = x.withColumn("q", q).groupBy("arm", "date").agg((F.avg(F.when(F.col("value") >= F.col("q")[0], F.col("fwd"))) - F.avg(F.when(F.col("value") <= F.col("q")[1], F.col("fwd")))).alias("r"), F.count("*").alias("names")).where("r is not null")
     cover = days.groupBy(F.year("date").cast("long").alias("y")).agg(F.round(F.avg("members"), 6).alias("members"), F.round(F.avg(F.coalesce("with_data", F.lit(0)) / F.col("members")), 6).alias("coverage"))
     return r.groupBy("arm", F.year("date").cast("long").alias("y")).agg(F.round(F.avg("r"), 6).alias("mean"), F.round(F.avg("names"), 6).alias("names")).join(cover, "y", "left").select("arm", "y", "mean", "names", "members", "coverage")
+
+
+_SLICED = f"SELECT z.slice, m.di, m.date, m.ticker, m.value, f.fwd FROM mom m JOIN fwd f USING (di, ticker) LEFT JOIN {_SNAP} s ON s.y = year(m.date) AND s.ticker = m.ticker JOIN (VALUES ('all'), ('members'), ('others')) z(slice) ON z.slice = 'all' OR (z.slice = 'members') = (s.ticker IS NOT NULL)"
+_BY_SLICE = "rank() OVER (PARTITION BY slice, di ORDER BY {0}) + (count(*) OVER (PARTITION BY slice, di, {0}) - 1) / 2.0"
+
+
+@query(f"SELECT slice, y, round(avg(ic), 6) AS mean_ic, round(avg(ic) / stddev_samp(ic) * sqrt(count(*)), 4) AS t, count(*) AS n FROM (SELECT slice, year(date) AS y, di, corr(a, b) AS ic FROM (SELECT slice, date, di, {_BY_SLICE.format('value')} AS a, {_BY_SLICE.format('fwd')} AS b FROM ({_SLICED})) GROUP BY 1, 2, 3 HAVING count(*) >= 8) WHERE NOT isnan(ic) GROUP BY slice, ROLLUP (y)", "p mom fwd")
+def ic_02(spark, d):
+    """The mean rank correlation by year and over all, for the whole universe, index members and the rest; ranks within each."""
+    p = P(spark, d)
+    both = momentum(p).join(forward(p), ["di", "ticker"]).join(members(p).withColumn("in", F.lit(True)), ["date", "ticker"], "left")
+    slices = F.array(F.lit("all"), F.when(F.col("in"), "members").otherwise("others"))
+    x = both.withColumn("slice", F.explode(slices)).withColumn("day", F.struct("slice", "di"))
+    ranked = x.select("slice", "date", "di", X.average_rank("value", "day").alias("a"), X.average_rank("fwd", "day").alias("b"))
+    ic = ranked.groupBy("slice", F.year("date").cast("long").alias("y"), "di").agg(F.corr("a", "b").alias("ic"), F.count("*").alias("k")).where("k >= 8 and ic is not null and not isnan(ic)")
+    out = [F.round(F.avg("ic"), 6).alias("mean_ic"), F.round(F.avg("ic") / F.stddev_samp("ic") * F.sqrt(F.count("*")), 4).alias("t"), F.count("*").alias("n")]
+    years, all_ = ic.groupBy("slice", "y").agg(*out), ic.groupBy("slice").agg(*out).withColumn("y", F.lit(None).cast("long"))
+    return years.unionByName(all_)

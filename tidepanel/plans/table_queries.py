@@ -111,12 +111,6 @@ def set_03(spark, d):
     return S.table(spark, d, "customer").select(F.col("c_custkey").alias("key")).subtract(S.table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key")))
 
 
-@query("SELECT l_partkey AS key FROM lineitem WHERE l_returnflag = 'R' UNION SELECT p_partkey FROM part WHERE p_size <= 5")
-def set_04(spark, d):
-    back = S.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("key"))
-    return back.unionByName(S.table(spark, d, "part").where("p_size <= 5").select(F.col("p_partkey").alias("key"))).distinct()
-
-
 # --------------------------------------------------------- scalar functions
 
 
@@ -196,11 +190,6 @@ def agg_05(spark, d):
     return counts.crossJoin(counts.agg(F.sum("n").alias("all"))).select("event_type", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))  # one row
 
 
-@query("SELECT quality, count(*) FILTER (toxic = 0) AS clean, count(*) FILTER (toxic = 1) AS toxic FROM labels GROUP BY 1")
-def agg_06(spark, d):
-    return S.table(spark, d, "labels").groupBy("quality").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic"))
-
-
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def agg_12(spark, d):
     return S.table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), count("copies")).drop("h")
@@ -269,9 +258,17 @@ def src_01(spark, d):
     return S.table(spark, d, "lineitem").where("l_quantity >= 45").select("l_orderkey", "l_quantity")
 
 
-@query(S.with_sql("panel recs", "SELECT DISTINCT ticker FROM panel WHERE ticker NOT IN (SELECT ticker FROM recs)"))
+#: The columns that a table must have.
+REQUIRED = ("doc_id", "quality", "toxic", "reviewed", "source")
+
+
+@query("SELECT 'universe' AS gate, doc_id::VARCHAR AS missing FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'schema', c FROM (VALUES " + ", ".join(f"('{c}')" for c in REQUIRED) + ") r(c) WHERE c NOT IN (SELECT column_name FROM (DESCRIBE labels))")
 def qc_04(spark, d):
-    return S.panel(spark, d).select("ticker").distinct().join(S.recommendations(spark, d), "ticker", "left_anti")
+    """What the labels lack: documents without one, and required columns that the table hasn't got."""
+    labels = S.table(spark, d, "labels")
+    rows = S.table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left_anti").select(F.lit("universe").alias("gate"), F.col("doc_id").cast("string").alias("missing"))
+    lacking = [("schema", c) for c in REQUIRED if c not in labels.columns]
+    return rows.unionByName(spark.createDataFrame(lacking, "gate string, missing string"))
 
 
 _SERIES = "CASE o_orderstatus WHEN 'F' THEN 'FEDFUNDS' WHEN 'O' THEN 'UNRATE' ELSE 'CPIAUCSL' END"
