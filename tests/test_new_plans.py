@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidepanel.operators import band as B
 from tidepanel.operators import context as C
 from tidepanel.operators import order as O
+from tidepanel.operators import pairs as PR
 from tidepanel.operators import windows as W
 from tidepanel.plans import context_queries, corpus_queries, model_queries, stream_queries
 from tidepanel.sources import files
@@ -83,6 +84,15 @@ def test_nearest_in_band_equals_all_pairs(spark):
     assert B.nearest_in_band(df.where("pos < 0")).count() == 0 and B.nearest_in_band(df.where("pos = 1")).first().nearest == 0
 
 
+def test_pairs_of_large_keys_are_whole(spark):
+    rows = [("hot", i) for i in range(60)] + [("small", i) for i in range(3)] + [("one", 1)]
+    df = spark.createDataFrame(rows, "key string, id int")
+    for size in (7, 1000):
+        got = [tuple(r) for r in PR.pairs(df, ["key"], "id", rows=size).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(k, i, j) for k, i in rows for q, j in rows if k == q and i < j}
+    assert PR.mirrored(PR.pairs(df, ["key"], "id")).count() == 2 * (60 * 59 // 2 + 3)
+
+
 def item(name, kind, ts, text, key="", tie=0):
     return (name, key, kind, dt.datetime.fromisoformat(ts), tie, text)
 

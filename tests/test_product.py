@@ -8,14 +8,14 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tidepanel.plans import corpus_queries, model_queries, panel_queries, product_queries, stream_queries  # noqa: F401 (adds to panel_queries)
+from tidepanel.plans import context_queries, corpus_queries, model_queries, panel_queries, product_queries, stream_queries  # noqa: F401 (adds to panel_queries)
 
 WHERE = "/root/testdata/sf0.001"
 #: With ten names these have no whole leg, or values at the edge of rounding; they are compared on the next larger tables.
-LARGER = ("met_01", "win_12", "jn_03", "jn_04", "jn_05", "ic_02")
+LARGER = ("met_01", "win_12", "jn_03", "jn_04", "jn_05", "ic_02", "sig_13", "sig_15", "sig_12")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels conversations".split()
-QUERIES = panel_queries.QUERIES | corpus_queries.QUERIES | stream_queries.QUERIES | model_queries.QUERIES
-ORACLE = panel_queries.ORACLE | corpus_queries.ORACLE | stream_queries.ORACLE | model_queries.ORACLE
+QUERIES = panel_queries.QUERIES | corpus_queries.QUERIES | stream_queries.QUERIES | model_queries.QUERIES | context_queries.QUERIES
+ORACLE = panel_queries.ORACLE | corpus_queries.ORACLE | stream_queries.ORACLE | model_queries.ORACLE | context_queries.ORACLE
 
 
 @pytest.fixture(scope="module")

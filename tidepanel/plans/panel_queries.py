@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions import metrics as M
 from tidepanel.operators import asof as A
 from tidepanel.operators import order as O
+from tidepanel.operators import pairs as PR
 from tidepanel.operators import risk as R
 from tidepanel.operators import windows as W
 from tidepanel.operators import xsection as X
@@ -222,12 +223,12 @@ def sig_08(spark, d):
 
 
 def cocoverage(g: DataFrame) -> DataFrame:
-    """(y, src, dst, w): names that shared a firm in the two years before y; a firm of n names adds 1/n. Each pair is joined once, then mirrored."""
+    """(y, src, dst, w): names that shared a firm in the two years before y; a firm of n names adds 1/n. Each pair is made once, then mirrored."""
     x = g.select("date", "ticker", "company", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).select((F.year("date") + F.col("k")).cast("long").alias("y"), "ticker", "company").distinct()
     n = F.count("*").over(Window.partitionBy("y", "company"))
     x = x.withColumn("w", 1.0 / n)
-    half = x.alias("a").join(x.alias("b"), ["y", "company"]).where("a.ticker < b.ticker").groupBy("y", F.col("a.ticker").alias("src"), F.col("b.ticker").alias("dst")).agg(F.sum("a.w").alias("w"))
-    return half.unionByName(half.select("y", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    half = PR.pairs(x, ["y", "company"], "ticker", ["w"]).groupBy("y", "a", "b").agg(F.sum("w").alias("w"))
+    return PR.mirrored(half).withColumnsRenamed({"a": "src", "b": "dst"})
 
 
 @query("SELECT ticker, period, round((2 * sb + b - s - 2 * ss) / nullif(sb + b + h + s + ss, 0)::DOUBLE, 6) AS score FROM recs", "recs")
@@ -282,10 +283,10 @@ def turnover(w: DataFrame, p: DataFrame) -> DataFrame:
     return both.groupBy("di").agg((0.5 * F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("drift", F.lit(0.0))))).alias("turnover"))
 
 
-@query("SELECT di, ticker, round(0.5 * m / v, 6) AS raw, round(CASE WHEN n < 26 THEN 1 ELSE coalesce(greatest(0, least(1, 0.5 * m / nullif(v, 0))), 1) END, 6) AS exposure FROM (SELECT di, 'ls' AS ticker, avg(r) OVER w AS m, var_samp(r) OVER w AS v, count(r) OVER w AS n FROM ls WINDOW w AS (ORDER BY di ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING))".replace("round(0.5 * m / v, 6) AS raw, ", "").replace("di, ticker,", "di,", 1), "ls")
+@query("SELECT di, ticker, round(0.5 * m / v, 6) AS raw, round(CASE WHEN n < 126 THEN 1 ELSE coalesce(greatest(0, least(1, 0.5 * m / nullif(v, 0))), 1) END, 6) AS exposure FROM (SELECT di, 'ls' AS ticker, avg(r) OVER w AS m, var_samp(r) OVER w AS v, count(r) OVER w AS n FROM ls WINDOW w AS (ORDER BY di ROWS BETWEEN 126 PRECEDING AND 1 PRECEDING))".replace("round(0.5 * m / v, 6) AS raw, ", "").replace("di, ticker,", "di,", 1), "ls")
 def rsk_03(spark, d):
     p = P(spark, d)
-    return R.kelly(one(ls_returns(p, momentum(p))), n=26).select("di", *r6("exposure"))
+    return R.kelly(one(ls_returns(p, momentum(p))), n=126).select("di", *r6("exposure"))
 
 
 def _streams(spark, d) -> DataFrame:

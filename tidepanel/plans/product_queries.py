@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import metrics as M
 from tidepanel.operators import asof as A
+from tidepanel.operators import pairs as PR
 from tidepanel.operators import risk as R
 from tidepanel.operators import windows as W
 from tidepanel.operators import xsection as X
@@ -222,15 +223,15 @@ def sig_12(spark, d):
 @query("""SELECT di, ticker, round((s - CASE WHEN lead3 THEN r ELSE 0 END) / (k - lead3::INT), 6) AS value FROM (
     SELECT *, sum(CASE WHEN lead3 THEN r END) OVER (PARTITION BY di, ind) AS s, sum(lead3::INT) OVER (PARTITION BY di, ind) AS k FROM (
         SELECT *, row_number() OVER (PARTITION BY di, ind ORDER BY dv DESC, ticker) <= 3 AS lead3, count(*) OVER (PARTITION BY di, ind) AS n FROM (
-            SELECT o.di, o.ticker, n_regionkey AS ind, m.value AS r, CASE WHEN count(dv0) OVER w >= 13 THEN avg(dv0) OVER w END AS dv FROM (SELECT *, close * volume AS dv0 FROM p) o JOIN nation ON n_nationkey = o.ticker LEFT JOIN mom5 m ON m.di = o.di AND m.ticker = o.ticker WINDOW w AS (PARTITION BY o.ticker ORDER BY o.di ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)
-        ) WHERE dv IS NOT NULL AND r IS NOT NULL) WHERE n >= 4) WHERE k - lead3::INT >= 2""", "p mom5")
+            SELECT o.di, o.ticker, n_regionkey AS ind, m.value AS r, CASE WHEN count(dv0) OVER w >= 40 THEN avg(dv0) OVER w END AS dv FROM (SELECT *, close * volume AS dv0 FROM p) o JOIN nation ON n_nationkey = o.ticker LEFT JOIN mom5 m ON m.di = o.di AND m.ticker = o.ticker WINDOW w AS (PARTITION BY o.ticker ORDER BY o.di ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)
+        ) WHERE dv IS NOT NULL AND r IS NOT NULL) WHERE n >= 5) WHERE k - lead3::INT >= 2""", "p mom5")
 def sig_13(spark, d):
     p = P(spark, d).withColumn("dv0", F.col("close") * F.col("volume"))
-    x = W.shift_calendar(p, "close", 5, "b").withColumn("dv", W.rolling(F.avg, "dv0", 21, 13)).withColumn("r", F.col("close") / F.col("b") - 1)
+    x = W.shift_calendar(p, "close", 5, "b").withColumn("dv", W.rolling(F.avg, "dv0", 63, 40)).withColumn("r", F.col("close") / F.col("b") - 1)
     names = S.table(spark, d, "nation").select(F.col("n_nationkey").alias("ticker"), F.col("n_regionkey").alias("ind"))
     x = x.join(names, "ticker").where("dv is not null and r is not null")
     w = Window.partitionBy("di", "ind")
-    x = x.withColumn("lead", (F.row_number().over(w.orderBy(F.desc("dv"), "ticker")) <= 3).cast("int")).withColumn("n", F.count("*").over(w)).where("n >= 4")
+    x = x.withColumn("lead", (F.row_number().over(w.orderBy(F.desc("dv"), "ticker")) <= 3).cast("int")).withColumn("n", F.count("*").over(w)).where("n >= 5")
     x = x.withColumn("s", F.sum(F.col("lead") * F.col("r")).over(w)).withColumn("k", F.sum("lead").over(w)).where("k - lead >= 2")
     return x.select("di", "ticker", F.round((F.col("s") - F.col("lead") * F.col("r")) / (F.col("k") - F.col("lead")), 6).alias("value"))
 
@@ -251,9 +252,9 @@ def sig_14(spark, d):
     return X.residual_rank(three(P(spark, d)), "y", "x1").select("di", "ticker", *r6("residual"))
 
 
-@query(f"SELECT di, ticker, round(y - (s1y * s22 - s2y * s12) / det * a - (s2y * s11 - s1y * s12) / det * b, 6) AS residual FROM (SELECT *, s11 * s22 - s12 * s12 AS det FROM (SELECT di, ticker, y, a, b, n, sum(a * a) OVER w AS s11, sum(b * b) OVER w AS s22, sum(a * b) OVER w AS s12, sum(a * y) OVER w AS s1y, sum(b * y) OVER w AS s2y FROM (SELECT di, ticker, y - avg(y) OVER v AS y, x1 - avg(x1) OVER v AS a, x2 - avg(x2) OVER v AS b, count(*) OVER v AS n FROM {_THREE} WINDOW v AS (PARTITION BY di)) WINDOW w AS (PARTITION BY di)) WHERE n >= 8)", "mom mom21 mom5")
+@query(f"SELECT di, ticker, round(y - (s1y * s22 - s2y * s12) / det * a - (s2y * s11 - s1y * s12) / det * b, 6) AS residual FROM (SELECT *, s11 * s22 - s12 * s12 AS det FROM (SELECT di, ticker, y, a, b, n, sum(a * a) OVER w AS s11, sum(b * b) OVER w AS s22, sum(a * b) OVER w AS s12, sum(a * y) OVER w AS s1y, sum(b * y) OVER w AS s2y FROM (SELECT di, ticker, y - avg(y) OVER v AS y, x1 - avg(x1) OVER v AS a, x2 - avg(x2) OVER v AS b, count(*) OVER v AS n FROM {_THREE} WINDOW v AS (PARTITION BY di)) WINDOW w AS (PARTITION BY di)) WHERE n >= 20)", "mom mom21 mom5")
 def sig_15(spark, d):
-    return X.residual_ols(three(P(spark, d)), "y", "x1", "x2", 8).where("residual is not null").select("di", "ticker", *r6("residual"))
+    return X.residual_ols(three(P(spark, d)), "y", "x1", "x2", 20).where("residual is not null").select("di", "ticker", *r6("residual"))
 
 
 # --------------------------------------------------------------- portfolios
@@ -621,10 +622,10 @@ def ic_11(spark, d):
     return said(spark, d).groupBy("said", "cls").agg(F.count("*").alias("n"))
 
 
-@query("SELECT y, count(*) AS n, round(avg(r) * 252, 6) AS ann, round(avg(-r) FILTER (-r >= q), 6) AS cvar, round(avg(exposure), 6) AS exposure FROM (SELECT *, quantile_cont(-r, 0.85) OVER (PARTITION BY y) AS q FROM (SELECT year(date) AS y, r, CASE WHEN count(r) OVER w < 26 THEN 1 ELSE coalesce(greatest(0, least(1, 0.5 * avg(r) OVER w / nullif(var_samp(r) OVER w, 0))), 1) END AS exposure FROM ls WINDOW w AS (ORDER BY di ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING))) GROUP BY y", "ls")
+@query("SELECT y, count(*) AS n, round(avg(r) * 252, 6) AS ann, round(avg(-r) FILTER (-r >= q), 6) AS cvar, round(avg(exposure), 6) AS exposure FROM (SELECT *, quantile_cont(-r, 0.85) OVER (PARTITION BY y) AS q FROM (SELECT year(date) AS y, r, CASE WHEN count(r) OVER w < 126 THEN 1 ELSE coalesce(greatest(0, least(1, 0.5 * avg(r) OVER w / nullif(var_samp(r) OVER w, 0))), 1) END AS exposure FROM ls WINDOW w AS (ORDER BY di ROWS BETWEEN 126 PRECEDING AND 1 PRECEDING))) GROUP BY y", "ls")
 def met_03_windows(spark, d):
     p = P(spark, d)
-    x = R.kelly(one(ls_returns(p, momentum(p))), n=26).withColumn("y", F.year("date").cast("long"))
+    x = R.kelly(one(ls_returns(p, momentum(p))), n=126).withColumn("y", F.year("date").cast("long"))
     x = x.withColumn("q", F.percentile(-F.col("r"), 0.85).over(Window.partitionBy("y")))
     return x.groupBy("y").agg(F.count("*").alias("n"), F.round(F.avg("r") * 252, 6).alias("ann"), F.round(F.avg(F.when(-F.col("r") >= F.col("q"), -F.col("r"))), 6).alias("cvar"), F.round(F.avg("exposure"), 6).alias("exposure"))
 
@@ -659,7 +660,7 @@ def jn_02(spark, d):
 @query("SELECT DISTINCT a.y, a.company, a.ticker AS a, b.ticker AS b FROM (SELECT DISTINCT year(date) AS y, ticker, company FROM grades) a JOIN (SELECT DISTINCT year(date) AS y, ticker, company FROM grades) b ON a.y = b.y AND a.company = b.company AND a.ticker <> b.ticker", "grades")
 def jn_10(spark, d):
     x = S.grades(spark, d).select(F.year("date").cast("long").alias("y"), "company", "ticker").distinct()
-    return x.select("y", "company", F.col("ticker").alias("a")).join(x.select("y", "company", F.col("ticker").alias("b")), ["y", "company"]).where("a <> b")
+    return PR.mirrored(PR.pairs(x, ["y", "company"], "ticker"))
 
 
 @query("SELECT bps, lag, round(avg(r - bps / 10000.0), 6) AS mean FROM (SELECT bps, lag, w.di + lag AS di, sum(weight * coalesce(fwd, 0)) AS r FROM quint w CROSS JOIN (VALUES (5), (10)) a(bps) CROSS JOIN (VALUES (0), (1)) b(lag) LEFT JOIN fwd ON fwd.di = w.di + lag AND fwd.ticker = w.ticker GROUP BY 1, 2, 3) GROUP BY 1, 2", "quint fwd")

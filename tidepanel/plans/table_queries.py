@@ -232,10 +232,10 @@ def top_04(spark, d):
 # ------------------------------------------------------------ quality gates
 
 
-@query(S.with_sql("own", "SELECT di, ticker FROM (SELECT di, ticker, ln(close) - ln(lag(close) OVER (PARTITION BY ticker ORDER BY di)) AS j FROM p) WHERE abs(j) > 0.05"))
+@query(S.with_sql("own", "SELECT di, ticker FROM (SELECT di, ticker, ln(close) - ln(lag(close) OVER (PARTITION BY ticker ORDER BY di)) AS j FROM p) WHERE abs(j) > 0.5"))
 def qc_02(spark, d):
     jump = F.ln("close") - F.ln(F.lag("close").over(Window.partitionBy("ticker").orderBy("di")))
-    return P(spark, d).select("di", "ticker", jump.alias("j")).where("abs(j) > 0.05").select("di", "ticker")
+    return P(spark, d).select("di", "ticker", jump.alias("j")).where("abs(j) > 0.5").select("di", "ticker")
 
 
 @query("SELECT count(*) AS n, count(*) - count(l_shipdate) AS no_date, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS repeated FROM lineitem")
