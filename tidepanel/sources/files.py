@@ -61,7 +61,9 @@ def replies(cache: DataFrame) -> DataFrame:
 
 #: Zones that times of feeds may name, as hours and minutes from Greenwich.
 ZONES = {"GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
-_FEED = "channel struct<item: array<struct<title: string, link: string, source: struct<_VALUE: string, _url: string>, pubDate: string>>>, broken string"
+_ITEMS = "array<struct<title: string, link: string, source: struct<_VALUE: string, _url: string>, pubDate: string>>"
+#: Items stand in a channel, or beside it.
+_FEED = f"channel struct<item: {_ITEMS}>, item {_ITEMS}, broken string"
 
 
 def feed_time(said: Column) -> Column:
@@ -82,7 +84,8 @@ def feed_items(feeds: DataFrame, text: str) -> DataFrame:
     kept = [c for c in feeds.columns if c != text]
     parsed = feeds.withColumn("_xml", F.from_xml(text, _FEED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken", "ignoreNamespace": "true"}))
     bad = F.col("_xml").isNull() | F.col("_xml.broken").isNotNull()
-    items = F.when(~bad, F.col("_xml.channel.item"))
+    none = F.array().cast(_ITEMS.replace(": ", ":"))
+    items = F.when(~bad, F.concat(F.coalesce("_xml.channel.item", none), F.coalesce("_xml.item", none)))
     rows = parsed.where(F.col(text).isNotNull()).select(*kept, bad.alias("broken"), F.explode_outer(items).alias("item"))
     clean = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     rows = rows.select(*kept, "broken", clean("item.title").alias("headline"), clean("item.source._VALUE").alias("source"), clean("item.link").alias("url"), feed_time(F.col("item.pubDate")).alias("published"))
