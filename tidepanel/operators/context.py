@@ -84,7 +84,7 @@ def sections(asked: DataFrame, items: DataFrame, rich: bool = False, events: int
     Each concept of fundamentals and each series is a key of its own, of which the latest counts.
     """
     of = kinds(rich, events)
-    asked = asked.select(F.col("ticker").cast("string").alias("name"), "as_of").distinct()
+    asked = stored(asked.select(F.col("ticker").cast("string").alias("name"), "as_of").distinct(), "asked")
     keys = items.select("name", "key", "kind").distinct()
     own = asked.join(keys.where("name <> '*'"), "name").select("name", "key", "kind", "as_of")
     shared = asked.select("as_of").distinct().crossJoin(keys.where("name = '*'")).select("name", "key", "kind", "as_of")  # a row a series and day

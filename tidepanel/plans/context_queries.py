@@ -68,12 +68,21 @@ INDICATORS = {"close_50_sma": "sma50", "close_200_sma": "sma200", "close_10_ema"
 BARS = 15
 
 
-def priced(spark, d) -> DataFrame:
+def panel(spark, d) -> DataFrame:
+    """The panel, stored, since bars and indicators each read it."""
+    return stored(P(spark, d), "panel")
+
+
+def all_indicators(p: DataFrame) -> DataFrame:
+    return corpus_queries.indicators(p).join(model_queries.more_indicators(p), ["ticker", "di"])
+
+
+def priced(p: DataFrame) -> DataFrame:
     """(ticker, date, bars, found): at each bar the last 15 bars as lines of text and the indicators of the day."""
     w = Window.partitionBy("ticker").orderBy("di")
     bar = F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(" | "), F.array_join(F.array(*(abbreviated(F.col(c).cast("double")) for c in ("open", "high", "low", "close", "volume"))), " "))
-    lines = P(spark, d).select("ticker", "di", "date", F.collect_list(bar).over(w.rowsBetween(1 - BARS, 0)).alias("bars"))
-    x = lines.join(corpus_queries.QUERIES["ind_01"](spark, d), ["ticker", "di"]).join(model_queries.QUERIES["ind_01_rest"](spark, d), ["ticker", "di"])
+    lines = p.select("ticker", "di", "date", F.collect_list(bar).over(w.rowsBetween(1 - BARS, 0)).alias("bars"))
+    x = lines.join(all_indicators(p), ["ticker", "di"])
     found = F.array(*(F.concat(F.lit(f"  {name}: "), abbreviated(F.col(c))) for name, c in INDICATORS.items()))
     return x.select("ticker", "date", "bars", found.alias("found"))
 
@@ -108,7 +117,7 @@ _ASKED_PRICES = f"(SELECT n_nationkey AS ticker, anchor AS as_of FROM nation, ({
 def ctx_02(spark, d):
     """Every nation on every Friday of a year and the weeks before the first bar."""
     asked = S.table(spark, d, "nation").select(F.col("n_nationkey").alias("ticker")).crossJoin(F.broadcast(fridays(spark, "1994-12-16", "1995-12-29"))).withColumnRenamed("anchor", "as_of")  # a row a week
-    return snapshots(asked, priced(spark, d)).withColumn("hash", F.substring(F.sha1("snapshot"), 1, 12))
+    return snapshots(asked, priced(panel(spark, d))).withColumn("hash", F.substring(F.sha1("snapshot"), 1, 12))
 
 
 # -------------------------------------------------------------------- contexts
@@ -222,9 +231,8 @@ _INSTRUCTION = "Read what was known and choose one of: STRONG_BUY, BUY, HOLD, SE
 _GRID = f"(SELECT ticker, date, signal FROM sig JOIN {REBALANCE} USING (date) WHERE signal IS NOT NULL ORDER BY md5(ticker || '|' || strftime(date, '%Y-%m-%d') || '|{SEED}'), ticker, date LIMIT {POINTS})"
 
 
-def evaluation_grid(spark, d) -> DataFrame:
+def evaluation_grid(spark, p: DataFrame) -> DataFrame:
     """(ticker, date, signal): names on rebalance days where the truth is defined; a seeded sample of them."""
-    p = P(spark, d)
     grid = signal(p).where("signal is not null").join(rebalance_days(spark, p, START, END), "date")
     draw = F.md5(F.concat_ws("|", F.col("ticker").cast("string"), F.date_format("date", "yyyy-MM-dd"), F.lit(SEED)))
     return grid.orderBy(draw, "ticker", "date").limit(POINTS).select("ticker", "date", "signal")
@@ -233,8 +241,9 @@ def evaluation_grid(spark, d) -> DataFrame:
 @query(S.with_sql("sig", f", {items_sql()}, grid AS {_GRID} SELECT g.ticker, strftime(g.date, '%Y-%m-%d') AS as_of, round(g.signal, 6) AS signal, '{_INSTRUCTION}' || chr(10) || chr(10) || s.snapshot AS price_only, '{_INSTRUCTION}' || chr(10) || chr(10) || s.snapshot || chr(10) || chr(10) || c.context AS multimodal FROM grid g JOIN {snapshot_sql('(SELECT ticker, date AS as_of FROM grid)')} s ON s.ticker = g.ticker AND s.as_of = g.date JOIN {context_sql(f'(SELECT ticker::VARCHAR AS ticker, date + INTERVAL {SHIFT} MONTH AS as_of FROM grid)')} c ON c.ticker = g.ticker::VARCHAR AND c.as_of = g.date + INTERVAL {SHIFT} MONTH WHERE NOT contains(s.snapshot, 'no data')").replace(") , news", "), news", 1))
 def ctx_03(spark, d):
     """Points of the grid with their truth and both prompts: prices alone, and with what was known then."""
-    grid = stored(evaluation_grid(spark, d), "grid")
-    shots = snapshots(grid.select("ticker", F.col("date").alias("as_of")), priced(spark, d)).where(~F.col("snapshot").contains("no data"))
+    p = panel(spark, d)
+    grid = stored(evaluation_grid(spark, p), "grid")
+    shots = stored(snapshots(grid.select("ticker", F.col("date").alias("as_of")), priced(p)).where(~F.col("snapshot").contains("no data")), "shots")
     then = F.add_months("as_of", SHIFT).cast("timestamp_ntz")
     known = C.sections(shots.select("ticker", then.alias("as_of")), items(spark, d)).select(F.col("ticker").alias("name"), F.col("as_of").alias("then"), "context")
     head = F.lit(_INSTRUCTION + "\n\n")
@@ -255,7 +264,8 @@ _BODY = f"' the trend is ' || {_TONE} || ': the price stands at its means of 50
 @query(S.with_sql("lab", f"SELECT ticker, di, CASE {_HEX} WHEN 0 THEN '{OPENERS[0]}' WHEN 1 THEN '{OPENERS[1]}' ELSE '{OPENERS[2]}' END || {_BODY} AS completion FROM (SELECT lab.*, sma50, rsi14, sma200, macd, sha1(lab.ticker || '|' || lab.di) AS h FROM lab JOIN ({corpus_queries.ORACLE['ind_01']}) a USING (ticker, di) JOIN ({model_queries.ORACLE['ind_01_rest']}) b USING (ticker, di))"))
 def cor_04(spark, d):
     """A completion for each label, grounded in the day's indicators; a hash of the key chooses the opener."""
-    x = classes(signal(P(spark, d))).join(corpus_queries.QUERIES["ind_01"](spark, d), ["ticker", "di"]).join(model_queries.QUERIES["ind_01_rest"](spark, d), ["ticker", "di"])
+    p = panel(spark, d)
+    x = classes(signal(p)).join(all_indicators(p), ["ticker", "di"])
     # 16 = 1 (mod 3), so the number's remainder is that of the sum of its hex digits
     x = x.withColumn("h", F.sha1(F.concat_ws("|", "ticker", "di"))).withColumn("k", F.expr("aggregate(sequence(1, 40), 0, (t, i) -> t + locate(substr(h, i, 1), '0123456789abcdef') - 1) % 3 + 1"))
     told = lambda i: F.element_at(F.create_map(*(F.lit(y) for k, v in TONES.items() for y in (k, v[i]))), F.col("cls"))

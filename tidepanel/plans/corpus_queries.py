@@ -367,9 +367,13 @@ def cor_16(spark, d):
     FROM (SELECT *, close - lag(close) OVER (PARTITION BY ticker ORDER BY di) AS ch, greatest(high - low, abs(high - lag(close) OVER (PARTITION BY ticker ORDER BY di)), abs(low - lag(close) OVER (PARTITION BY ticker ORDER BY di))) AS tr FROM p)
     WINDOW v AS (PARTITION BY ticker ORDER BY di), w50 AS (PARTITION BY ticker ORDER BY di ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), w20 AS (PARTITION BY ticker ORDER BY di ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), w14 AS (PARTITION BY ticker ORDER BY di ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)"""))
 def ind_01(spark, d):
+    return indicators(P(spark, d))
+
+
+def indicators(p: DataFrame) -> DataFrame:
     """Indicators of each name and day by their textbook definitions; whole windows only."""
     before = W.shift_own("close", 1)
-    x = P(spark, d).withColumns({"ch": F.col("close") - before, "tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))})
+    x = p.withColumns({"ch": F.col("close") - before, "tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))})
     x = x.withColumns({"rise": F.greatest("ch", F.lit(0.0)), "move": F.abs("ch")})
     mid, sd = W.rolling(F.avg, "close", 20), W.rolling(F.stddev_samp, "close", 20)
     low, high = W.rolling(F.min, "low", 14), W.rolling(F.max, "high", 14)

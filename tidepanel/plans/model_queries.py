@@ -372,8 +372,12 @@ _INDICATORS = f""", {_ROWS}, k AS (SELECT *, CASE WHEN count(*) OVER n9 = 9 THEN
 
 @query(S.with_sql("p", _INDICATORS))
 def ind_01_rest(spark, d):
+    return more_indicators(P(spark, d))
+
+
+def more_indicators(p: DataFrame) -> DataFrame:
     """The indicators beside ind_01's: means with weights fading by the row, flows and directions over 14 rows; whole windows only."""
-    x = P(spark, d).withColumn("tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
+    x = p.withColumn("tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
     x = x.withColumns({"up": F.col("high") - W.shift_own("high", 1), "dn": W.shift_own("low", 1) - F.col("low"), "step": F.col("tp") - W.shift_own("tp", 1)})
     part = lambda c, v: F.when(c, v).when(F.col("up").isNotNull(), 0.0)
     x = x.withColumns(
