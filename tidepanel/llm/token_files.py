@@ -58,14 +58,14 @@ class Encoder:
     given whole texts.
     """
 
-    def __init__(self, path: str, end: int | None = 0, most: int = 1_000_000):
+    def __init__(self, path: str, end: int | None = 0, most: int = 1_400_000):
         import tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = tokenizers.Tokenizer.from_file(path)
         self.kind = "<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.end = b"" if end is None else np.array([end], self.kind).tobytes()
-        self.most, self.kept = most, {}
+        self.most, self.kept, self.older = most, {}, {}
         split = str(self.model.pre_tokenizer)
         #: Bytes of each token: byte-level tokens have a character a byte.
         words = self.model.get_vocab(with_added_tokens=True)
@@ -74,10 +74,13 @@ class Encoder:
         self.cut = self.model.normalizer is None and split.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in split
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.kept) + len(new) > self.most:
-            self.kept = {}
+        """Keep the ids of pieces. Of two generations the older goes when the newer is half of `most`; what is used comes over."""
+        if len(self.kept) + len(new) > self.most // 2:
+            self.kept, self.older = {}, self.kept
+        again = self.older.keys() & new
+        self.kept.update(zip(again, map(self.older.__getitem__, again)))
         alone, joined = [], []
-        for p in new:
+        for p in new - again:
             (joined if _WORD.fullmatch(p) else alone).append(p)
         for lo in range(0, len(alone), 4096):
             self._each(alone[lo : lo + 4096])
