@@ -216,5 +216,9 @@ def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: lines that stand earlier go; documents that lose all their lines go too."""
-    out = dedup(docs).where("n_lines > n_dropped or n_lines = 0")
-    return out.drop("n_lines", "n_dropped").withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out.drop("n_lines", "n_dropped")
+    # dedup's counts have names that columns of docs may have too; these step aside
+    own = [c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")]
+    aside = dict(zip(own, shared.free_names(docs.columns, *(f"{c}_own" for c in own)), strict=True))
+    out = dedup(docs.withColumnsRenamed(aside)).where("n_lines > n_dropped or n_lines = 0").drop("n_lines", "n_dropped")
+    out = out.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
