@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidepanel.operators import asof as A
 from tidepanel.operators import band as B
 from tidepanel.operators import context as C
 from tidepanel.operators import order as O
@@ -84,6 +85,24 @@ def test_nearest_in_band_equals_all_pairs(spark):
     assert B.nearest_in_band(df.where("pos < 0")).count() == 0 and B.nearest_in_band(df.where("pos = 1")).first().nearest == 0
 
 
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_spread_asof_equals_a_search(spark, direction, inclusive):
+    rng = np.random.default_rng(8)
+    key = lambda: None if rng.random() < 0.05 else ("hot" if rng.random() < 0.8 else "cold")
+    start = dt.date(2024, 1, 1)
+    left = [(i, key(), start + dt.timedelta(int(rng.integers(60)))) for i in range(300)]
+    right = [(key(), start + dt.timedelta(int(rng.integers(60))), int(k)) for k in rng.permutation(90)]
+    l, r = spark.createDataFrame(left, "id int, key string, day date"), spark.createDataFrame(right, "key string, at date, v int")
+    got = {x.id: (x.matched, x.v) for x in A.asof(l, r, ["key"], "day", "at", ["v"], direction=direction, inclusive=inclusive, tie="v", spread=True).collect()}
+    plain = {x.id: (x.matched, x.v) for x in A.asof(l, r, ["key"], "day", "at", ["v"], direction=direction, inclusive=inclusive, tie="v").collect()}
+    assert got == plain and len(got) == 300
+    for i, k, day in left:
+        fits = [(at, v) for q, at, v in right if q == k and ((at < day or inclusive and at == day) if direction == "backward" else (at > day or inclusive and at == day))]
+        best = (max if direction == "backward" else min)(fits, default=(None, None))
+        assert got[i][0] == best[0] and (direction == "forward" or got[i][1] == best[1])
+
+
 def test_pairs_of_large_keys_are_whole(spark):
     rows = [("hot", i) for i in range(60)] + [("small", i) for i in range(3)] + [("one", 1)]
     df = spark.createDataFrame(rows, "key string, id int")

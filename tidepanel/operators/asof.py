@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.operators.order import carried
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], direction: str = "backward", inclusive: bool = True, tolerance_days: int | None = None, tie: str | None = None) -> DataFrame:
+
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], direction: str = "backward", inclusive: bool = True, tolerance_days: int | None = None, tie: str | None = None, spread: bool = False) -> DataFrame:
     """left plus right's values and `matched`, the time of the event found (null if none).
 
     backward takes the latest event at or before left_ts (before it, if not inclusive), forward the earliest at or after
     it. tolerance_days drops older finds. Of events of one time the one of the largest `tie` counts.
+
+    With `spread` a key may hold any share of the rows: they are range-partitioned by key and time, and partitions hand on what
+    they end with. Without it a key's rows are one task's, which takes one shuffle less.
     """
     forward = direction == "forward"
     event = F.struct(F.col(right_ts).alias("matched"), *values)
@@ -19,9 +24,15 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_t
     ties = F.col(tie).cast("double") if tie else F.lit(0.0)
     events = right.select(*by, F.col(right_ts).alias("at"), F.lit(tag).alias("tag"), ties.alias("tie"), event.alias("event"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("row"))
     rows = left.select(*by, F.col(left_ts).alias("at"), F.lit(1).alias("tag"), F.lit(0.0).alias("tie"), F.lit(None).cast(events.schema["event"].dataType).alias("event"), F.struct(*left.columns).alias("row"))
-    order = [F.desc("at") if forward else F.asc("at"), F.asc("tag"), F.desc("tie") if forward else F.asc("tie")]
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = events.unionByName(rows).withColumn("event", F.last("event", ignorenulls=True).over(w)).where("row is not null")
+    both = events.unionByName(rows)
+    if spread:
+        # forward is the same order from its end: rows before the events of their time, the largest tie first
+        both = both.withColumn("tag", -F.col("tag") if forward else F.col("tag"))
+        found = carried(both, by, ["at", "tag", "tie"], "event", backward=forward).where("row is not null")
+    else:
+        order = [F.desc("at") if forward else F.asc("at"), F.asc("tag"), F.desc("tie") if forward else F.asc("tie")]
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("event", F.last("event", ignorenulls=True).over(w)).where("row is not null")
     out = found.select("row.*", "event.*")
     if tolerance_days is not None:
         near = F.abs(F.datediff(F.col(left_ts), F.col("matched"))) <= tolerance_days

@@ -23,6 +23,15 @@ def numbered(df: DataFrame, order: list[str], name: str = "pos", by: str | None
     return kept.join(runs, [*keys, "_part"]).select(*df.columns, (F.col("_row") - F.col("_first") + F.col("_past")).alias(name))
 
 
+def _met(kept: DataFrame, runs: DataFrame, by: list[str]) -> DataFrame:
+    """kept with the columns of its runs, a row a key and partition; null keys are keys too."""
+    named = runs.withColumnsRenamed({c: f"_of_{c}" for c in (*by, "_part")})
+    on = F.col("_part") == F.col("_of__part")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return kept.join(named, on).drop(*(f"_of_{c}" for c in (*by, "_part")))
+
+
 def running(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """df plus the running sum of a value over each key's rows in order, the row's own counted.
 
@@ -33,7 +42,22 @@ def running(df: DataFrame, by: list[str], order: list[str], value: str, name: st
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = kept.groupBy(*by, "_part").agg(F.sum(value).alias("_sum")).withColumn("_past", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     within = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return kept.withColumn(name, F.sum(value).over(within)).join(runs, [*by, "_part"]).withColumn(name, F.col(name) + F.col("_past")).drop("_part", "_past")
+    return _met(kept.withColumn(name, F.sum(value).over(within)), runs, by).withColumn(name, F.col(name) + F.col("_past")).drop("_part", "_past")
+
+
+def carried(df: DataFrame, by: list[str], order: list[str], value: str, backward: bool = False) -> DataFrame:
+    """df with the last value so far (backward: the next one), nulls passed over, in each key's order; the row's own counts.
+
+    As `running`: a key of any size is spread over range partitions, and each starts from what the partitions before end with.
+    """
+    kept = stored(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "carried")
+    there = F.when(F.col(value).isNotNull(), F.struct(*order))
+    runs = kept.groupBy(*by, "_part").agg((F.min_by if backward else F.max_by)(value, there).alias("_end"))
+    part, rows = (F.desc("_part") if backward else F.asc("_part")), Window.partitionBy(*by)
+    runs = runs.withColumn("_past", F.last("_end", ignorenulls=True).over(rows.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+    turn = F.desc if backward else F.asc
+    within = Window.partitionBy(*by, "_part").orderBy(*map(turn, order)).rowsBetween(Window.unboundedPreceding, 0)
+    return _met(kept.withColumn("_own", F.last(value, ignorenulls=True).over(within)), runs, by).withColumn(value, F.coalesce("_own", "_past")).drop("_part", "_past", "_own")
 
 
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
