@@ -65,10 +65,12 @@ def newest(asked: DataFrame, items: DataFrame, kinds: dict[str, list[Bucket]]) -
     return asked_for.join(counted.where("tag = 1").select("name", "key", "kind", "place", "item"), ["name", "key", "kind", "place"]).drop("place")
 
 
-#: News: three spans with their caps, or all of 60 days.
+#: Spans of news with their caps, or all of 60 days; days and caps of the other kinds; titles of the sections and the line of an empty one.
 NEWS = [Bucket("≤3d", NOW, Edge(4), 10), Bucket("4-10d", Edge(4), Edge(11), 20), Bucket("11-30d", Edge(11), Edge(30, True), 20)]
 RICH = [Bucket("", NOW, Edge(60, True), None)]
 LATEST = [Bucket("", NOW, None, 1)]
+TITLES = {"news": "NEWS (last {0}d)", "fundamental": "FUNDAMENTALS (latest filed)", "sentiment": "SENTIMENT", "macro": "MACRO (latest)"}
+NONE = "  none"
 
 
 def kinds(rich: bool = False, events: int = 12) -> dict[str, list[Bucket]]:
@@ -97,16 +99,16 @@ def sections(asked: DataFrame, items: DataFrame, rich: bool = False, events: int
 
     def section(title: str, *parts: Column) -> Column:
         rows = F.concat(*(F.coalesce(p, none) for p in parts))
-        return F.concat(F.array(F.lit(f"=== {title} ===")), F.when(F.size(rows) == 0, F.array(F.lit("  none"))).otherwise(rows))
+        return F.concat(F.array(F.lit(f"=== {title} ===")), F.when(F.size(rows) == 0, F.array(F.lit(NONE))).otherwise(rows))
 
     def span(k: int, tag: str) -> Column:
         rows = text("news", bucket=k)
         return F.when(F.size(rows) > 0, F.concat(F.array(F.lit(f"  [{tag}]")), rows)) if tag else rows
 
     out = F.concat(
-        section(f"NEWS (last {60 if rich else 30}d)", *(span(k, b.tag) for k, b in enumerate(of["news"]))),
-        section("FUNDAMENTALS (latest filed)", text("fundamental")),
-        section("SENTIMENT", text("analyst"), text("insider")),
-        section("MACRO (latest)", text("macro", "macro")),
+        section(TITLES["news"].format(60 if rich else 30), *(span(k, b.tag) for k, b in enumerate(of["news"]))),
+        section(TITLES["fundamental"], text("fundamental")),
+        section(TITLES["sentiment"], text("analyst"), text("insider")),
+        section(TITLES["macro"], text("macro", "macro")),
     )
     return x.select(F.col("name").alias("ticker"), "as_of", F.array_join(out, "\n").alias("context"))

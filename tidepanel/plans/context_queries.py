@@ -128,7 +128,10 @@ def month_shifted(c: str) -> Column:
 
 
 def items(spark, d, with_summary: bool = False) -> DataFrame:
-    """(name, key, kind, ts, tie, item): a line of text for each item of the five kinds, with the time from which it was known."""
+    """(name, key, kind, ts, tie, item): a line of text for each item of the five kinds, with the time from which it was known.
+
+    The forms of the lines are fixed values.
+    """
     t = lambda n: S.table(spark, d, n)
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     none, text = F.lit(""), F.translate(F.coalesce("text", F.lit("")), "\n\r\t", "   ")
