@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from tidepanel.sources.files import stored
 
 
+def _met(kept: DataFrame, runs: DataFrame, by: list[str]) -> DataFrame:
+    """kept with the columns of its runs, a row a key and partition; null keys are keys too."""
+    named = runs.withColumnsRenamed({c: f"_of_{c}" for c in (*by, "_part")})
+    on = F.col("_part") == F.col("_of__part")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return kept.join(named, on).drop(*(f"_of_{c}" for c in (*by, "_part")))
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "pos", by: str | None = None) -> DataFrame:
     """df plus each row's place from 0 in the order (of its key), which should be total.
 
@@ -20,16 +29,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "pos", by: str | None
     runs = kept.groupBy(*keys, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_past", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return kept.join(runs, [*keys, "_part"]).select(*df.columns, (F.col("_row") - F.col("_first") + F.col("_past")).alias(name))
-
-
-def _met(kept: DataFrame, runs: DataFrame, by: list[str]) -> DataFrame:
-    """kept with the columns of its runs, a row a key and partition; null keys are keys too."""
-    named = runs.withColumnsRenamed({c: f"_of_{c}" for c in (*by, "_part")})
-    on = F.col("_part") == F.col("_of__part")
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    return kept.join(named, on).drop(*(f"_of_{c}" for c in (*by, "_part")))
+    return _met(kept, runs, keys).select(*df.columns, (F.col("_row") - F.col("_first") + F.col("_past")).alias(name))
 
 
 def running(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
@@ -79,7 +79,7 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     return kept
 
 
-def places(x: DataFrame, cls: str, day: str, tie: str) -> DataFrame:
+def places(x: DataFrame, cls: str, day: str) -> DataFrame:
     """x plus `before` (rows of the class on earlier days), `held` (rows of it on this day) and `n` (all of it).
 
     Counts by class and day are few; the windows run over these alone, whatever the size of a class.
@@ -96,7 +96,7 @@ def first_of_each(x: DataFrame, caps: DataFrame, cls: str, day: str, tie: str) -
 
     Days before the border come whole; only the border day, where the cap falls, is ranked.
     """
-    placed = places(x, cls, day, tie).join(F.broadcast(caps), cls).where("before < cap")  # a row a class
+    placed = places(x, cls, day).join(F.broadcast(caps), cls).where("before < cap")  # a row a class
     whole = placed.where("before + held <= cap")
     cut = placed.where("before + held > cap").withColumn("_k", F.row_number().over(Window.partitionBy(cls, day).orderBy(tie))).where("_k <= cap - before").drop("_k")
     return whole.unionByName(cut).select(*x.columns)
@@ -107,7 +107,7 @@ def every_stride(x: DataFrame, most: int, cls: str, day: str, tie: str) -> DataF
 
     Days without a place of the stride go before anything is ranked.
     """
-    placed = places(x, cls, day, tie).withColumn("stride", F.greatest(F.floor(F.col("n") / most), F.lit(1)))
+    placed = places(x, cls, day).withColumn("stride", F.greatest(F.floor(F.col("n") / most), F.lit(1)))
     # the first place of the stride at or after the day's first row lies on the day
     hit = placed.where("ceil(before / stride) * stride < before + held and ceil(before / stride) < %d" % most)
     at = F.col("before") + F.row_number().over(Window.partitionBy(cls, day).orderBy(tie)) - 1
