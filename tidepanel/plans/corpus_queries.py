@@ -268,7 +268,7 @@ def cor_06(spark, d):
     return two.select("a", F.round(F.when(F.size("t") == 0, 1.0).otherwise(F.size(near) / F.size("t")), 6).alias("grounded"))
 
 
-@query(f"SELECT a.doc_id AS a, round(coalesce(max(CASE WHEN len(a.w) + len(b.w) > 0 THEN x / (len(a.w) + len(b.w) - x)::DOUBLE END), 0), 6) AS nearest FROM (SELECT a.*, b.w AS v, len(list_intersect(a.w, b.w)) AS x FROM (SELECT row_number() OVER (ORDER BY doc_id) AS pos, doc_id, {_WORDS} AS w FROM documents) a LEFT JOIN (SELECT row_number() OVER (ORDER BY doc_id) AS pos, {_WORDS} AS w FROM documents) b ON b.pos <> a.pos AND b.pos BETWEEN a.pos - 200 AND a.pos + 200) a GROUP BY 1".replace("len(b.w)", "len(a.v)"))
+@query(f"WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS pos, doc_id, {_WORDS} AS w FROM documents), t AS (SELECT pos, len(w) AS n, unnest(w) AS x FROM d), m AS (SELECT pos, max(k / (n + o - k)::DOUBLE) AS j FROM (SELECT a.pos, b.pos AS other, any_value(a.n) AS n, any_value(b.n) AS o, count(*) AS k FROM t a JOIN t b ON a.x = b.x AND b.pos <> a.pos AND b.pos BETWEEN a.pos - 200 AND a.pos + 200 GROUP BY 1, 2) GROUP BY 1) SELECT doc_id AS a, round(coalesce(j, 0), 6) AS nearest FROM d LEFT JOIN m USING (pos)")
 def cor_07(spark, d):
     """The largest word similarity of a document with the 200 before and the 200 after it."""
     x = O.numbered(docs(spark, d).select("doc_id", "text"), ["doc_id"])
