@@ -62,7 +62,8 @@ def newest(asked: DataFrame, items: DataFrame, kinds: dict[str, list[Bucket]]) -
             taken = F.when((F.col("kind") == kind) & (top > low), F.transform(F.sequence(low + 1, top), lambda p: F.struct(F.lit(k).alias("bucket"), (top - p).alias("back"), p.alias("place")))).otherwise(F.array().cast("array<struct<bucket:int,back:bigint,place:bigint>>"))  # noqa: B023
             wanted = F.concat(wanted, taken)
     asked_for = seen.select("name", "key", "kind", "as_of", F.explode(wanted).alias("w")).select("name", "key", "kind", "as_of", "w.bucket", "w.back", "w.place")
-    return asked_for.join(counted.where("tag = 1").select("name", "key", "kind", "place", "item"), ["name", "key", "kind", "place"]).drop("place")
+    # a bucket without a cap asks for any number of places, which Spark's estimate of an explode doesn't show: never broadcast them
+    return asked_for.hint("merge").join(counted.where("tag = 1").select("name", "key", "kind", "place", "item"), ["name", "key", "kind", "place"]).drop("place")
 
 
 #: Spans of news with their caps, or all of 60 days; days and caps of the other kinds; titles of the sections and the line of an empty one.
@@ -93,7 +94,8 @@ def sections(asked: DataFrame, items: DataFrame, rich: bool = False, events: int
     found = newest(own.unionByName(shared), items, of)
     lines = lambda rows, by: rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "key", "back", "item"))).alias("found"))
     mine, all_ = lines(found.where("name <> '*'"), ["name", "as_of"]), lines(found.where("name = '*'"), ["as_of"]).withColumnRenamed("found", "macro")
-    x = asked.join(mine, ["name", "as_of"], "left").join(all_, "as_of", "left")
+    # the lines of all questions together are as large as the result
+    x = asked.join(mine.hint("merge"), ["name", "as_of"], "left").join(all_, "as_of", "left")
     text = lambda kind, c="found", bucket=None: F.transform(F.filter(c, lambda e: (e["kind"] == kind) & (F.lit(True) if bucket is None else e["bucket"] == bucket)), lambda e: e["item"])
     none = F.array().cast("array<string>")
 
