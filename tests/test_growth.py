@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidepanel.operators import context as C
+from tidepanel.streaming import jobs
 
 
 def plan(df) -> str:
@@ -21,3 +23,21 @@ def test_places_of_an_uncapped_bucket_are_never_broadcast(spark):
     ran = plan(got)
     assert "SortMergeJoin" in ran and "BroadcastHashJoin" not in ran
     assert sorted(r.item for r in got.collect()) == list(range(500))
+
+
+def test_waiting_events_lie_in_blocks():
+    at, ids = np.arange(3 * jobs.BLOCK + 5, dtype="int64") * 7, np.arange(3 * jobs.BLOCK + 5, dtype="int64") + 2**60
+    blocks = jobs.packed(at, ids)
+    assert len(blocks) == 4
+    assert (jobs.unpacked(iter(blocks)) == np.stack([at, ids])).all()
+    assert jobs.unpacked(iter(())).shape == (2, 0)
+
+
+def test_large_ids_beside_facts_stay_whole(spark, tmp_path):
+    day, big = dt.datetime(2024, 1, 2), 2**60 + 1
+    rows = [(1, day, None, "a"), (1, day + dt.timedelta(hours=1), big, None), (1, day + dt.timedelta(days=9), 5, None), (2, day, big + 2, None)]
+    spark.createDataFrame(rows, "key long, ts timestamp, id long, fact string").write.parquet(f"{tmp_path}/source")
+    with jobs.settings(spark, spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        out = jobs.known_then(spark.readStream.schema("key long, ts timestamp, id long, fact string").parquet(f"{tmp_path}/source"))
+        jobs.run_to_table(out, f"{tmp_path}/table", f"{tmp_path}/checkpoint")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/table").collect())) == [(1, big, "a"), (2, big + 2, None)]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -25,44 +24,68 @@ def once(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+#: Events in a block of the state.
+BLOCK = 2**16
+
+
+def packed(at: np.ndarray, ids: np.ndarray) -> list[tuple[bytes]]:
+    """Times and ids as blocks, so that the state holds a value for many events."""
+    return [(np.stack([at[k : k + BLOCK], ids[k : k + BLOCK]]).astype("<i8").tobytes(),) for k in range(0, at.size, BLOCK)]
+
+
+def unpacked(blocks: Iterator[tuple[bytes]]) -> np.ndarray:
+    """Two rows, times and ids, of all blocks."""
+    return np.concatenate([np.empty((2, 0), dtype="<i8"), *(np.frombuffer(b[0], dtype="<i8").reshape(2, -1) for b in blocks)], axis=1)
+
+
 class NewestFact(StatefulProcessor):
     """Each event of a key with the newest fact at or before it.
 
     Events wait until the watermark has passed them, so that facts of an earlier time can't come any more; then they go out in
     the order of time, and of the facts only the newest at or before the oldest event that still may come stays. So the state
-    is what a key has had within the watermark's delay, and one fact.
+    is what a key has had within the watermark's delay, and one fact. Events lie in blocks and are matched as arrays.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.facts = handle.getListState("facts", "at long, fact string")
-        self.waiting = handle.getListState("waiting", "at long, id long")
+        self.waiting = handle.getListState("waiting", "block binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(rows)
-        at = new["ts"].astype("datetime64[us]").astype("int64")
-        is_fact = new["id"].isna()
-        if is_fact.any():
-            self.facts.appendList(list(zip(map(int, at[is_fact]), new["fact"][is_fact], strict=True)))
-        if (~is_fact).any():
-            self.waiting.appendList(list(zip(map(int, at[~is_fact]), map(int, new["id"][~is_fact]), strict=True)))
-            self.handle.registerTimer(int(at[~is_fact].min()) // 1000)
+        first = None
+        for new in rows:
+            at, is_event = new["ts"].astype("datetime64[us]").astype("int64").to_numpy(), new["is_event"].to_numpy(dtype=bool)
+            if not is_event.all():
+                self.facts.appendList(list(zip(at[~is_event].tolist(), new["fact"][~is_event], strict=True)))
+            if is_event.any():
+                self.waiting.appendList(packed(at[is_event], new["id"].to_numpy(dtype="int64")[is_event]))
+                earliest = at[is_event].min()
+                first = earliest if first is None else min(first, earliest)
+        if first is not None:
+            self.handle.registerTimer(int(first) // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         safe = timerValues.getCurrentWatermarkInMs()
-        waiting, facts = sorted(tuple(w) for w in self.waiting.get()), sorted(tuple(f) for f in self.facts.get())
-        ready = [w for w in waiting if w[0] // 1000 <= safe]
-        left = waiting[len(ready) :]
-        times = [f[0] for f in facts]
-        out = [(key[0], i, facts[k - 1][1] if (k := bisect.bisect_right(times, at)) else None) for at, i in ready]
-        keep = max(0, bisect.bisect_right(times, min([safe * 1000, *(w[0] for w in left[:1])])) - 1)
-        self.waiting.put(left) if left else self.waiting.clear()
-        self.facts.put(facts[keep:]) if facts else self.facts.clear()
-        if left:
-            self.handle.registerTimer(left[0][0] // 1000)
-        if out:
-            yield pd.DataFrame(out, columns=["key", "id", "fact"])
+        at, ids = unpacked(self.waiting.get())
+        ready = at // 1000 <= safe
+        if not ready.any():  # another timer of this key took them
+            return
+        facts = sorted(tuple(f) for f in self.facts.get())
+        times, said = np.array([f[0] for f in facts], dtype="int64"), np.array([None, *(f[1] for f in facts)], dtype=object)
+        left = at[~ready]
+        keep = max(0, int(np.searchsorted(times, min([safe * 1000, *([left.min()] if left.size else [])]), "right")) - 1)
+        self.waiting.put(packed(left, ids[~ready])) if left.size else self.waiting.clear()
+        if keep:
+            self.facts.put(facts[keep:])
+        if left.size:
+            self.handle.registerTimer(int(left.min()) // 1000)
+        at, ids = at[ready], ids[ready]
+        order = np.lexsort((ids, at))
+        at, ids = at[order], ids[order]
+        for k in range(0, at.size, BLOCK):
+            found = said[np.searchsorted(times, at[k : k + BLOCK], "right")]
+            yield pd.DataFrame({"key": key[0], "id": ids[k : k + BLOCK], "fact": found})
 
     def close(self) -> None:
         pass
@@ -74,6 +97,8 @@ def known_then(both: DataFrame, late: str = "1 day") -> DataFrame:
     An event comes out once the watermark has passed it, with the newest fact of its key at or before it, or null. Late rows
     go. Needs the RocksDB state store.
     """
+    # a null among ids would make them floats in pandas
+    both = both.select("key", "ts", F.coalesce("id", F.lit(0)).alias("id"), "fact", F.col("id").isNotNull().alias("is_event"))
     return both.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(NewestFact(), "key long, id long, fact string", "Append", "EventTime")
 
 
