@@ -25,6 +25,23 @@ def test_places_of_an_uncapped_bucket_are_never_broadcast(spark):
     assert sorted(r.item for r in got.collect()) == list(range(500))
 
 
+def test_items_out_of_reach_stay_out_of_the_timeline(spark):
+    day, name = dt.datetime(2024, 1, 1), "name string, key string, kind string, "
+    asked = spark.createDataFrame([(n, "", k, day + dt.timedelta(days=d)) for n, d in (("a", 100), ("a", 130), ("b", 300)) for k in ("news", "macro")], name + "as_of timestamp_ntz")
+    rows = [(n, "", k, day + dt.timedelta(hours=h), h, h) for n in "abc" for k in ("news", "macro") for h in range(0, 400 * 24, 12)]
+    items = spark.createDataFrame(rows, name + "ts timestamp_ntz, tie long, item long")
+    of = {"news": [C.Bucket("", C.NOW, C.Edge(4), 3), C.Bucket("", C.Edge(4), C.Edge(30, True), None)], "macro": C.LATEST}
+    assert {(r.name, r.kind): (r.lo, r.hi) for r in C.within_reach(asked, items, of).groupBy("name", "kind").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).collect()} == {
+        ("a", "news"): (70 * 24, 130 * 24), ("a", "macro"): (0, 130 * 24), ("b", "news"): (270 * 24, 300 * 24), ("b", "macro"): (0, 300 * 24)}
+    got = {}
+    for r in C.newest(asked, items, of).collect():
+        got.setdefault((r.name, r.kind, (r.as_of - day).days, r.bucket), []).append((r.back, r.item))
+    for n, d in (("a", 100), ("a", 130), ("b", 300)):
+        hours = [h for h in range(0, 400 * 24, 12) if h <= d * 24][::-1]
+        old = [h for h in hours if (d - 30) * 24 <= h <= (d - 4) * 24]
+        assert sorted(got[n, "news", d, 0]) == list(enumerate(hours[:3])) and sorted(got[n, "news", d, 1]) == list(enumerate(old)) and got[n, "macro", d, 0] == [(0, hours[0])]
+
+
 def test_waiting_events_lie_in_blocks():
     at, ids = np.arange(3 * jobs.BLOCK + 5, dtype="int64") * 7, np.arange(3 * jobs.BLOCK + 5, dtype="int64") + 2**60
     blocks = jobs.packed(at, ids)

@@ -32,6 +32,17 @@ class Bucket:
 NOW = Edge(0)
 
 
+def within_reach(asked: DataFrame, items: DataFrame, kinds: dict[str, list[Bucket]]) -> DataFrame:
+    """The items that some question of their name, key and kind can take by its time; the others would only be counted along."""
+    spans = {kind: max(b.older.days for b in bs) for kind, bs in kinds.items() if all(b.older for b in bs)}
+    days = F.coalesce(F.lit(None).cast("int"), *(F.when(F.col("kind") == kind, F.lit(n)) for kind, n in spans.items()))
+    reach = asked.groupBy("name", "key", "kind").agg(F.min("as_of").alias("_first"), F.max("as_of").alias("_last"))
+    # a kind with an open bucket reaches back to its first item
+    reach = reach.withColumn("_from", F.col("_first") - F.make_dt_interval(days=days))
+    near = items.join(reach, ["name", "key", "kind"]).where((F.col("ts") <= F.col("_last")) & (F.col("_from").isNull() | (F.col("ts") >= F.col("_from"))))
+    return near.drop("_first", "_last", "_from")
+
+
 def newest(asked: DataFrame, items: DataFrame, kinds: dict[str, list[Bucket]]) -> DataFrame:
     """(name, key, kind, as_of, bucket, back, item): for each question the newest items of its name, key and kind in each bucket.
 
@@ -40,6 +51,7 @@ def newest(asked: DataFrame, items: DataFrame, kinds: dict[str, list[Bucket]]) -
 
     Items and the edges of all questions lie in one timeline. How many items stand before an edge says which places a bucket
     takes, and these meet the items by an equi-join: at most `cap` rows a bucket, whatever the number of items in its span.
+    Items that no question reaches stay out of it.
     The counts are running sums over a range partitioning, so a name of any size is spread.
     """
     edges = {kind: list(dict.fromkeys(e for b in bs for e in (b.newer, b.older) if e)) for kind, bs in kinds.items()}
@@ -48,7 +60,7 @@ def newest(asked: DataFrame, items: DataFrame, kinds: dict[str, list[Bucket]]) -
         at = F.array(*(F.struct(F.lit(k).alias("edge"), (F.col("as_of") - F.make_dt_interval(days=F.lit(e.days))).alias("at"), F.lit(0 if e.inside else 2).alias("tag")) for k, e in enumerate(es)))
         own = asked.where(F.col("kind") == kind).select("name", "key", "kind", "as_of", F.explode(at).alias("m")).select("name", "key", "kind", "m.at", "m.tag", F.lit(None).cast("long").alias("tie"), F.lit(0).alias("one"), "as_of", "m.edge")
         marks = own if marks is None else marks.unionByName(own)
-    line = items.where("ts is not null").select("name", "key", "kind", F.col("ts").alias("at"), F.lit(1).alias("tag"), F.col("tie").cast("long").alias("tie"), F.lit(1).alias("one"), "item")
+    line = within_reach(asked, items, kinds).select("name", "key", "kind", F.col("ts").alias("at"), F.lit(1).alias("tag"), F.col("tie").cast("long").alias("tie"), F.lit(1).alias("one"), "item")
     counted = stored(running(line.unionByName(marks, allowMissingColumns=True), ["name", "key", "kind"], ["at", "tag", "tie"], "one", "place"), "timeline")
     most = max(map(len, edges.values()))
     seen = counted.where("tag <> 1").groupBy("name", "key", "kind", "as_of").agg(*(F.max(F.when(F.col("edge") == k, F.col("place"))).alias(f"e{k}") for k in range(most)))
