@@ -124,3 +124,19 @@ def test_flagship(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).agg(F.count("*")).first()[0] > 0
+
+
+def test_smoothed_ranks_keep_ties(spark):
+    import math
+    import random
+
+    from tidepanel.plans.product_queries import smoothed
+
+    draw, names, days = random.Random(3), 25, 6
+    rows = [(t, d, float(v)) for d in range(days) for t, v in enumerate(draw.sample(range(names), names))]
+    rank = {(t, d): (v + 1) / names for t, d, v in rows}
+    for span in (3, 5, 10):
+        got = {(r.ticker, r.di): r.value for r in smoothed(spark.createDataFrame(rows, "ticker int, di int, value double"), span).collect()}
+        keep = 1 - 2 / (span + 1)
+        weights = lambda d: [keep ** (d - k) for k in range(d + 1)]
+        assert got == {(t, d): math.fsum(w * rank[t, k] for k, w in enumerate(weights(d))) / math.fsum(weights(d)) for t, d in rank}

@@ -36,20 +36,28 @@ def past(f, value: str, least: int, by: str = "ticker", order: str = "di", n: in
 
 
 def ewm(value: str, span: float | None = None, alpha: float | None = None, by: str = "ticker", order: str = "di") -> Column:
-    """with_ewm as a column, for short spans: each row reads its look-back, the rows whose weights show in a double."""
+    """with_ewm as a column, for short spans: each row reads its look-back, the rows whose weights show in a double.
+
+    The sums carry what rounding cuts off, so means that are equal in real numbers don't hang on the order of the rows.
+    """
     a = 2 / (span + 1) if alpha is None else alpha
     back = math.ceil(math.log(1e-17) / math.log(1 - a))
     w = own(by, order).rowsBetween(-(back - 1), 0)
     seen = F.collect_list(F.struct(F.coalesce(F.col(value), F.lit(float("nan"))).alias("x"))).over(w)
     n = F.size(seen)
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"), F.lit(0).alias("i"))
+    start = F.struct(*(F.lit(0.0).alias(c) for c in ("s", "s_cut", "w", "w_cut")), F.lit(0).alias("i"))
+
+    def carried(acc, c, x):
+        total = acc[c] + x
+        cut = F.when(F.abs(acc[c]) >= F.abs(x), (acc[c] - total) + x).otherwise((x - total) + acc[c])
+        return total.alias(c), (acc[f"{c}_cut"] + cut).alias(f"{c}_cut")
 
     def add(acc, e):
         weight = F.pow(F.lit(1 - a), n - 1 - acc["i"])
         ok = ~F.isnan(e["x"])
-        return F.struct((acc["s"] + F.when(ok, weight * e["x"]).otherwise(0.0)).alias("s"), (acc["w"] + F.when(ok, weight).otherwise(0.0)).alias("w"), (acc["i"] + 1).alias("i"))
+        return F.struct(*carried(acc, "s", F.when(ok, weight * e["x"]).otherwise(0.0)), *carried(acc, "w", F.when(ok, weight).otherwise(0.0)), (acc["i"] + 1).alias("i"))
 
-    return F.when(F.count(value).over(w) > 0, F.aggregate(seen, start, add, lambda acc: acc["s"] / acc["w"]))
+    return F.when(F.count(value).over(w) > 0, F.aggregate(seen, start, add, lambda acc: (acc["s"] + acc["s_cut"]) / (acc["w"] + acc["w_cut"])))
 
 
 def with_ewm(p: DataFrame, name: str, value: str, span: float | None = None, alpha: float | None = None, by: str = "ticker", order: str = "di") -> DataFrame:

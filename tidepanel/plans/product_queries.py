@@ -338,11 +338,14 @@ def pf_07(spark, d):
 
 
 def smoothed(s: DataFrame, span: float) -> DataFrame:
-    """(di, ticker, value): the exponential mean over all calendar positions of the names' ranks, where there is a rank."""
+    """(di, ticker, value): the exponential mean over all calendar positions of the names' ranks, where there is a rank.
+
+    Ranks tie often, so do their means; each is summed by itself, as sums carried over blocks of rows would part such ties.
+    """
     ends = s.groupBy("ticker").agg(F.min("di").alias("lo"), F.max("di").alias("hi"))
     grid = ends.select("ticker", F.explode(F.sequence("lo", "hi")).alias("di"))
     x = grid.join(s.select("di", "ticker", X.pct_rank("value").alias("p")), ["di", "ticker"], "left")
-    return W.with_ewm(x, "value", "p", span=span).where("p is not null").select("di", "ticker", "value")
+    return x.withColumn("value", W.ewm("p", span=span)).where("p is not null").select("di", "ticker", "value")
 
 
 _PCT = f"(SELECT di, ticker, ({RANK.format('value')}) / count(*) OVER (PARTITION BY di) AS pct FROM mom)"
