@@ -386,3 +386,20 @@ def test_pipeline(spark):
     assert got.columns == ["doc_id", "ids", "n_tokens", "round_trip"]
     rows = got.collect()
     assert len(rows) > 50 and len({r.doc_id for r in rows}) == len(rows) and all(r.round_trip for r in rows)
+
+
+@pytest.mark.parametrize("own", [30, 60])
+def test_lines_that_quote_one_passage_do_not_meet(spark, own):
+    rng, letters = np.random.default_rng(own), list("abcdefghijklmnopqrstuvwxyz ")
+    passage = "".join(rng.choice(letters, 300))
+    texts = [passage + "".join(rng.choice(letters, own)) for _ in range(120)]
+    texts += [x[:250] + "Z" + x[251:] for x in texts[:5]]
+    sets = [shingle_set(x) for x in texts]
+    linked = [(a, b) for b in range(len(sets)) for a in range(b) if near(sets[a], sets[b])]
+    each = spark.createDataFrame(list(enumerate(texts)), "lid long, line string")
+    compared = spark.createDataFrame([(0, k, False) for k in range(1, len(texts))], "head long, lid long, alike boolean")
+    alone = spark.createDataFrame([], "vertex long, component long")
+    met = {(r.a, r.b) for r in lines.across_classes(compared, alone, each, lines.Settings()).collect()}
+    tied = components_of(len(texts), [p for p in met if near(sets[p[0]], sets[p[1]])])
+    assert tied == components_of(len(texts), [(a, b) for a, b in linked if a])
+    assert len(met) < 2 * len(texts)

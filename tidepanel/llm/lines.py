@@ -6,10 +6,11 @@ make a band's key, and lines that share a key are candidates.
 
 Every line is first compared with the smallest line of each of its keys, its head: one pair for each line and key, whatever
 the group's size. A distributed union-find ties what is alike. Lines with the same head that lie in different components
-are then joined by prefix filtering, which loses no pair: shingles are ordered, those that the head lacks first, and two
-lines at or over the threshold share one among the first few of each. Copies that were edited each in their own way meet
-nowhere, as their own shingles fill these places, so a family's pairs are never listed. Pairs are verified by the exact
-Jaccard similarity of the two shingle sets, and each final component keeps its first line.
+are then joined by what sets them apart from the text that most of them hold, so that copies edited in their own ways, and
+lines that quote one passage, meet nowhere and a family's pairs are never listed. No pair is lost: two lines at or over the
+threshold either share a good part of what sets them apart, and then meet by prefix filtering, or are both so near that
+text that they are alike to the nearest line as well. Pairs are verified by the exact Jaccard similarity of the two
+shingle sets, and each final component keeps its first line.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -32,6 +33,9 @@ class Settings:
     per_band: int = 3
     #: Lines that meet one copy of their head; the head of a larger group is copied.
     block: int = 1000
+    #: Lines of a head that its usual shingles are read off, and up to how many lines a head's own shingles do; results don't hang on these.
+    read: int = 24
+    small: int = 4
 
 
 def long(x: int) -> Column:
@@ -89,64 +93,68 @@ def with_heads(signed: DataFrame, s: Settings) -> DataFrame:
 
 
 def head_sets(pairs: DataFrame, heads: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """(head, lid, x, r) of pairs (head, lid): the shingles of the line, and those of its head with heads' `usual` ones.
+    """pairs (head, lid) plus x and r: the shingles of the line, and heads' `usual` ones or else the head's own.
 
     heads (head, members, usual) is copied for every s.block members, so a head of many lines is many tasks.
     """
     parts = F.ceil(F.col("members") / F.lit(s.block)).cast("int")
     mine = shared.spread_join(pairs, heads.select("head", "members", parts.alias("parts")), "head", "members", ["lid"])
-    mine = mine.join(texts, "lid").select("head", "lid", "line", F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int").alias("part"))
+    mine = mine.join(texts, "lid").withColumn("part", F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int"))
     other = heads.join(texts.withColumnsRenamed({"lid": "head", "line": "head_line"}), "head")
-    other = other.select("head", F.concat(shingles(F.col("head_line"), s), "usual").alias("r"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    return mine.join(other, ["head", "part"]).select("head", "lid", shingles(F.col("line"), s).alias("x"), "r")
-
-
-def sized(pairs: DataFrame) -> DataFrame:
-    """(head, members, usual): the number of lines of each head; nothing is usual yet."""
-    return shared.stored(pairs.groupBy("head").agg(F.count("*").alias("members")).withColumn("usual", F.array().cast("array<bigint>")))
+    other = other.select("head", F.coalesce("usual", shingles(F.col("head_line"), s)).alias("r"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return mine.join(other, ["head", "part"]).select(*pairs.columns, shingles(F.col("line"), s).alias("x"), "r")
 
 
 def against_heads(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """pairs (head, lid) plus alike: whether the line and its head are."""
+    heads = shared.stored(pairs.groupBy("head").agg(F.count("*").alias("members")).withColumn("usual", F.lit(None).cast("array<bigint>")))
     alike = F.size(F.array_intersect("x", "r")) >= F.lit(s.threshold) * F.size(F.array_union("x", "r")) - 1e-9
-    return shared.stored(head_sets(pairs, sized(pairs), texts, s).select("head", "lid", alike.alias("alike")))
+    return shared.stored(head_sets(pairs, heads, texts, s).select("head", "lid", alike.alias("alike")))
+
+
+def references(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """(head, members, usual): the shingles that most of a head's lines hold, as read off s.read of them; null for few lines."""
+    sized = shared.stored(pairs.groupBy("head").agg(F.count("*").alias("members")))
+    place = F.row_number().over(Window.partitionBy("head").orderBy(F.xxhash64("lid"), "lid"))
+    some = pairs.select("head", "lid", place.alias("place")).where(F.col("place") <= s.read).join(sized.where(F.col("members") > s.small), "head").join(texts, "lid")
+    held = some.select("head", "members", F.explode(F.array_distinct(shingles(F.col("line"), s))).alias("shingle")).groupBy("head", "members", "shingle").agg(F.count("*").alias("n"))
+    usual = held.where(2 * F.col("n") > F.least(F.col("members"), F.lit(s.read))).groupBy("head").agg(F.collect_list("shingle").alias("usual"))
+    return shared.stored(sized.join(usual, "head", "left").select("head", "members", "usual"))
 
 
-def prefixes(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """pairs (head, lid) plus n (shingles of the line) and prefix: its first shingles, its own ones before the usual ones.
+def apart(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """pairs plus n (shingles of the line), d (those that only one of it and its reference has), over and prefix (the first of d).
 
-    Usual shingles are the head's and those that a quarter of its lines hold; any order would do, this one lets few meet.
+    With c = (1 - t) / (1 + t), lines x and y are alike just if their d differ in at most c (n_x + n_y) shingles; so if they
+    share (over_x + over_y) / 2 of them at least, where over = d - c n, and surely if that is 0 or less. A line that
+    shares k of them has d >= k and, with a reference of m shingles, n <= m + d; so k >= (d - c (n + m)) / (1 + c).
     """
-    heads = sized(pairs)
-    extra = head_sets(pairs, heads, texts, s).select("head", F.explode(F.array_except("x", "r")).alias("shingle"))
-    extra = extra.groupBy("head", "shingle").agg(F.count("*").alias("holders")).where("holders > 1").join(heads.select("head", "members"), "head")
-    usual = extra.where("4 * holders > members").groupBy("head").agg(F.collect_list("shingle").alias("more"))
-    heads = shared.stored(heads.join(usual, "head", "left").select("head", "members", F.coalesce("more", "usual").alias("usual")))
-    own, common = F.sort_array(F.array_except("x", "r")).alias("own"), F.sort_array(F.array_intersect("x", "r")).alias("common")
-    cut = head_sets(pairs, heads, texts, s).select("head", "lid", own, common)
-    n = F.size("own") + F.size("common")
-    first = n - F.ceil(F.lit(s.threshold) * n - 1e-9).cast("int") + 1
-    return shared.stored(cut.select("head", "lid", n.alias("n"), F.slice(F.concat("own", "common"), F.lit(1), first).alias("prefix")))
+    c = (1 - s.threshold) / (1 + s.threshold)
+    sets = head_sets(pairs, references(pairs, texts, s), texts, s)
+    sets = sets.select(*pairs.columns, F.array_except("x", "r").alias("own"), F.array_except("r", "x").alias("lacked"), F.size(F.array_intersect("x", "r")).alias("common"))
+    sets = sets.withColumns({"n": F.size("own") + F.col("common"), "m": F.size("lacked") + F.col("common"), "d": F.size("own") + F.size("lacked")})
+    least = F.ceil((F.col("d") - c * (F.col("n") + F.col("m"))) / (1 + c) - 1e-6).cast("int")
+    first = F.slice(F.concat(F.sort_array("own"), F.sort_array("lacked")), F.lit(1), F.col("d") + 1 - F.greatest(least, F.lit(1)))
+    return shared.stored(sets.select(*pairs.columns, "n", "d", (F.col("d") - c * F.col("n")).alias("over"), first.alias("prefix")))
 
 
 def across_classes(compared: DataFrame, classes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """(a, b): pairs of lines with one head, of different classes, that may be alike by size, by prefix and by its places.
 
-    Of two lines the longer one, x, holds a shared shingle among its first n - t n + 1 and the other among its first
-    n - 2 t n / (1 + t) + 1; what is left behind the first one shared bounds the overlap.
+    Lines that surely are alike are also surely alike to the line of their head that is least apart; they are tied to it.
     """
-    t = s.threshold
     marked = compared.join(classes, compared.lid == classes.vertex, "left").select("head", "lid", F.coalesce("component", "lid").alias("class"))
     split = marked.groupBy("head").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("head")
-    marked = shared.stored(marked.join(split, "head", "left_semi"))
-    rows = marked.join(prefixes(marked.select("head", "lid"), texts, s), ["head", "lid"]).select("head", "class", "lid", "n", F.posexplode("prefix").alias("at", "shingle"))
-    x, y = (rows.select("head", "shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("class", "lid", "n", "at"))) for side in "xy")
-    y = y.where(F.col("at_y") <= F.col("n_y") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n_y") - 1e-9))
-    longer = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("lid_x") > F.col("lid_y")))
-    near = F.col("n_y") >= F.lit(t) * F.col("n_x") - 1e-9
-    left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= F.lit(t / (1 + t)) * (F.col("n_x") + F.col("n_y")) - 1e-9
-    found = x.join(y, ["head", "shingle"]).where(longer & near & left & (F.col("class_x") != F.col("class_y")))
-    return found.select(F.least("lid_x", "lid_y").alias("a"), F.greatest("lid_x", "lid_y").alias("b")).distinct()
+    rows = apart(shared.stored(marked.join(split, "head", "left_semi")), texts, s)
+    nearest = shared.stored(rows.groupBy("head").agg(F.min(F.struct("over", "lid", "class")).alias("nearest"), F.count("*").alias("members")))
+    tied = shared.spread_join(rows.select("head", "lid", "class", "over"), nearest, "head", "members", ["lid"])
+    tied = tied.where((F.col("over") + F.col("nearest.over") <= 1e-6) & (F.col("class") != F.col("nearest.class"))).select(F.least("lid", "nearest.lid").alias("a"), F.greatest("lid", "nearest.lid").alias("b"))
+    rows = rows.select("head", "class", "lid", "n", "d", "over", F.posexplode("prefix").alias("at", "shingle"))
+    x, y = (rows.select("head", "shingle", *(F.col(k).alias(f"{k}_{side}") for k in ("class", "lid", "n", "d", "over", "at"))) for side in "xy")
+    near = F.least("n_x", "n_y") >= F.lit(s.threshold) * F.greatest("n_x", "n_y") - 1e-9
+    left = F.least(F.col("d_x") - F.col("at_x"), F.col("d_y") - F.col("at_y")) >= (F.col("over_x") + F.col("over_y")) / 2 - 1e-6
+    found = x.join(y, ["head", "shingle"]).where((F.col("lid_x") < F.col("lid_y")) & near & left & (F.col("over_x") + F.col("over_y") > -1e-6) & (F.col("class_x") != F.col("class_y")))
+    return found.select(F.col("lid_x").alias("a"), F.col("lid_y").alias("b")).unionByName(tied).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
