@@ -403,3 +403,23 @@ def test_lines_that_quote_one_passage_do_not_meet(spark, own):
     tied = components_of(len(texts), [p for p in met if near(sets[p[0]], sets[p[1]])])
     assert tied == components_of(len(texts), [(a, b) for a, b in linked if a])
     assert len(met) < 2 * len(texts)
+
+
+@pytest.mark.parametrize("n", [25, 150])
+def test_copies_edited_in_different_words_are_told_apart_before_they_are_verified(spark, n):
+    rng, letters = np.random.default_rng(n), list("abcdefghijklmnopqrstuvwxyz")
+    text = ["".join(rng.choice(letters, 6)) for _ in range(60)]
+    texts, word = [" ".join(text)], lambda: "".join(rng.choice(letters, 6))
+    for _ in range(n):
+        edits = set(rng.choice(60, rng.integers(4, 9), replace=False))
+        texts.append(" ".join(word() if k in edits else x for k, x in enumerate(text)))
+    texts += [x.replace(x.split()[-1], "odd") for x in texts[1:6]]
+    sets = [shingle_set(x) for x in texts]
+    linked = [(a, b) for b in range(len(sets)) for a in range(1, b) if near(sets[a], sets[b])]
+    each = spark.createDataFrame(list(enumerate(texts)), "lid long, line string")
+    compared = spark.createDataFrame([(0, k, False) for k in range(1, len(texts))], "head long, lid long, alike boolean")
+    alone = spark.createDataFrame([], "vertex long, component long")
+    met = {(r.a, r.b) for r in lines.across_classes(compared, alone, each, lines.Settings()).collect()}
+    tied = components_of(len(texts), [p for p in met if near(sets[p[0]], sets[p[1]])])
+    assert tied == components_of(len(texts), linked) and linked
+    assert len(met) < 4 * len(linked)

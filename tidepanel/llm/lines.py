@@ -9,7 +9,8 @@ the group's size. A distributed union-find ties what is alike. Lines with the sa
 are then joined by what sets them apart from the text that most of them hold, so that copies edited in their own ways, and
 lines that quote one passage, meet nowhere and a family's pairs are never listed. No pair is lost: two lines at or over the
 threshold either share a good part of what sets them apart, and then meet by prefix filtering, or are both so near that
-text that they are alike to the nearest line as well. Pairs are verified by the exact Jaccard similarity of the two
+text that they are alike to the nearest line as well. Small groups list their pairs. Parity bits, by which two lines differ in
+no more places than by shingles, drop most pairs that can't be alike. Pairs are verified by the exact Jaccard similarity of the two
 shingle sets, and each final component keeps its first line.
 """
 
@@ -36,6 +37,10 @@ class Settings:
     #: Lines of a head that its usual shingles are read off, and up to how many lines a head's own shingles do; results don't hang on these.
     read: int = 24
     small: int = 4
+    #: Lines of a head up to which all its pairs are looked at; lines of larger ones meet by their prefixes. Results don't hang on it.
+    few: int = 32
+    #: Longs of 64 bits that tell most pairs that differ in too many shingles before they are verified; prefixes carry half as many.
+    words: int = 16
 
 
 def long(x: int) -> Column:
@@ -54,7 +59,7 @@ def last_start(data: Column, s: Settings) -> Column:
     return F.greatest(F.length(data) - 2 * s.shingle + 1, F.lit(1))
 
 
-def signatures(lines: DataFrame, s: Settings, step: int = 4) -> DataFrame:
+def signatures(lines: DataFrame, s: Settings, step: int = 8) -> DataFrame:
     """(lid, keys) of lines (lid, line), one row for each lid: a band's key packs the low bits of its MinHashes.
 
     Every `step` characters are a row with as many hashes, so that the aggregation has few rows; lines bucketed by lid
@@ -83,8 +88,9 @@ def with_heads(signed: DataFrame, s: Settings) -> DataFrame:
 
     A key's head is the line whose keys hold the most lines in all, as the text that a family was copied from does.
     """
-    keyed = signed.select("lid", F.posexplode("keys").alias("band", "value")).select("lid", F.xxhash64("band", "value").alias("key"))
-    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # the lines of a key are counted and joined after one and the same shuffle: both read key and lid
+    keyed = signed.select("lid", F.posexplode("keys").alias("band", "value")).select("lid", F.xxhash64("band", "value").alias("key")).repartition("key")
+    several = keyed.groupBy("key").agg(F.count("lid").alias("n")).where("n > 1")
     members = shared.stored(keyed.join(several, "key").select("key", "lid", "n"))
     known = members.groupBy("lid").agg(F.sum("n").alias("known"))
     ranked = shared.stored(members.join(known, "lid").select("key", "lid", "n", F.struct("known", (-F.col("lid")).alias("least")).alias("rank")))
@@ -93,7 +99,7 @@ def with_heads(signed: DataFrame, s: Settings) -> DataFrame:
 
 
 def head_sets(pairs: DataFrame, heads: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """pairs (head, lid) plus x and r: the shingles of the line, and heads' `usual` ones or else the head's own.
+    """pairs (head, lid) plus x and r: the shingles of the line, and heads' `usual` ones or else the head's own, each once.
 
     heads (head, members, usual) is copied for every s.block members, so a head of many lines is many tasks.
     """
@@ -101,7 +107,9 @@ def head_sets(pairs: DataFrame, heads: DataFrame, texts: DataFrame, s: Settings)
     mine = shared.spread_join(pairs, heads.select("head", "members", parts.alias("parts")), "head", "members", ["lid"])
     mine = mine.join(texts, "lid").withColumn("part", F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int"))
     other = heads.join(texts.withColumnsRenamed({"lid": "head", "line": "head_line"}), "head")
-    other = other.select("head", F.coalesce("usual", shingles(F.col("head_line"), s)).alias("r"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    # texts are shuffled, not their shingles, which take eight times the room
+    other = other.select("head", "usual", "head_line", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).repartition("head", "part")
+    other = other.select("head", "part", F.coalesce("usual", F.array_distinct(shingles(F.col("head_line"), s))).alias("r"))
     return mine.join(other, ["head", "part"]).select(*pairs.columns, shingles(F.col("line"), s).alias("x"), "r")
 
 
@@ -113,17 +121,24 @@ def against_heads(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
 
 def references(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """(head, members, usual): the shingles that most of a head's lines hold, as read off s.read of them; null for few lines."""
+    """(head, members, usual): the shingles that most of a head's lines hold, as read off s.read of them; null for few lines.
+
+    Those that the most hold come first, so few lack them, then in about the order of the text.
+    """
     sized = shared.stored(pairs.groupBy("head").agg(F.count("*").alias("members")))
     place = F.row_number().over(Window.partitionBy("head").orderBy(F.xxhash64("lid"), "lid"))
-    some = pairs.select("head", "lid", place.alias("place")).where(F.col("place") <= s.read).join(sized.where(F.col("members") > s.small), "head").join(texts, "lid")
-    held = some.select("head", "members", F.explode(F.array_distinct(shingles(F.col("line"), s))).alias("shingle")).groupBy("head", "members", "shingle").agg(F.count("*").alias("n"))
-    usual = held.where(2 * F.col("n") > F.least(F.col("members"), F.lit(s.read))).groupBy("head").agg(F.collect_list("shingle").alias("usual"))
+    some = pairs.select("head", "lid", place.alias("place")).where(F.col("place") <= s.read).join(sized.where(F.col("members") > s.small), "head").join(texts, "lid").repartition("head")
+    held = some.select("head", "members", F.posexplode(F.array_distinct(shingles(F.col("line"), s))).alias("at", "shingle")).groupBy("head", "members", "shingle").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    usual = held.where(2 * F.col("n") > F.least(F.col("members"), F.lit(s.read))).groupBy("head").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("held"), "at", "shingle")))["shingle"].alias("usual"))
     return shared.stored(sized.join(usual, "head", "left").select("head", "members", "usual"))
 
 
 def apart(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """pairs plus n (shingles of the line), d (those that only one of it and its reference has), over and prefix (the first of d).
+    """pairs plus n (shingles of the line), d (those that only one of it and its reference has), o (the line's of these), over, prefix and bits.
+
+    The prefix is the first of d: the line's own, by their hashes, then those it lacks, in the order of the reference. So what one
+    edit takes out of a text stands together, and lines meet by the few edits that come first, not by a sample of all. A bit of
+    bits is whether the number of d that fall on it is odd, so two lines differ in at least as many shingles as bits.
 
     With c = (1 - t) / (1 + t), lines x and y are alike just if their d differ in at most c (n_x + n_y) shingles; so if they
     share (over_x + over_y) / 2 of them at least, where over = d - c n, and surely if that is 0 or less. A line that
@@ -131,17 +146,40 @@ def apart(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """
     c = (1 - s.threshold) / (1 + s.threshold)
     sets = head_sets(pairs, references(pairs, texts, s), texts, s)
-    sets = sets.select(*pairs.columns, F.array_except("x", "r").alias("own"), F.array_except("r", "x").alias("lacked"), F.size(F.array_intersect("x", "r")).alias("common"))
-    sets = sets.withColumns({"n": F.size("own") + F.col("common"), "m": F.size("lacked") + F.col("common"), "d": F.size("own") + F.size("lacked")})
+    sets = sets.select(*pairs.columns, F.array_except("x", "r").alias("own"), F.array_except("r", "x").alias("lacked"), F.size("r").alias("m"))
+    sets = sets.withColumns({"n": F.size("own") + F.col("m") - F.size("lacked"), "o": F.size("own"), "d": F.size("own") + F.size("lacked")})
     least = F.ceil((F.col("d") - c * (F.col("n") + F.col("m"))) / (1 + c) - 1e-6).cast("int")
-    first = F.slice(F.concat(F.sort_array("own"), F.sort_array("lacked")), F.lit(1), F.col("d") + 1 - F.greatest(least, F.lit(1)))
-    return shared.stored(sets.select(*pairs.columns, "n", "d", (F.col("d") - c * F.col("n")).alias("over"), first.alias("prefix")))
+    long_prefix = F.col("d") + 1 - F.greatest(least, F.lit(1))
+    sets = shared.stored(sets.select(*pairs.columns, "n", "d", "o", (F.col("d") - c * F.col("n")).alias("over"), long_prefix.alias("first"), F.concat(F.sort_array("own"), F.col("lacked")).alias("apart")))
+    bit, word = F.expr("shiftleft(1L, cast(shingle & 63 as int))"), F.pmod(F.shiftright("shingle", 6), F.lit(s.words))
+    bits = sets.select("head", "lid", F.explode("apart").alias("shingle")).groupBy("head", "lid").agg(*(F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(s.words)))
+    rows = sets.select(*pairs.columns, "n", "d", "o", "over", F.slice("apart", F.lit(1), F.col("first")).alias("prefix")).join(bits, ["head", "lid"], "left")
+    return shared.stored(rows.select(*pairs.columns, "n", "d", "o", "over", "prefix", F.struct(*(F.coalesce(f"w{w}", F.lit(0).cast("long")).alias(f"w{w}") for w in range(s.words))).alias("bits")))
+
+
+def may_be_alike(s: Settings, words: int, at: str | None = None) -> Column:
+    """Whether lines x and y of one head, from apart, are of different classes and may be alike, by their sizes and bits.
+
+    With `at` the first common one of what sets them apart stands there; so many can be common at most: of both lines' own
+    ones, and of those that both lack.
+    """
+    place = {side: F.col(f"{at}_{side}") if at else F.lit(0) for side in "xy"}
+    ahead = lambda end, start: F.least(*(F.col(f"{end}_{side}") - start[side] for side in "xy"))
+    own = {side: F.col(f"o_{side}") for side in "xy"}
+    common = F.when(place["x"] < own["x"], ahead("o", place) + ahead("d", own)).otherwise(ahead("d", place)) if at else ahead("o", place) + ahead("d", own)
+    over = F.col("over_x") + F.col("over_y")
+    near = F.least("n_x", "n_y") >= F.lit(s.threshold) * F.greatest("n_x", "n_y") - 1e-9
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"bits_x.w{w}").bitwiseXOR(F.col(f"bits_y.w{w}"))) for w in range(words)))
+    few = differ <= (1 - s.threshold) / (1 + s.threshold) * (F.col("n_x") + F.col("n_y")) + 1e-6
+    return (F.col("class_x") != F.col("class_y")) & (common >= over / 2 - 1e-6) & near & (over > -1e-6) & few
 
 
 def across_classes(compared: DataFrame, classes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """(a, b): pairs of lines with one head, of different classes, that may be alike by size, by prefix and by its places.
 
-    Lines that surely are alike are also surely alike to the line of their head that is least apart; they are tied to it.
+    Lines that surely are alike are also surely alike to the line of their head that is least apart; they are tied to it. Of
+    two lines the one that is less apart, x, has to share over_x with the other at least, so its prefix is shorter. A pair is
+    found by the first of each run of shingles that both have one after the other, as its first common one is.
     """
     marked = compared.join(classes, compared.lid == classes.vertex, "left").select("head", "lid", F.coalesce("component", "lid").alias("class"))
     split = marked.groupBy("head").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("head")
@@ -149,12 +187,23 @@ def across_classes(compared: DataFrame, classes: DataFrame, texts: DataFrame, s:
     nearest = shared.stored(rows.groupBy("head").agg(F.min(F.struct("over", "lid", "class")).alias("nearest"), F.count("*").alias("members")))
     tied = shared.spread_join(rows.select("head", "lid", "class", "over"), nearest, "head", "members", ["lid"])
     tied = tied.where((F.col("over") + F.col("nearest.over") <= 1e-6) & (F.col("class") != F.col("nearest.class"))).select(F.least("lid", "nearest.lid").alias("a"), F.greatest("lid", "nearest.lid").alias("b"))
-    rows = rows.select("head", "class", "lid", "n", "d", "over", F.posexplode("prefix").alias("at", "shingle"))
-    x, y = (rows.select("head", "shingle", *(F.col(k).alias(f"{k}_{side}") for k in ("class", "lid", "n", "d", "over", "at"))) for side in "xy")
-    near = F.least("n_x", "n_y") >= F.lit(s.threshold) * F.greatest("n_x", "n_y") - 1e-9
-    left = F.least(F.col("d_x") - F.col("at_x"), F.col("d_y") - F.col("at_y")) >= (F.col("over_x") + F.col("over_y")) / 2 - 1e-6
-    found = x.join(y, ["head", "shingle"]).where((F.col("lid_x") < F.col("lid_y")) & near & left & (F.col("over_x") + F.col("over_y") > -1e-6) & (F.col("class_x") != F.col("class_y")))
-    return found.select(F.col("lid_x").alias("a"), F.col("lid_y").alias("b")).unionByName(tied).distinct()
+    sized = rows.join(nearest.select("head", "members"), "head")
+    sides = lambda df, *more: (df.select("head", *(F.col(k).alias(f"{k}_{side}") for k in ("class", "lid", "n", "d", "o", "over", "bits", *more))) for side in "xy")
+    small = sized.where(F.col("members") <= s.few)
+    x, y = sides(small)
+    same = x.join(y, "head").where((F.col("lid_x") < F.col("lid_y")) & may_be_alike(s, s.words))
+    half = s.words // 2
+    folded = F.struct(*(F.col(f"bits.w{w}").bitwiseXOR(F.col(f"bits.w{w + half}")).alias(f"w{w}") for w in range(half)))
+    large = sized.where(F.col("members") > s.few).withColumn("bits", folded)
+    large = large.select("head", "class", "lid", "n", "d", "o", "over", "bits", "prefix", F.posexplode("prefix").alias("at", "shingle")).withColumn("before", F.get("prefix", F.col("at") - 1))
+    x, y = sides(large, "at", "before", "shingle")
+    x = x.where(F.col("d_x") - F.col("at_x") >= F.col("over_x") - 1e-6).withColumnRenamed("shingle_x", "shingle")
+    y = y.withColumnRenamed("shingle_y", "shingle")
+    order = (F.col("over_x") < F.col("over_y")) | ((F.col("over_x") == F.col("over_y")) & (F.col("lid_x") < F.col("lid_y")))
+    starts = F.coalesce(F.col("before_x") != F.col("before_y"), F.lit(True))
+    met = x.join(y, ["head", "shingle"]).where(order & starts & may_be_alike(s, half, "at"))
+    found = same.select("lid_x", "lid_y").unionByName(met.select("lid_x", "lid_y"))
+    return found.select(F.least("lid_x", "lid_y").alias("a"), F.greatest("lid_x", "lid_y").alias("b")).unionByName(tied).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -167,7 +216,7 @@ def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
 def line_classes(lines: DataFrame, s: Settings) -> DataFrame:
     """(vertex, component) of the lines (lid, line), one row for each lid, that are alike to another one."""
-    pairs = shared.stored(with_heads(shared.stored(signatures(lines, s)), s))
+    pairs = shared.stored(with_heads(signatures(lines, s), s))
     needed = pairs.select(F.explode(F.array("head", "lid")).alias("lid")).distinct()
     texts = shared.stored(lines.select("lid", "line").join(needed, "lid", "left_semi"), by="lid")
     compared = against_heads(pairs, texts, s)
