@@ -423,3 +423,29 @@ def test_copies_edited_in_different_words_are_told_apart_before_they_are_verifie
     tied = components_of(len(texts), [p for p in met if near(sets[p[0]], sets[p[1]])])
     assert tied == components_of(len(texts), linked) and linked
     assert len(met) < 4 * len(linked)
+
+
+def test_only_lines_of_large_heads_are_set_against_a_usual_text(spark, monkeypatch):
+    texts, seen, whole = line_chains(np.random.default_rng(7), 12, 6), [], lines.apart
+
+    def counted(pairs, each, s):
+        seen.append({r.head for r in pairs.select("head").distinct().collect()})
+        return whole(pairs, each, s)
+
+    monkeypatch.setattr(lines, "apart", counted)
+    # 30 lines have one head, 42 another
+    n, sets = len(texts), [shingle_set(x) for x in texts]
+    each = spark.createDataFrame([*enumerate(texts), (n, texts[0] + "head"), (n + 1, texts[40] + "head")], "lid long, line string")
+    compared = spark.createDataFrame([(n + (k >= 30), k, False) for k in range(n)], "head long, lid long, alike boolean")
+    alone = spark.createDataFrame([], "vertex long, component long")
+    met = {(r.a, r.b) for r in lines.across_classes(compared, alone, each, lines.Settings()).collect()}
+    linked = [(a, b) for b in range(n) for a in range(b) if near(sets[a], sets[b])]
+    tied = components_of(n, [p for p in met if near(sets[p[0]], sets[p[1]])])
+    assert tied == components_of(n, linked) and len(linked) == 60
+    assert seen == [{n + 1}]
+
+
+def test_texts_meet_their_dropped_lines_unsorted(spark):
+    docs = spark.createDataFrame([(k, f"line {k % 3} of several words\nanother line of a text {k}") for k in range(9)], "doc_id long, text string")
+    plan = lines.dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan

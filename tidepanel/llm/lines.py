@@ -9,9 +9,9 @@ the group's size. A distributed union-find ties what is alike. Lines with the sa
 are then joined by what sets them apart from the text that most of them hold, so that copies edited in their own ways, and
 lines that quote one passage, meet nowhere and a family's pairs are never listed. No pair is lost: two lines at or over the
 threshold either share a good part of what sets them apart, and then meet by prefix filtering, or are both so near that
-text that they are alike to the nearest line as well. Small groups list their pairs. Parity bits, by which two lines differ in
-no more places than by shingles, drop most pairs that can't be alike. Pairs are verified by the exact Jaccard similarity of the two
-shingle sets, and each final component keeps its first line.
+text that they are alike to the nearest line as well. Small groups, nearly all, need no such text: they list their pairs. Parity bits,
+by which two lines differ in no more places than by shingles, drop most pairs that can't be alike. Pairs are verified by the exact
+Jaccard similarity of the two shingle sets, and each final component keeps its first line.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ class Settings:
     small: int = 4
     #: Lines of a head up to which all its pairs are looked at; lines of larger ones meet by their prefixes. Results don't hang on it.
     few: int = 32
-    #: Longs of 64 bits that tell most pairs that differ in too many shingles before they are verified; prefixes carry half as many.
-    words: int = 16
+    #: Longs of 64 bits that tell most pairs that differ in too many shingles before they are verified. Results don't hang on it.
+    words: int = 8
 
 
 def long(x: int) -> Column:
@@ -59,7 +59,7 @@ def last_start(data: Column, s: Settings) -> Column:
     return F.greatest(F.length(data) - 2 * s.shingle + 1, F.lit(1))
 
 
-def signatures(lines: DataFrame, s: Settings, step: int = 8) -> DataFrame:
+def signatures(lines: DataFrame, s: Settings, step: int = 4) -> DataFrame:
     """(lid, keys) of lines (lid, line), one row for each lid: a band's key packs the low bits of its MinHashes.
 
     Every `step` characters are a row with as many hashes, so that the aggregation has few rows; lines bucketed by lid
@@ -70,7 +70,8 @@ def signatures(lines: DataFrame, s: Settings, step: int = 8) -> DataFrame:
     at = data.select("lid", "data", last_start(F.col("data"), s).alias("last"), F.explode(F.sequence(F.lit(1), last_start(F.col("data"), s), F.lit(2 * step))).alias("at"))
     # the last row of a line repeats its last shingle, which doesn't change a set
     some = at.select("lid", *(F.xxhash64(F.substring("data", F.least(F.col("at") + 2 * k, F.col("last")), F.lit(2 * s.shingle))).alias(f"h{k}") for k in range(step)))
-    near = (F.least(*(F.col(f"h{k}").bitwiseXOR(long((p * 2**64 // points) ^ 2**63)) for k in range(step))) for p in range(points))
+    # least of two at a time, over few hashes: code that a JVM compiles well
+    near = (reduce(F.least, (F.col(f"h{k}").bitwiseXOR(long((p * 2**64 // points) ^ 2**63)) for k in range(step))) for p in range(points))
     least = some.groupBy("lid").agg(*(F.min(x).alias(f"m{p}") for p, x in enumerate(near)))
     lane = lambda p, k: F.shiftleft(F.col(f"m{p}").bitwiseAND(F.lit(2**bits - 1)), bits * k)
     keys = (reduce(lambda a, b: a.bitwiseOR(b), (lane(b + k * s.bands, k) for k in range(s.per_band))) for b in range(s.bands))
@@ -91,7 +92,8 @@ def with_heads(signed: DataFrame, s: Settings) -> DataFrame:
     # the lines of a key are counted and joined after one and the same shuffle: both read key and lid
     keyed = signed.select("lid", F.posexplode("keys").alias("band", "value")).select("lid", F.xxhash64("band", "value").alias("key")).repartition("key")
     several = keyed.groupBy("key").agg(F.count("lid").alias("n")).where("n > 1")
-    members = shared.stored(keyed.join(several, "key").select("key", "lid", "n"))
+    # few keys have several lines; a table of them meets all the others unsorted
+    members = shared.stored(keyed.join(several.hint("shuffle_hash"), "key").select("key", "lid", "n"))
     known = members.groupBy("lid").agg(F.sum("n").alias("known"))
     ranked = shared.stored(members.join(known, "lid").select("key", "lid", "n", F.struct("known", (-F.col("lid")).alias("least")).alias("rank")))
     heads = shared.stored(ranked.groupBy("key").agg((-F.max("rank")["least"]).alias("head"), F.count("*").alias("n")))
@@ -110,14 +112,19 @@ def head_sets(pairs: DataFrame, heads: DataFrame, texts: DataFrame, s: Settings)
     # texts are shuffled, not their shingles, which take eight times the room
     other = other.select("head", "usual", "head_line", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).repartition("head", "part")
     other = other.select("head", "part", F.coalesce("usual", F.array_distinct(shingles(F.col("head_line"), s))).alias("r"))
-    return mine.join(other, ["head", "part"]).select(*pairs.columns, shingles(F.col("line"), s).alias("x"), "r")
+    return mine.join(other, ["head", "part"]).select(*pairs.columns, F.array_distinct(shingles(F.col("line"), s)).alias("x"), "r")
+
+
+def are_alike(x: str, y: str, s: Settings) -> Column:
+    """Whether two sets of shingles, columns that hold each once, are alike; sets of too unlike sizes aren't compared."""
+    t, n, m = s.threshold, F.size(x), F.size(y)
+    return (F.least(n, m) >= t * F.greatest(n, m) - 1e-9) & ((1 + t) * F.size(F.array_intersect(x, y)) >= t * (n + m) - 1e-9)
 
 
 def against_heads(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """pairs (head, lid) plus alike: whether the line and its head are."""
     heads = shared.stored(pairs.groupBy("head").agg(F.count("*").alias("members")).withColumn("usual", F.lit(None).cast("array<bigint>")))
-    alike = F.size(F.array_intersect("x", "r")) >= F.lit(s.threshold) * F.size(F.array_union("x", "r")) - 1e-9
-    return shared.stored(head_sets(pairs, heads, texts, s).select("head", "lid", alike.alias("alike")))
+    return shared.stored(head_sets(pairs, heads, texts, s).select("head", "lid", are_alike("x", "r", s).alias("alike")))
 
 
 def references(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -133,12 +140,31 @@ def references(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return shared.stored(sized.join(usual, "head", "left").select("head", "members", "usual"))
 
 
+def parities(sets: DataFrame, keys: list[str], words: int) -> DataFrame:
+    """keys, size and bits of sets (*keys, shingle): a bit is whether the number of the set's shingles that fall on it is odd.
+
+    So two sets differ in at least as many shingles as bits.
+    """
+    bit, word = F.expr("shiftleft(1L, cast(shingle & 63 as int))"), F.pmod(F.shiftright("shingle", 6), F.lit(words))
+    each = (F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(words))
+    found = sets.groupBy(*keys).agg(F.count("*").cast("int").alias("size"), *each)
+    return found.select(*keys, "size", F.struct(*(f"w{w}" for w in range(words))).alias("bits"))
+
+
+def sketched(rows: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """rows (with lid) plus n and bits: the number and the parities of the line's shingles, worked out once for each lid."""
+    # texts are bucketed by lid, so neither they nor their shingles are shuffled
+    mine = texts.join(rows.select("lid").distinct(), "lid", "left_semi")
+    sets = mine.select("lid", F.explode(F.array_distinct(shingles(F.col("line"), s))).alias("shingle"))
+    return shared.stored(rows.join(parities(sets, ["lid"], s.words).withColumnRenamed("size", "n"), "lid"))
+
+
 def apart(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """pairs plus n (shingles of the line), d (those that only one of it and its reference has), o (the line's of these), over, prefix and bits.
 
     The prefix is the first of d: the line's own, by their hashes, then those it lacks, in the order of the reference. So what one
-    edit takes out of a text stands together, and lines meet by the few edits that come first, not by a sample of all. A bit of
-    bits is whether the number of d that fall on it is odd, so two lines differ in at least as many shingles as bits.
+    edit takes out of a text stands together, and lines meet by the few edits that come first, not by a sample of all. Bits are the
+    parities of d; as two lines' d differ in what the lines differ in, so do they.
 
     With c = (1 - t) / (1 + t), lines x and y are alike just if their d differ in at most c (n_x + n_y) shingles; so if they
     share (over_x + over_y) / 2 of them at least, where over = d - c n, and surely if that is 0 or less. A line that
@@ -151,67 +177,78 @@ def apart(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     least = F.ceil((F.col("d") - c * (F.col("n") + F.col("m"))) / (1 + c) - 1e-6).cast("int")
     long_prefix = F.col("d") + 1 - F.greatest(least, F.lit(1))
     sets = shared.stored(sets.select(*pairs.columns, "n", "d", "o", (F.col("d") - c * F.col("n")).alias("over"), long_prefix.alias("first"), F.concat(F.sort_array("own"), F.col("lacked")).alias("apart")))
-    bit, word = F.expr("shiftleft(1L, cast(shingle & 63 as int))"), F.pmod(F.shiftright("shingle", 6), F.lit(s.words))
-    bits = sets.select("head", "lid", F.explode("apart").alias("shingle")).groupBy("head", "lid").agg(*(F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(s.words)))
+    bits = parities(sets.select("head", "lid", F.explode("apart").alias("shingle")), ["head", "lid"], s.words).drop("size")
     rows = sets.select(*pairs.columns, "n", "d", "o", "over", F.slice("apart", F.lit(1), F.col("first")).alias("prefix")).join(bits, ["head", "lid"], "left")
-    return shared.stored(rows.select(*pairs.columns, "n", "d", "o", "over", "prefix", F.struct(*(F.coalesce(f"w{w}", F.lit(0).cast("long")).alias(f"w{w}") for w in range(s.words))).alias("bits")))
+    none = F.struct(*(F.lit(0).cast("long").alias(f"w{w}") for w in range(s.words)))
+    return shared.stored(rows.withColumn("bits", F.coalesce("bits", none)))
+
+
+def near(s: Settings) -> Column:
+    """Whether lines x and y of one head, of n shingles and with bits, are of different classes and may be alike by these."""
+    sizes = F.least("n_x", "n_y") >= F.lit(s.threshold) * F.greatest("n_x", "n_y") - 1e-9
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"bits_x.w{w}").bitwiseXOR(F.col(f"bits_y.w{w}"))) for w in range(s.words)))
+    few = differ <= (1 - s.threshold) / (1 + s.threshold) * (F.col("n_x") + F.col("n_y")) + 1e-6
+    return (F.col("class_x") != F.col("class_y")) & sizes & few
 
 
-def may_be_alike(s: Settings, words: int, at: str | None = None) -> Column:
-    """Whether lines x and y of one head, from apart, are of different classes and may be alike, by their sizes and bits.
+def may_share() -> Column:
+    """Whether lines x and y of one head, from apart, may share enough of what sets them apart, if the first common one is at_x and at_y.
 
-    With `at` the first common one of what sets them apart stands there; so many can be common at most: of both lines' own
-    ones, and of those that both lack.
+    So many can be common at most: of both lines' own ones, and of those that both lack.
     """
-    place = {side: F.col(f"{at}_{side}") if at else F.lit(0) for side in "xy"}
-    ahead = lambda end, start: F.least(*(F.col(f"{end}_{side}") - start[side] for side in "xy"))
-    own = {side: F.col(f"o_{side}") for side in "xy"}
-    common = F.when(place["x"] < own["x"], ahead("o", place) + ahead("d", own)).otherwise(ahead("d", place)) if at else ahead("o", place) + ahead("d", own)
+    ahead = lambda end, start: F.least(*(F.col(f"{end}_{side}") - F.col(f"{start}_{side}") for side in "xy"))
+    common = F.when(F.col("at_x") < F.col("o_x"), ahead("o", "at") + ahead("d", "o")).otherwise(ahead("d", "at"))
     over = F.col("over_x") + F.col("over_y")
-    near = F.least("n_x", "n_y") >= F.lit(s.threshold) * F.greatest("n_x", "n_y") - 1e-9
-    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"bits_x.w{w}").bitwiseXOR(F.col(f"bits_y.w{w}"))) for w in range(words)))
-    few = differ <= (1 - s.threshold) / (1 + s.threshold) * (F.col("n_x") + F.col("n_y")) + 1e-6
-    return (F.col("class_x") != F.col("class_y")) & (common >= over / 2 - 1e-6) & near & (over > -1e-6) & few
+    return (common >= over / 2 - 1e-6) & (over > -1e-6)
 
 
-def across_classes(compared: DataFrame, classes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): pairs of lines with one head, of different classes, that may be alike by size, by prefix and by its places.
+def sides(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """rows (head, *columns) as x and as y of a join by head."""
+    return tuple(rows.select("head", *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "xy")
+
+
+def in_small(rows: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """(lid_x, lid_y): pairs of rows (head, lid, class) with one head, of different classes, that may be alike by size and bits."""
+    x, y = sides(sketched(rows, texts, s), "class", "lid", "n", "bits")
+    return x.join(y, "head").where((F.col("lid_x") < F.col("lid_y")) & near(s)).select("lid_x", "lid_y")
+
+
+def in_large(rows: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """(lid_x, lid_y) as in_small, for heads of any number of lines: by prefix and by its places too.
 
     Lines that surely are alike are also surely alike to the line of their head that is least apart; they are tied to it. Of
     two lines the one that is less apart, x, has to share over_x with the other at least, so its prefix is shorter. A pair is
     found by the first of each run of shingles that both have one after the other, as its first common one is.
     """
-    marked = compared.join(classes, compared.lid == classes.vertex, "left").select("head", "lid", F.coalesce("component", "lid").alias("class"))
-    split = marked.groupBy("head").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("head")
-    rows = apart(shared.stored(marked.join(split, "head", "left_semi")), texts, s)
+    rows = apart(rows, texts, s)
     nearest = shared.stored(rows.groupBy("head").agg(F.min(F.struct("over", "lid", "class")).alias("nearest"), F.count("*").alias("members")))
     tied = shared.spread_join(rows.select("head", "lid", "class", "over"), nearest, "head", "members", ["lid"])
-    tied = tied.where((F.col("over") + F.col("nearest.over") <= 1e-6) & (F.col("class") != F.col("nearest.class"))).select(F.least("lid", "nearest.lid").alias("a"), F.greatest("lid", "nearest.lid").alias("b"))
-    sized = rows.join(nearest.select("head", "members"), "head")
-    sides = lambda df, *more: (df.select("head", *(F.col(k).alias(f"{k}_{side}") for k in ("class", "lid", "n", "d", "o", "over", "bits", *more))) for side in "xy")
-    small = sized.where(F.col("members") <= s.few)
-    x, y = sides(small)
-    same = x.join(y, "head").where((F.col("lid_x") < F.col("lid_y")) & may_be_alike(s, s.words))
-    half = s.words // 2
-    folded = F.struct(*(F.col(f"bits.w{w}").bitwiseXOR(F.col(f"bits.w{w + half}")).alias(f"w{w}") for w in range(half)))
-    large = sized.where(F.col("members") > s.few).withColumn("bits", folded)
-    large = large.select("head", "class", "lid", "n", "d", "o", "over", "bits", "prefix", F.posexplode("prefix").alias("at", "shingle")).withColumn("before", F.get("prefix", F.col("at") - 1))
-    x, y = sides(large, "at", "before", "shingle")
+    tied = tied.where((F.col("over") + F.col("nearest.over") <= 1e-6) & (F.col("class") != F.col("nearest.class"))).select(F.col("lid").alias("lid_x"), F.col("nearest.lid").alias("lid_y"))
+    large = rows.select("head", "class", "lid", "n", "d", "o", "over", "bits", "prefix", F.posexplode("prefix").alias("at", "shingle")).withColumn("before", F.get("prefix", F.col("at") - 1))
+    x, y = sides(large, "class", "lid", "n", "d", "o", "over", "bits", "at", "before", "shingle")
     x = x.where(F.col("d_x") - F.col("at_x") >= F.col("over_x") - 1e-6).withColumnRenamed("shingle_x", "shingle")
     y = y.withColumnRenamed("shingle_y", "shingle")
     order = (F.col("over_x") < F.col("over_y")) | ((F.col("over_x") == F.col("over_y")) & (F.col("lid_x") < F.col("lid_y")))
     starts = F.coalesce(F.col("before_x") != F.col("before_y"), F.lit(True))
-    met = x.join(y, ["head", "shingle"]).where(order & starts & may_be_alike(s, half, "at"))
-    found = same.select("lid_x", "lid_y").unionByName(met.select("lid_x", "lid_y"))
-    return found.select(F.least("lid_x", "lid_y").alias("a"), F.greatest("lid_x", "lid_y").alias("b")).unionByName(tied).distinct()
+    met = x.join(y, ["head", "shingle"]).where(order & starts & may_share() & near(s))
+    return met.select("lid_x", "lid_y").unionByName(tied)
+
+
+def across_classes(compared: DataFrame, classes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): pairs of lines with one head, of different classes, that may be alike; all pairs that are, or what ties them."""
+    marked = compared.join(classes, compared.lid == classes.vertex, "left").select("head", "lid", F.coalesce("component", "lid").alias("class"))
+    split = marked.groupBy("head").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("members")).where("low <> high")
+    rows = shared.stored(marked.join(split.select("head", "members"), "head"))
+    small, large = (rows.where(which).select("head", "lid", "class") for which in (F.col("members") <= s.few, F.col("members") > s.few))
+    found = in_small(small, texts, s).unionByName(in_large(large, texts, s))
+    return found.select(F.least("lid_x", "lid_y").alias("a"), F.greatest("lid_x", "lid_y").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) of lids whose lines' shingle sets have a Jaccard similarity at or over the threshold."""
     both = pairs.join(texts.withColumnsRenamed({"lid": "a", "line": "x"}), "a").join(texts.withColumnsRenamed({"lid": "b", "line": "y"}), "b")
-    both = both.select("a", "b", shingles(F.col("x"), s).alias("x"), shingles(F.col("y"), s).alias("y"))
-    alike = F.size(F.array_intersect("x", "y")) >= F.lit(s.threshold) * F.size(F.array_union("x", "y")) - 1e-9
-    return shared.stored(both.select("a", "b", alike.alias("alike"))).where("alike").select("a", "b")
+    both = both.select("a", "b", *(F.array_distinct(shingles(F.col(c), s)).alias(c) for c in "xy"))
+    return shared.stored(both.select("a", "b", are_alike("x", "y", s).alias("alike"))).where("alike").select("a", "b")
 
 
 def line_classes(lines: DataFrame, s: Settings) -> DataFrame:
@@ -257,7 +294,8 @@ def dedup(docs: DataFrame, s: Settings | None = None, text: str = "text", id_col
     kept = docs.drop("n_lines", "n_dropped")
     mine, theirs, gone = shared.free_names(kept.columns, "row", "found_row", "gone")
     found = repeated(kept.select(row.alias("row"), text), s, text).withColumnsRenamed({"row": theirs, "gone": gone})
-    out = kept.withColumn(mine, row).join(found, F.col(mine).eqNullSafe(F.col(theirs)), "left")
+    # found holds no texts, so a table of it meets them unsorted; it grows with the input, so it isn't broadcast at any size
+    out = kept.withColumn(mine, row).join(found.hint("shuffle_hash"), F.col(mine).eqNullSafe(F.col(theirs)), "left")
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     few = F.transform(F.array(F.split(F.col(text), "\n", -1)), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(gone)), lambda i: F.get(ls, i)), "\n"))[0]
     size = F.coalesce(F.size(gone), F.lit(0))
