@@ -140,3 +140,31 @@ def test_smoothed_ranks_keep_ties(spark):
         keep = 1 - 2 / (span + 1)
         weights = lambda d: [keep ** (d - k) for k in range(d + 1)]
         assert got == {(t, d): math.fsum(w * rank[t, k] for k, w in enumerate(weights(d))) / math.fsum(weights(d)) for t, d in rank}
+
+
+def test_legs_at_neighbours_one_bit_apart(spark):
+    import math
+    import random
+
+    import duckdb
+
+    draw, rows = random.Random(8), []
+    for d in range(160):
+        v = sorted(draw.random() for _ in range((25, 24, 23, 12, 7, 2, 1, 21)[d % 8]))
+        for q in (0.8, 0.2):  # the two values that a border lies between, equal but for rounding
+            at = math.floor((len(v) - 1) * q)
+            if at + 1 < len(v) and d < 140:
+                v[at + 1] = v[at]
+                for _ in range(d % 3):
+                    v[at + 1] = math.nextafter(v[at + 1], 1)
+        rows += [(d, t, x) for t, x in enumerate(v)]
+    s = pd.DataFrame([*rows, (200, 0, 1.0), (200, 1, math.inf), (201, 0, -1.0), (201, 1, 2.0), (201, 2, 2.0)], columns=["di", "ticker", "value"])
+    got = {(r.di, r.ticker): (r.up, r.down) for r in X.legs(spark.createDataFrame(s)).collect()}
+    sql = "SELECT di, ticker, value >= quantile_cont(value, 0.8) OVER v, value <= quantile_cont(value, 0.2) OVER v FROM s WINDOW v AS (PARTITION BY di)"
+    assert got == {(d, t): (up, down) for d, t, up, down in duckdb.sql(sql).fetchall()}
+
+
+def test_legs_leave_out_nulls(spark):
+    s = spark.createDataFrame([(1, t, v) for t, v in enumerate([3.0, None, 1.0, 2.0, None])] + [(2, 0, None)], "di int, ticker int, value double")
+    got = sorted(map(tuple, X.legs(s).select("di", "ticker", "up", "down").collect()), key=str)
+    assert got == [(1, 0, True, False), (1, 1, None, None), (1, 2, False, True), (1, 3, False, False), (1, 4, None, None), (2, 0, None, None)]

@@ -24,10 +24,39 @@ def rank_z(s: DataFrame, value: str, name: str, by: str = "di") -> DataFrame:
     return r.withColumn(name, (F.col("_r") - F.avg("_r").over(w)) / F.nullif(F.stddev_samp("_r").over(w), F.lit(0.0))).drop("_r")
 
 
+def exact_product(a: Column, b: Column) -> tuple[Column, Column]:
+    """a * b as rounded, and what rounding cut off (by Veltkamp's halves of both)."""
+
+    def halves(x):
+        c = x * F.lit(134217729.0)
+        high = c - (c - x)
+        return high, x - high
+
+    (a1, a2), (b1, b2), product = halves(a), halves(b), a * b
+    return product, ((a1 * b1 - product) + a1 * b2 + a2 * b1) + a2 * b2
+
+
 def legs(s: DataFrame, value: str = "value", by: str = "di", share: float = 0.2) -> DataFrame:
-    """s plus up and down: values at or beyond the linear quantiles, so ties enlarge a leg."""
-    q = F.percentile(value, F.array(F.lit(1 - share), F.lit(share))).over(Window.partitionBy(by))
-    return s.withColumn("_q", q).withColumn("up", F.col(value) >= F.col("_q")[0]).withColumn("down", F.col(value) <= F.col("_q")[1]).drop("_q")
+    """s plus up and down: values at or beyond the linear quantiles, so ties enlarge a leg.
+
+    A quantile lies between two neighbours. The lower one's part of it is added unrounded, as by a fused multiply-add (and so by
+    DuckDB), for neighbours that are equal but for the last bits of their sums may else fall on either side of it.
+    """
+    w = Window.partitionBy(by)
+    v = F.col(value).cast("double")
+    x = s.withColumns({"_n": F.count(value).over(w), "_at": F.row_number().over(w.orderBy(F.col(value).asc_nulls_last())) - 1})
+    for q, k in ((1 - share, "up"), (share, "down")):
+        place = (F.col("_n") - 1) * F.lit(q)
+        x = x.withColumns({f"_{e}": F.max(F.when(F.col("_at") == edge(place), v)).over(w) for e, edge in (("lo", F.floor), ("hi", F.ceil))} | {"_part": place - F.floor(place)})
+        low, cut = exact_product(F.col("_lo"), 1 - F.col("_part"))
+        high = F.col("_hi") * F.col("_part")
+        total = low + high
+        back = total - low
+        rest = (low - (total - back)) + (high - back) + cut
+        between = total + F.nanvl(rest, F.lit(0.0))
+        x = x.withColumn("_q", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between))
+        x = x.withColumn(k, F.col(value) >= F.col("_q") if k == "up" else F.col(value) <= F.col("_q"))
+    return x.drop("_n", "_at", "_lo", "_hi", "_part", "_q")
 
 
 def terciles(value: str, tie: str = "ticker", by: str = "di") -> Column:
